@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import neardup, ngram_lm
+from tallyroom.llm import langid, linededup, neardup, ngram_lm, quality, urlfilter
 from tallyroom.llm.common import table
 
 
@@ -15,17 +15,42 @@ def _crc(mod: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.without_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.md5(text).alias("kept_md5"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, _crc(3) != 1)
+    return out.select("doc_id", (_crc(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return quality.judged(table(spark, sf_dir, "documents"), labels.filter("quality = 1 AND toxic = 0"))
+
+
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngram_lm.score_texts(table(spark, sf_dir, "documents"), _crc(7) != 2)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_backoff_lm": op10_backoff_lm,
 }
 
