@@ -9,11 +9,13 @@ the same bound sets the softmax temperature. Prediction is one map over the docu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyroom.llm import common
 
@@ -55,12 +57,14 @@ def _buckets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(DIM, np.int64)
+    """A task's document frequencies; bucket -1 has its number of rows."""
+    df, rows = np.zeros(DIM, np.int64), 0
     for batch in batches:
+        rows += batch.num_rows
         for b in _buckets(batch.column("_lower")):
             df += np.bincount(b, minlength=DIM) > 0
     some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["bucket", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], ["bucket", "df"])
 
 
 def _features(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,6 +128,61 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+class Model(NamedTuple):
+    """A fitted classifier; its size depends on DIM and the number of labels alone."""
+
+    labels: list[str]
+    idf: np.ndarray
+    weights: np.ndarray
+    temperature: float
+
+
+def inverse_frequencies(lowered: DataFrame) -> np.ndarray:
+    """Smoothed idf of each bucket over all rows of the column ``_lower``."""
+    df, total = np.zeros(DIM), 0
+    for r in lowered.mapInArrow(_document_frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+        if r["bucket"] < 0:
+            total = r["df"]
+        else:
+            df[r["bucket"]] = r["df"]
+    return np.log((1.0 + total) / (1.0 + df)) + 1.0
+
+
+def fit(sample: DataFrame, labels: list[str], idf: np.ndarray) -> Model:
+    """Fit on a bounded sample with columns _lower, _class (place in ``labels``), _order and _held.
+
+    Rows with _held set the temperature; the others train, in SHARDS groups whose weights are averaged.
+    """
+    if not labels:
+        return Model([], idf, np.zeros((DIM, 0), np.float32), 1.0)
+    classes = len(labels)
+    shards = sample.filter("NOT _held").withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(3)), F.lit(SHARDS)))
+    fitted = shards.groupBy("_shard").applyInArrow(lambda key, tb: _train(tb, idf, classes), "class int, bucket int, w double")
+    weights = np.zeros((DIM, classes))
+    for r in fitted.groupBy("class", "bucket").agg((F.sum("w") / SHARDS).alias("w")).collect():
+        weights[r["bucket"], r["class"]] = r["w"]
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [(x @ weights[at]).tolist() for at, x in _features(batch.column("_lower"), idf)]
+            yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(z, pa.list_(pa.float64()))], ["_class", "z"])
+
+    held = sample.filter("_held").select("_lower", "_class").mapInArrow(logits, "_class int, z array<double>").collect()
+    t = temperature(np.array([r["z"] for r in held]).reshape(-1, classes), np.array([r["_class"] for r in held], int))
+    return Model(labels, idf, weights.astype(np.float32), t)
+
+
+def posteriors(model: Model, lowered: pa.Array) -> Iterator[np.ndarray]:
+    """Calibrated class probabilities of each lower-cased text."""
+    for at, x in _features(lowered, model.idf):
+        yield _softmax((x.astype(np.float32) @ model.weights[at]).astype(np.float64) / model.temperature)
+
+
+def held_part(order: str) -> F.Column:
+    """One row in five, chosen by hash."""
+    return F.pmod(F.xxhash64(order), F.lit(5)) == 0
+
+
 def identify(documents: DataFrame, learn: F.Column, label: str = "lang") -> DataFrame:
     """``documents`` with lang_pred (a learnt label or ``und``) and score (calibrated, 0 to 1).
 
@@ -134,7 +193,7 @@ def identify(documents: DataFrame, learn: F.Column, label: str = "lang") -> Data
     More than MAX_LABELS labels are refused.
     """
     kept = [c for c in documents.columns if c not in ("lang_pred", "score", *_SCRATCH)]
-    schema = documents.select(*kept).schema
+    fields = documents.select(*kept).schema.fields
     text = F.col("text").cast("string")
     learnable = documents.filter(F.coalesce(learn, F.lit(False)) & F.col(label).isNotNull() & text.isNotNull())
     learnable = learnable.select(F.lower(text).alias("_lower"), F.col(label).cast("string").alias("_label"), F.xxhash64(text, F.lit(11)).alias("_order"))
@@ -142,53 +201,27 @@ def identify(documents: DataFrame, learn: F.Column, label: str = "lang") -> Data
     if len(sizes) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     labels = sorted(sizes)
-    idf, w, t = np.zeros(DIM), np.zeros((len(labels), DIM), np.float32), 1.0
     if labels:
-        rows = learnable.select("_lower").mapInArrow(_document_frequencies, "bucket long, df long")
-        df = np.zeros(DIM)
-        for r in rows.groupBy("bucket").agg(F.sum("df").alias("df")).collect():
-            df[r["bucket"]] = r["df"]
-        idf = np.log((1.0 + sum(sizes.values())) / (1.0 + df)) + 1.0
         share = F.create_map(*(F.lit(x) for k in labels for x in (k, min(1.0, PER_LABEL / sizes[k]))))
         number = F.create_map(*(F.lit(x) for i, k in enumerate(labels) for x in (k, i)))
         draw = F.pmod(F.col("_order"), F.lit(1_000_000)) / 1_000_000.0
-        parts = learnable.withColumn("_share", share[F.col("_label")]).withColumn("_class", number[F.col("_label")])
-        # one part in five of the draws, wherever the bound allows, is kept for the temperature
-        parts = parts.withColumn("_draw", draw).filter("_draw < _share").withColumn("_held", F.pmod(F.xxhash64("_order"), F.lit(5)) == 0)
-        sample = common.stored(parts.select("_lower", "_class", "_order", "_held"), "li-sample")
-        shards = sample.filter("NOT _held").withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(3)), F.lit(SHARDS)))
-        fitted = shards.groupBy("_shard").applyInArrow(lambda tb: _train(tb, idf, len(labels)), "class int, bucket int, w double")
-        w = w.astype(np.float64)
-        for r in fitted.groupBy("class", "bucket").agg((F.sum("w") / SHARDS).alias("w")).collect():
-            w[r["class"], r["bucket"]] = r["w"]
-        weights = np.ascontiguousarray(w.T)
-
-        def logits(batches):
-            for batch in batches:
-                z = [(weights[at] * x[:, None]).sum(axis=0).tolist() for at, x in _features(batch.column("_lower"), idf)]
-                yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(z, pa.list_(pa.float64()))], ["_class", "z"])
-
-        held = sample.filter("_held").select("_lower", "_class").mapInArrow(logits, "_class int, z array<double>").collect()
-        t = temperature(np.array([r["z"] for r in held]).reshape(-1, len(labels)), np.array([r["_class"] for r in held], int))
-
-    weights = np.ascontiguousarray(w.T.astype(np.float32))
+        sample = learnable.filter(draw < share[F.col("_label")])
+        sample = sample.select("_lower", number[F.col("_label")].alias("_class"), "_order", held_part("_order").alias("_held"))
+        model = fit(common.stored(sample, "li-sample"), labels, inverse_frequencies(learnable.select("_lower")))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = batch.column("_letter").to_pylist()
-            names, scores = [], []
-            for ok, (at, x) in zip(letters, _features(batch.column("_lower"), idf), strict=True):
-                if not ok or not labels:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                p = _softmax((x.astype(np.float32) @ weights[at]).astype(np.float64) / t)
-                best = int(p.argmax())
-                names.append(labels[best])
-                scores.append(float(p[best]))
+            if labels:
+                found = [p if ok else None for ok, p in zip(letters, posteriors(model, batch.column("_lower")), strict=True)]
+            else:
+                found = [None] * batch.num_rows
+            names = [UNDETERMINED if p is None else labels[int(p.argmax())] for p in found]
+            scores = [0.0 if p is None else float(p.max()) for p in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"]
             )
 
     given = documents.select(*kept, F.lower(text).alias("_lower"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letter"))
-    return given.mapInArrow(predict, schema.add("lang_pred", "string").add("score", "double"))
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return given.mapInArrow(predict, T.StructType([*fields, *added]))

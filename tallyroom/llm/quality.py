@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
-THRESHOLD = -0.5
+THRESHOLD = -0.08
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
