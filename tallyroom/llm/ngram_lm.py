@@ -56,6 +56,27 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[tuple[np
     return [(chains[k - 1][where - (k - 1)], chains[k - 2][where - (k - 1)] if k > 1 else where, row) for k in range(1, order + 1)]
 
 
+def _pack(grams: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by place: the upper bytes are mostly 0 and compress to nothing."""
+    return np.ascontiguousarray(np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, those of 255 and more in full behind them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _unpack_counts(raw: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[size:], np.int64)
+    return counts
+
+
 def _requests(key, table: pa.Table, order: int, buckets: int) -> pa.Table:
     """One row per order and bucket: the block's distinct n-grams there and their training counts."""
     tokens, offsets = _tokens(table.column("text"), order)
@@ -68,24 +89,24 @@ def _requests(key, table: pa.Table, order: int, buckets: int) -> pa.Table:
             first = offsets[:-1] + (order - 1) - k
             parts.append((common.chain(tokens, k)[first], train & False))
         every, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(index, weights=np.concatenate([p[1] for p in parts]), minlength=len(every)).astype(np.int32)
+        counts = np.bincount(index, weights=np.concatenate([p[1] for p in parts]), minlength=len(every)).astype(np.int64)
         if k < order:
             begin = np.searchsorted(every, parts[1][0])
-            np.add.at(counts, begin, train.astype(np.int32))
+            np.add.at(counts, begin, train.astype(np.int64))
         ends = np.searchsorted(_bucket(every, buckets), np.arange(buckets + 1))
         for b in range(buckets):
             lo, hi = ends[b], ends[b + 1]
             rows["bucket"].append(b)
             rows["block"].append(key[0].as_py())
             rows["gram_order"].append(k)
-            rows["grams"].append(every[lo:hi].tobytes())
-            rows["counts"].append(counts[lo:hi].tobytes())
+            rows["grams"].append(_pack(every[lo:hi]))
+            rows["counts"].append(_pack_counts(counts[lo:hi]))
             rows["tokens"].append(int(learn.sum()) if b == 0 and k == 1 else 0)
     return pa.table(rows, schema=_REQUEST)
 
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("gram_order", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64())])
-_ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("gram_order", pa.int32()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
+_ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("gram_order", pa.int32()), ("counts", pa.binary()), ("size", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -95,21 +116,22 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _answers(key, table: pa.Table) -> pa.Table:
     """Sum one bucket's counts over all blocks and give each block the totals of what it asked for."""
-    grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
+    grams = [_unpack(x) for x in table.column("grams").to_pylist()]
+    counts = [_unpack_counts(x, len(g)) for x, g in zip(table.column("counts").to_pylist(), grams, strict=True)]
     every, index = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(index, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     types = 0
     if key[1].as_py() == 1:
         types = int((total > 0).sum()) - int(np.any((every == _BEGIN) & (total > 0)))
     ends = np.cumsum([0, *(len(g) for g in grams)])
-    back = total[index].astype(np.int64)
+    back = total[index]
     return pa.table(
         {
             "block": table.column("block"),
             "bucket": table.column("bucket"),
             "gram_order": table.column("gram_order"),
-            "counts": [back[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)],
+            "counts": [_pack_counts(back[a:b]) for a, b in zip(ends, ends[1:], strict=False)],
+            "size": np.diff(ends).astype(np.int32),
             "types": [types] * table.num_rows,
             "tokens": [sum(table.column("tokens").to_pylist())] * table.num_rows,
         },
@@ -122,9 +144,10 @@ def _scores(key, docs: pa.Table, answers: pa.Table, order: int, k_weight: float)
     tokens, offsets = _tokens(docs.column("text"), order)
     answers = answers.sort_by([("gram_order", "ascending"), ("bucket", "ascending")])
     orders = np.asarray(answers.column("gram_order").combine_chunks())
-    bins = answers.column("counts").to_pylist()
+    sizes = answers.column("size").to_pylist()
+    bins = [_unpack_counts(x, n) for x, n in zip(answers.column("counts").to_pylist(), sizes, strict=True)]
     kinds, train_tokens = (int(np.asarray(answers.column(x).combine_chunks()).sum()) for x in ("types", "tokens"))
-    totals = [np.frombuffer(b"".join(bins[i] for i in np.flatnonzero(orders == k)), np.int64) for k in range(1, order + 1)]
+    totals = [np.concatenate([bins[i] for i in np.flatnonzero(orders == k)]) for k in range(1, order + 1)]
     steps = _grams(tokens, offsets, order)
     n_docs = len(offsets) - 1
     row = steps[0][2]
@@ -176,7 +199,7 @@ def score_texts(documents: DataFrame, train: F.Column, order: int = ORDER, k_wei
         "bucket int, block int, gram_order int, grams binary, counts binary, tokens long",
     )
     answered = asked.groupBy("bucket", "gram_order").applyInArrow(
-        lambda key, t: _answers(key, t), "block int, bucket int, gram_order int, counts binary, types long, tokens long"
+        lambda key, t: _answers(key, t), "block int, bucket int, gram_order int, counts binary, size int, types long, tokens long"
     )
     return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         lambda key, d, a: _scores(key, d, a, order, k_weight),
