@@ -389,3 +389,358 @@ def check_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mark_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = X.papers(spark, sf_dir)
     return audit.mark_benchmark(papers, papers)
+
+
+# --- student records -----------------------------------------------------------------------------
+
+_RECORD_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 1 THEN '  ' ELSE c_name END AS name,
+ CASE c_custkey % 4 WHEN 0 THEN CONCAT('School ', CAST(c_custkey % 37 AS VARCHAR(20))) WHEN 1 THEN CONCAT('  school  ', CAST(c_custkey % 37 AS VARCHAR(20)), ' ') WHEN 2 THEN CONCAT('SCHOOL ', CAST(c_custkey % 37 AS VARCHAR(20)))
+ ELSE CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CONCAT('School   ', CAST(c_custkey % 37 AS VARCHAR(20))) END END AS school,
+ CASE WHEN c_custkey % 11 = 2 THEN '12345' WHEN c_custkey % 11 = 3 THEN '' WHEN c_custkey % 5 = 0 THEN CONCAT('+91 ', CAST(9000000000 + c_custkey AS VARCHAR(20))) ELSE CAST(9000000000 + c_custkey AS VARCHAR(20)) END AS father_phone,
+ CASE WHEN c_custkey % 11 = 4 THEN 'none' WHEN c_custkey % 2 = 0 OR c_custkey % 11 = 3 THEN '' ELSE CONCAT('(080) ', CAST(2000000 + c_custkey AS VARCHAR(20))) END AS mother_phone,
+ CASE WHEN c_custkey % 11 = 5 THEN '13' WHEN c_custkey % 11 = 6 THEN 'UKG' ELSE CAST(1 + c_custkey % 12 AS VARCHAR(20)) END AS class_name,
+ CASE WHEN c_custkey % 11 = 7 THEN 'abc' WHEN c_custkey % 11 = 8 THEN ' ' ELSE CAST(c_custkey % 101 AS VARCHAR(20)) END AS marks,
+ c_custkey % 9 AS submitter_id, CASE WHEN c_custkey % 3 = 0 THEN 'Reviewed' ELSE 'New' END AS status, (c_custkey * 7919) % 100003 AS created_at FROM customer"""
+_RECORDS = f"records AS ({_RECORD_SQL})"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Student records with messy schools and some invalid values, one per customer."""
+    _table(spark, sf_dir, "customer").createOrReplaceTempView("tallyroom_customer")
+    return spark.sql(_RECORD_SQL.replace("FROM customer", "FROM tallyroom_customer"))
+
+
+def _digits(x: str) -> str:
+    return f"length(regexp_replace({x}, '[^0-9]', '', 'g'))"
+
+
+def _bad_phone(x: str) -> str:
+    return f"(trim({x}) <> '' AND NOT (regexp_full_match(trim({x}), '[+0-9\\s()\\-]+') AND {_digits(x)} BETWEEN 7 AND 15))"
+
+
+_VIOLATIONS = f"""concat_ws(',', CASE WHEN length(trim(name)) NOT BETWEEN 1 AND 150 THEN 'name' END, CASE WHEN length(trim(school)) NOT BETWEEN 1 AND 200 THEN 'school' END,
+ CASE WHEN NOT (class_name IN ('Nursery', 'LKG', 'UKG', 'Other') OR try_cast(class_name AS INT) BETWEEN 1 AND 12) THEN 'class' END, CASE WHEN {_bad_phone('father_phone')} THEN 'father_phone' END,
+ CASE WHEN {_bad_phone('mother_phone')} THEN 'mother_phone' END, CASE WHEN trim(father_phone) = '' AND trim(mother_phone) = '' THEN 'phone' END, CASE WHEN trim(marks) <> '' AND try_cast(marks AS DOUBLE) IS NULL THEN 'marks' END)"""
+
+
+@_add("val3_validate_record", f"WITH {_RECORDS} SELECT id, trim(name) AS name, trim(school) AS school, try_cast(trim(marks) AS DOUBLE) AS marks, {_VIOLATIONS} AS violations FROM records", long=False)
+def validate_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.validated(_records(spark, sf_dir))
+    return rows.select("id", "name", "school", F.col("marks").cast("double").alias("marks"), F.array_join("violations", ",").alias("violations"))
+
+
+_KNOWN = "known AS (SELECT 'school 5' AS name_key, 'School Five' AS name)"
+_SCHOOLS = f"{_RECORDS}, {_KNOWN}, keyed AS (SELECT trim(regexp_replace(school, '\\s+', ' ', 'g')) AS name, created_at, id FROM records), firsts AS (SELECT lower(name) AS name_key, arg_min(name, (created_at, id)) AS name FROM keyed WHERE name <> '' GROUP BY 1), schools AS (SELECT * FROM known UNION ALL SELECT * FROM firsts WHERE name_key NOT IN (SELECT name_key FROM known))"
+
+
+def _schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("school 5", "School Five")], "name_key string, name string")
+    return records.canonical_schools(_records(spark, sf_dir), known)
+
+
+@_add("win2_canonical_schools", f"WITH {_SCHOOLS} SELECT * FROM schools", long=False)
+def canonical_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _schools(spark, sf_dir)
+
+
+@_add("ddp2_school_list", f"WITH {_SCHOOLS} SELECT DISTINCT name FROM schools", long=False)
+def school_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.school_list(_schools(spark, sf_dir))
+
+
+@_add(
+    "flt1_filter_records",
+    f"WITH {_RECORDS} SELECT id, name, school, class_name, status, created_at FROM records WHERE status = 'New' AND (name ILIKE '%ool_1%' OR school ILIKE '%ool_1%' OR father_phone ILIKE '%ool_1%' OR mother_phone ILIKE '%ool_1%')",
+    long=False,
+)
+def filter_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.filtered(_records(spark, sf_dir), " ool_1 ", status="New").select("id", "name", "school", "class_name", "status", "created_at")
+
+
+@_add("flt2_scope_by_role", f"WITH {_RECORDS} SELECT id, submitter_id FROM records WHERE submitter_id = 4", long=False)
+def scope_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.scoped(_records(spark, sf_dir), "submitter", 4).select("id", "submitter_id")
+
+
+@_add(
+    "agg11_record_stats",
+    f"WITH {_RECORDS} SELECT count(*) AS records, count(DISTINCT lower(school)) AS schools, count(*) FILTER (status = 'Reviewed') AS reviewed, count(*) FILTER (status = 'New') AS new FROM records",
+    long=False,
+)
+def record_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.record_stats(_records(spark, sf_dir))
+
+
+_CELL = "CASE WHEN regexp_matches({0}, '^\\s*[=+@-]') THEN '''' || {0} ELSE {0} END AS {1}"
+
+
+@_add(
+    "snk4_export_records",
+    f"WITH {_RECORDS} SELECT id, " + ", ".join(_CELL.format(f"coalesce(CAST({c} AS VARCHAR), '')", c) for c in ("name", "school", "father_phone", "mother_phone", "class_name", "marks", "status", "submitter_id", "created_at")) + " FROM records",
+    long=False,
+)
+def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.exported(_records(spark, sf_dir))
+
+
+_CELLS = "cells AS (SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN '-' || p_name WHEN 1 THEN '=' || p_name WHEN 2 THEN ' +' || p_name WHEN 3 THEN '@' || p_name WHEN 4 THEN chr(9) || p_name WHEN 5 THEN '-5' ELSE p_name END AS cell FROM part)"
+
+
+@_add(
+    "snk5_spreadsheet_safe",
+    f"WITH {_CELLS} SELECT id, CASE WHEN left(cell, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || cell ELSE cell END AS papers, {_CELL.format('cell', 'records')} FROM cells",
+    long=False,
+)
+def spreadsheet_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, name = F.col("p_partkey") % 7, F.col("p_name")
+    cell = name
+    for i, lead in ((0, "-"), (1, "="), (2, " +"), (3, "@"), (4, "\t")):
+        cell = F.when(n == i, F.concat(F.lit(lead), name)).otherwise(cell)
+    cell = F.when(n == 5, "-5").otherwise(cell)
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cell.alias("cell"))
+    return rows.select("id", T.spreadsheet_safe(F.col("cell")).alias("papers"), T.spreadsheet_safe(F.col("cell"), "records").alias("records"))
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every fifth record and new records, some of them twice, by owners and submitters."""
+    rows = _records(spark, sf_dir).filter("id % 5 = 0")
+    again = rows.withColumn("edit_id", F.col("id") * 2 + 1).withColumn("name", F.concat("name", F.lit(" again"))).filter("id % 15 = 0")
+    rows = rows.withColumn("edit_id", F.col("id") * 2).withColumn("name", F.concat("name", F.lit(" edited")))
+    new = _records(spark, sf_dir).filter("id % 7 = 0").withColumn("edit_id", F.col("id") * 2).withColumn("id", F.col("id") + 100_000_000)
+    both = rows.unionByName(again).unionByName(new)
+    return both.withColumn("role", F.when(F.col("edit_id") % 4 < 2, "owner").otherwise("submitter"))
+
+
+_UPSERT = f"""WITH {_SCHOOLS},
+inc0 AS (SELECT * REPLACE (name || ' edited' AS name), id * 2 AS edit_id FROM records WHERE id % 5 = 0 UNION ALL SELECT * REPLACE (name || ' again' AS name), id * 2 + 1 FROM records WHERE id % 15 = 0
+ UNION ALL SELECT * REPLACE (id + 100000000 AS id), id * 2 FROM records WHERE id % 7 = 0),
+inc AS (SELECT *, {_VIOLATIONS} AS bad, edit_id % 4 < 2 AS owner FROM inc0),
+ok AS (SELECT inc.*, r.id IS NOT NULL AS old, r.created_at AS oc, r.submitter_id AS os FROM inc LEFT JOIN records r USING (id) WHERE bad = '' AND (r.id IS NULL OR owner)),
+won AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY edit_id) = 1)"""
+
+
+@_add(
+    "chg5_upsert_records",
+    f"""{_UPSERT} SELECT id, name, school, status, submitter_id, created_at FROM (SELECT id, trim(w.name) AS name, coalesce(s.name, trim(w.school)) AS school, 'New' AS status, coalesce(os, submitter_id) AS submitter_id, coalesce(oc, created_at) AS created_at
+ FROM won w LEFT JOIN schools s ON s.name_key = lower(trim(regexp_replace(w.school, '\\s+', ' ', 'g'))) UNION ALL SELECT id, trim(name), trim(school), status, submitter_id, created_at FROM records WHERE id NOT IN (SELECT id FROM won))""",
+    long=False,
+)
+def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = records.validated(_records(spark, sf_dir)).drop("violations")
+    state, _ = records.upserted(stored, _incoming(spark, sf_dir), _schools(spark, sf_dir))
+    return state.select("id", "name", "school", "status", "submitter_id", "created_at")
+
+
+@_add("chg6_review_records", f"WITH {_RECORDS} SELECT id, CASE WHEN id % 4 = 0 THEN 'Reviewed' WHEN id % 4 = 1 THEN 'New' ELSE status END AS status FROM records", long=False)
+def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir)
+    status = F.when(F.col("id") % 4 == 0, "Reviewed").when(F.col("id") % 4 == 1, "New").otherwise("Archived")
+    return records.reviewed(rows, rows.select("id", status.alias("status"), F.col("id").alias("edit_id")), "owner").select("id", "status")
+
+
+# --- strings -------------------------------------------------------------------------------------
+
+_STRINGS = """strings AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '+91 ' || CAST(6000000000 + c_custkey * 2357 AS VARCHAR) WHEN 1 THEN '(' || CAST(5000000000 + c_custkey AS VARCHAR) || ')' WHEN 2 THEN CAST(9000000000 + c_custkey AS VARCHAR)
+ WHEN 3 THEN '98 76-5' || CAST(c_custkey AS VARCHAR) WHEN 4 THEN '9O' || CAST(10000000 + c_custkey AS VARCHAR) ELSE c_name END AS phone, '  ' || c_name || '   ' || c_mktsegment || ' ' AS text FROM customer)"""
+
+
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    phone = (
+        F.when(key % 6 == 0, F.concat(F.lit("+91 "), text(key * 2357 + 6000000000)))
+        .when(key % 6 == 1, F.concat(F.lit("("), text(key + 5000000000), F.lit(")")))
+        .when(key % 6 == 2, text(key + 9000000000))
+        .when(key % 6 == 3, F.concat(F.lit("98 76-5"), text(key)))
+        .when(key % 6 == 4, F.concat(F.lit("9O"), text(key + 10000000)))
+        .otherwise(F.col("c_name"))
+    )
+    rows = _table(spark, sf_dir, "customer")
+    return rows.select(key.alias("id"), phone.alias("phone"), F.concat(F.lit("  "), "c_name", F.lit("   "), "c_mktsegment", F.lit(" ")).alias("text"))
+
+
+@_add("str1_normalise_text", f"WITH {_STRINGS} SELECT id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, regexp_replace(phone, '[\\s()\\-]', '', 'g') AS mobile FROM strings", long=False)
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir).select("id", T.normalise_text(F.col("text"), F.lit("name")).alias("text"), T.normalise_text(F.col("phone"), F.lit("father_mobile")).alias("mobile"))
+
+
+@_add("str2_identity_key", f"WITH {_STRINGS} SELECT id, lower(regexp_replace(text, '\\s', '', 'g')) AS name_key, regexp_replace(phone, '[\\s()\\-]', '', 'g') AS mobile_key FROM strings", long=False)
+def identity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir).select("id", T.identity_key(F.col("text"), F.lit("name")).alias("name_key"), T.identity_key(F.col("phone"), F.lit("mother_mobile")).alias("mobile_key"))
+
+
+@_add(
+    "str3_normalise_login_phone",
+    f"WITH {_STRINGS}, b AS (SELECT id, regexp_replace(phone, '[\\s()+\\-]', '', 'g') AS d FROM strings), c AS (SELECT id, CASE WHEN length(d) = 12 AND left(d, 2) = '91' THEN right(d, 10) ELSE d END AS d FROM b) SELECT id, CASE WHEN regexp_full_match(d, '[6-9][0-9]{{9}}') THEN d END AS phone FROM c",
+    long=False,
+)
+def normalise_login_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir).select("id", T.login_phone(F.col("phone")).alias("phone"))
+
+
+@_add("str4_school_key", f"WITH {_STRINGS} SELECT id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS school_key FROM strings", long=False)
+def school_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strings(spark, sf_dir).select("id", T.school_key(F.col("text")).alias("school_key"))
+
+
+@_add(
+    "str5_clean_model_text",
+    "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE p_name END AS text FROM part",
+    long=False,
+)
+def clean_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, name = F.col("p_partkey") % 6, F.col("p_name")
+    raw = (
+        F.when(n == 0, F.concat(F.lit("```text\n"), name, F.lit("\n```")))
+        .when(n == 1, F.lit(" unreadable "))
+        .when(n == 2, F.lit("   "))
+        .when(n == 3, F.concat(F.lit("{"), name, F.lit("}")))
+        .when(n == 4, F.repeat(name, 100))
+        .otherwise(F.concat(F.lit(" "), name))
+    )
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.clean_model_text(raw).alias("text"))
+
+
+# --- changes -------------------------------------------------------------------------------------
+
+_DECIDED = "('verified', 'blank', 'unreadable')"
+
+
+@_add(
+    "val2_normalise_reviews",
+    f"""WITH v AS (SELECT p, f, field, coalesce(val, '') AS value, coalesce(rstatus, 'pending') AS given, CASE WHEN coalesce(rvalue, '') <> coalesce(val, '') THEN 'pending' ELSE coalesce(rstatus, 'pending') END AS st FROM fields)
+ SELECT p AS paper_id, string_agg(st, ',' ORDER BY f) AS statuses, coalesce(string_agg(field || ' ' || CASE WHEN st = 'verified' AND value = '' THEN 'verified but empty' WHEN st = 'verified' AND field LIKE '%mobile' AND NOT regexp_full_match(value, '[0-9]{{10}}') THEN 'not ten digits'
+ WHEN st IN ('blank', 'unreadable') AND value <> '' THEN 'decided empty but has a value' END, ',' ORDER BY f), '') AS violations FROM v GROUP BY p""",
+)
+def normalise_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.papers(spark, sf_dir).withColumn("r", changes.normalised_reviews(F.col("fields"), F.col("field_review")))
+    bad = F.transform(F.filter("r", lambda x: x["violation"].isNotNull()), lambda x: F.concat(x["field"], F.lit(" "), x["violation"]))
+    return rows.select("paper_id", F.array_join(F.transform("r", lambda x: x["status"]), ",").alias("statuses"), F.array_join(bad, ",").alias("violations"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two audit events of every fifth paper, each changing one answer; some are rereads."""
+    rows = X.papers(spark, sf_dir).filter("paper_id % 5 = 0").select("paper_id", "answers", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    place = ((F.col("paper_id") * 3 + F.col("seq") * 11) % 25).cast("int")
+    after = F.transform("answers", lambda a, i: F.when(i == place, "!").otherwise(a))
+    return rows.select("paper_id", F.col("answers").alias("before"), after.alias("after"), ((F.col("paper_id") / 5 + F.col("seq")).cast("long") % 3 == 0).alias("reread"))
+
+
+_PROTECTED = "protected AS (SELECT p, (p * 3 + seq * 11) % 25 AS q FROM papers CROSS JOIN (SELECT CAST(range AS BIGINT) AS seq FROM range(2)) WHERE p % 5 = 0 AND (p // 5 + seq) % 3 <> 0)"
+
+
+@_add("set1_protected_answers", f"WITH {_PROTECTED} SELECT p AS paper_id, string_agg(DISTINCT CAST(q AS VARCHAR), ',' ORDER BY q) AS protected FROM (SELECT DISTINCT p, q FROM protected) GROUP BY p".replace("DISTINCT CAST(q", "CAST(q"))
+def protected_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.protected_answers(_events(spark, sf_dir)).select("paper_id", F.array_join(F.col("protected").cast("array<string>"), ",").alias("protected"))
+
+
+@_add(
+    "set2_override_union",
+    "SELECT p AS paper_id, string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) AS overrides FROM answers WHERE overridden OR chk IS NOT NULL OR detected IS DISTINCT FROM answer AND detected IS NOT NULL GROUP BY p",
+)
+def override_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.papers(spark, sf_dir)
+    changed = F.when(F.col("detected_answers").isNotNull(), changes.changed_places(F.col("detected_answers"), F.col("answers")))
+    checked = F.transform(F.map_keys("answer_checks"), lambda k: k.cast("int"))
+    united = changes.override_union(F.col("answer_overrides"), changed, checked)
+    return rows.select("paper_id", F.array_join(united.cast("array<string>"), ",").alias("overrides"))
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every eighth paper: uncertain answers become blanks; some are stale, some twice, some want approval."""
+    rows = X.papers(spark, sf_dir).filter("paper_id % 8 = 0")
+    rows = rows.select(
+        "paper_id",
+        (F.col("version") - F.when(F.col("paper_id") % 24 == 0, 1).otherwise(0)).alias("version"),
+        F.col("paper_id").alias("edit_id"),
+        F.transform("answers", lambda a: F.when(a == "?", "-").otherwise(a)).alias("answers"),
+        "fields",
+        "field_review",
+        "answer_checks",
+        "pairing_verified",
+        (F.col("paper_id") % 16 == 0).alias("approve"),
+    )
+    again = rows.filter("paper_id % 40 = 0").withColumn("edit_id", F.col("edit_id") + 100_000_000)
+    return rows.unionAll(again)
+
+
+_EDIT = f"""WITH v AS (SELECT p, field, trim(coalesce(val, '')) AS value, coalesce(rvalue, '') AS rv, coalesce(rstatus, 'pending') AS given FROM fields WHERE p % 8 = 0),
+w AS (SELECT *, CASE WHEN rv <> value THEN 'pending' ELSE given END AS st FROM v),
+x AS (SELECT p, bool_or((st = 'verified' AND value = '') OR (st = 'verified' AND field LIKE '%mobile' AND NOT regexp_full_match(value, '[0-9]{{10}}')) OR (st IN ('blank', 'unreadable') AND value <> '')) AS bad,
+ bool_and(st <> 'pending') AND bool_or(field = 'name' AND value <> '' AND st = 'verified') AS decided FROM w GROUP BY p),
+good AS (SELECT p, p % 16 = 0 AS approve FROM papers JOIN x USING (p) WHERE NOT bad AND p % 24 <> 0 AND NOT (p % 16 = 0 AND NOT (decided AND pairing)))"""
+
+
+@_add(
+    "chg1_apply_reviews",
+    f"""{_EDIT}, a AS (SELECT p, string_agg(CASE WHEN answer = '?' AND good.p IS NOT NULL THEN '-' ELSE answer END, '' ORDER BY q) AS answers,
+ coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (overridden OR (good.p IS NOT NULL AND (answer = '?' OR coalesce(chk = answer, false)))), '') AS overrides FROM answers LEFT JOIN good USING (p) GROUP BY p)
+ SELECT p AS paper_id, CASE WHEN good.p IS NULL THEN status WHEN approve THEN 'approved' ELSE 'review' END AS status, CASE WHEN good.p IS NULL THEN version ELSE version + 1 END AS version, answers, overrides FROM papers JOIN a USING (p) LEFT JOIN good USING (p)""",
+)
+def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, _, _ = changes.apply_reviews(X.papers(spark, sf_dir), _edits(spark, sf_dir))
+    return state.select("paper_id", "status", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"))
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh reads of every third paper: the key where it was uncertain; some of an old version."""
+    rows = X.papers(spark, sf_dir).filter("paper_id % 3 = 0")
+    read = F.transform(F.arrays_zip("answers", "key"), lambda x: F.struct(F.when(x["answers"] == "?", x["key"]).otherwise("?").alias("answer"), F.lit("fresh").alias("reason"), F.lit("review").alias("confidence"), F.lit(None).cast("string").alias("suggested_answer")))
+    return rows.select("paper_id", (F.col("version") + F.when(F.col("paper_id") % 9 == 0, 1).otherwise(0)).alias("version"), read.alias("details"))
+
+
+@_add(
+    "chg2_apply_mark_reread",
+    f"""WITH {_PROTECTED}, pr AS (SELECT DISTINCT p, q, true AS kept FROM protected), a AS (SELECT answers.*, coalesce(kept, false) OR overridden AS keeps, answers.p % 3 = 0 AND answers.p % 9 <> 0 AND status <> 'approved' AS used FROM answers LEFT JOIN pr USING (p, q))
+ SELECT p AS paper_id, CAST(version + CASE WHEN used THEN 1 ELSE 0 END AS BIGINT) AS version, string_agg(CASE WHEN used AND NOT keeps THEN CASE WHEN answer = '?' THEN k ELSE '?' END ELSE answer END, '' ORDER BY q) AS answers,
+ coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (CASE WHEN used THEN keeps ELSE overridden END), '') AS overrides FROM a GROUP BY p, version, used""",
+)
+def apply_mark_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, _, _ = changes.apply_mark_reread(X.papers(spark, sf_dir), _reads(spark, sf_dir), changes.protected_answers(_events(spark, sf_dir)))
+    return state.select("paper_id", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"))
+
+
+@_add(
+    "chg3_apply_detail_reread",
+    f"""WITH u AS (SELECT *, p % 4 = 0 AND p % 12 <> 0 AND status <> 'approved' AS used, coalesce(rstatus, '') IN {_DECIDED} AS decided FROM fields), t AS (SELECT *, NOT decided AND (coalesce(val, '') = '' OR coalesce(val, '') = fsuggested) AS taken FROM u)
+ SELECT p AS paper_id, version + CASE WHEN used THEN 1 ELSE 0 END AS version, string_agg(CASE WHEN used AND taken THEN 'new ' || field ELSE coalesce(val, CASE WHEN used THEN '' END) END, '|' ORDER BY f) AS fields,
+ string_agg(CASE WHEN used THEN CASE WHEN taken THEN 'pending' ELSE coalesce(rstatus, 'pending') END ELSE rstatus END, '|' ORDER BY f) AS statuses FROM t GROUP BY p, version, used""",
+)
+def apply_detail_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = X.papers(spark, sf_dir)
+    fresh = F.transform_values("field_ocr", lambda k, v: F.struct(F.concat(F.lit("new "), k).alias("suggested")))
+    reads = papers.filter("paper_id % 4 = 0").select("paper_id", (F.col("version") + F.when(F.col("paper_id") % 12 == 0, 1).otherwise(0)).alias("version"), fresh.alias("field_ocr"))
+    names = F.array(*(F.lit(k) for k in FIELDS))
+    state = changes.apply_detail_reread(papers, reads)
+    fields = F.array_join(F.transform(names, lambda k: F.try_element_at("fields", k)), "|").alias("fields")
+    return state.select("paper_id", "version", fields, F.array_join(F.transform(names, lambda k: F.try_element_at("field_review", k)["status"]), "|").alias("statuses"))
+
+
+_REFINABLE = f"refinable AS (SELECT p, val FROM fields WHERE f = 0 AND status <> 'approved' AND coalesce(rstatus, '') NOT IN {_DECIDED} AND coalesce(val, '') <> '' AND val = fsuggested AND start_page IS NOT NULL)"
+
+
+@_add("flt3_refinable_names", f"WITH {_REFINABLE} SELECT p AS paper_id FROM refinable")
+def refinable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.refinable_names(X.papers(spark, sf_dir)).select("paper_id")
+
+
+@_add(
+    "chg4_apply_name_refinement",
+    f"WITH {_REFINABLE} SELECT fields.p AS paper_id, version + CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 THEN fields.val || ' Jr' ELSE fields.val END AS name FROM fields LEFT JOIN refinable r USING (p) WHERE f = 0",
+)
+def apply_name_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = X.papers(spark, sf_dir)
+    texts = papers.filter("paper_id % 2 = 0").select("paper_id", F.concat(F.try_element_at("fields", F.lit("name")), F.lit("   Jr ")).alias("text"))
+    state, _ = changes.apply_name_refinement(papers, texts)
+    return state.select("paper_id", "version", F.try_element_at("fields", F.lit("name")).alias("name"))
+
+
+@_add(
+    "ddp1_first_paper_wins",
+    "SELECT batch_no AS batch_id, idx, CASE WHEN p % 3 = 0 THEN 'stored' WHEN p % 3 = 1 THEN 'incoming 1' ELSE 'incoming 0' END AS origin FROM papers",
+)
+def first_paper_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.papers(spark, sf_dir).select("batch_id", "idx", "paper_id")
+    stored = rows.filter("paper_id % 3 = 0").select("batch_id", "idx", F.lit("stored").alias("origin"), F.lit(0).cast("long").alias("arrival"))
+    late = rows.select("batch_id", "idx", F.lit("incoming 1").alias("origin"), F.lit(7).cast("long").alias("arrival"))
+    early = rows.filter("paper_id % 3 = 2").select("batch_id", "idx", F.lit("incoming 0").alias("origin"), F.lit(5).cast("long").alias("arrival"))
+    return changes.first_paper_wins(stored, late.unionAll(early)).drop("arrival")
