@@ -744,3 +744,502 @@ def first_paper_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = rows.select("batch_id", "idx", F.lit("incoming 1").alias("origin"), F.lit(7).cast("long").alias("arrival"))
     early = rows.filter("paper_id % 3 = 2").select("batch_id", "idx", F.lit("incoming 0").alias("origin"), F.lit(5).cast("long").alias("arrival"))
     return changes.first_paper_wins(stored, late.unionAll(early)).drop("arrival")
+
+
+# --- evidence ------------------------------------------------------------------------------------
+
+#: Measurements of option o at question q of paper p, on and around the limits of the rules.
+_E = {
+    "e": "((p * 17 + q * 5 + o * 11) % 23)",
+    "ratio": "(CASE WHEN {e} < 5 THEN 0.018 WHEN {e} < 8 THEN 0.009 WHEN {e} = 8 THEN 0.03 ELSE 0.001 END)",
+    "pixels": "(CASE WHEN {e} < 4 THEN 7 WHEN {e} < 9 THEN 4 ELSE {e} % 4 END)",
+    "inside": "(CASE WHEN {e} < 5 THEN 3 WHEN {e} < 9 THEN 2 ELSE 0 END)",
+    "w": "((p * 7 + q * 13 + o * 3 + o * o * 5) % 19)",
+    "v0": "(CASE WHEN {w} < 6 THEN 20 WHEN {w} = 6 THEN 5 WHEN {w} = 7 THEN 4 ELSE 1 END)",
+    "v1": "(CASE WHEN {w} < 4 THEN 16 WHEN {w} = 4 THEN 10 WHEN {w} = 5 THEN 9 WHEN {w} = 8 THEN 7 ELSE 2 END)",
+    "v2": "(CASE WHEN {w} < 4 THEN 10 WHEN {w} = 4 THEN 5 WHEN {w} = 8 THEN 4 ELSE 1 END)",
+    "cost": "(CASE WHEN (p + q * 2 + o) % 37 = 0 THEN 1.25 WHEN (p + o) % 29 = 0 THEN 0.9 ELSE 0.3 END)",
+    "shift": "(CASE WHEN (p + q + o) % 41 = 0 THEN 6 ELSE (p + o) % 5 END)",
+    "ocost": "(CASE WHEN (p * 3 + q) % 31 = 0 THEN 0.6 ELSE 0.2 END)",
+    "left_": "(o * 200 + (CASE WHEN (p + q) % 3 = 0 THEN 80 ELSE 95 END))",
+}
+for _k in _E:
+    for _ref in ("e", "w"):
+        if _k != _ref:
+            _E[_k] = _E[_k].replace("{" + _ref + "}", _E[_ref])
+_EV_LONG = "ev AS (SELECT answers.*, o, " + ", ".join(f"{v} AS {k}" for k, v in _E.items()) + " FROM answers CROSS JOIN (SELECT CAST(range AS BIGINT) AS o FROM range(4)))"
+_EV_BY = "p, q"
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per answer with four structs of measurements; the page is 1,100 wide, so the unit is 1."""
+    rows = X.papers(spark, sf_dir).select("paper_id", F.posexplode("answers").alias("q", "answer"), "details", "status", "version")
+    rows = rows.withColumn("p", F.col("paper_id")).withColumn("q", F.col("q").cast("long"))
+    v = "array(CAST({v0} AS INT), CAST({v1} AS INT), CAST({v2} AS INT))".format(**_E)
+    shift = f"array(CAST(-{_E['shift']} AS INT), 0)"
+    over = lambda body: F.expr(f"transform(sequence(0L, 3L), o -> {body})")
+    detail = F.get("details", F.col("q").cast("int"))
+    return rows.select(
+        "paper_id",
+        "q",
+        over(f"named_struct('ratio', CAST({_E['ratio']} AS DOUBLE), 'pixels', CAST({_E['pixels']} AS INT), 'inside_pixels', CAST({_E['inside']} AS INT))").alias("ink"),
+        over(f"named_struct('pixels_by_threshold', {v}, 'registration_cost', CAST({_E['cost']} AS DOUBLE), 'shift', {shift}, 'search_limit', 6)").alias("boxes"),
+        over(f"named_struct('v', {v}, 'cost', CAST({_E['ocost']} AS DOUBLE), 'shift', {shift}, 'limit', 6, 'left', CAST({_E['left_']} AS INT))").alias("options"),
+        over(v).alias("colour"),
+        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda o: (o * 200 + 100) / 1100).alias("box_x"),
+        F.struct(
+            F.coalesce(detail["answer"], F.lit("?")).alias("answer"),
+            detail["confidence"].alias("confidence"),
+            F.coalesce(detail["reason"], F.lit("")).alias("reason"),
+            detail["suggested_answer"].alias("suggested_answer"),
+        ).alias("read"),
+    )
+
+
+_UNIT = F.lit(1.0)
+_PICK = "SUBSTR('ABCD', CAST({} AS INT) + 1, 1)"
+_INK = f"""ink0 AS (SELECT p, q, count(*) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS n, min(o) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS first,
+ count(*) FILTER (ratio >= 0.009 AND pixels >= 4 AND inside >= 2) AS m, count(*) FILTER (pixels >= 4) AS faint FROM ev GROUP BY p, q),
+comp AS (SELECT ev.p, ev.q, bool_and(ev.o = first) AS alone FROM ev JOIN ink0 USING (p, q) WHERE ratio >= 0.009 AND pixels >= 4 AND inside >= 2 GROUP BY ev.p, ev.q),
+ink AS (SELECT ink0.p, ink0.q, CASE WHEN n = 1 AND coalesce(alone, true) THEN {_PICK.format('first')} ELSE '?' END AS answer,
+ CASE WHEN n = 1 AND coalesce(alone, true) THEN 'Single mark after brightness and local alignment correction; verify scan.' WHEN n > 1 THEN 'Multiple marks or correction; review the scan.'
+ WHEN faint > 0 THEN 'Faint, off-box or conflicting ink; review before scoring.' ELSE 'No reliable mark found; confirm a blank from the scan.' END AS reason FROM ink0 LEFT JOIN comp USING (p, q))"""
+_BOX = f"""box0 AS (SELECT p, q, bool_and(cost < 1.25 AND shift < 6) AS valid, count(*) FILTER (v1 >= 10 AND v2 >= 5 AND cost < 0.9) AS n, min(o) FILTER (v1 >= 10 AND v2 >= 5 AND cost < 0.9) AS sel FROM ev GROUP BY p, q),
+box1 AS (SELECT b.p, b.q, valid AND n = 1 AND count(*) FILTER (ev.o <> sel AND v0 >= 5) = 0 AS clear, any_value({_PICK.format('sel')}) AS letter FROM box0 b JOIN ev USING (p, q) GROUP BY b.p, b.q, valid, n),
+box AS (SELECT p, q, CASE WHEN clear AND ink.answer IN ('?', letter) THEN letter ELSE ink.answer END AS answer, CASE WHEN clear AND ink.answer IN ('?', letter) THEN 'strong' ELSE 'review' END AS confidence,
+ CASE WHEN clear AND ink.answer IN ('?', letter) THEN 'Clear checkbox mark at three contrast levels; other options clear.' WHEN clear THEN 'Readers disagree; check the scan.' ELSE reason END AS reason FROM box1 JOIN ink USING (p, q))"""
+
+
+def _shown(column: str) -> list[F.Column]:
+    return [F.col(f"{column}.answer").alias("answer"), F.col(f"{column}.confidence").alias("confidence"), F.col(f"{column}.reason").alias("reason")]
+
+
+@_add("ev1_read_ink", f"WITH {_EV_LONG}, {_INK} SELECT p AS paper_id, q, answer, reason FROM ink")
+def read_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).select("paper_id", "q", E.read_ink(F.col("ink"), _UNIT).alias("r")).select("paper_id", "q", "r.*")
+
+
+def _checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir).withColumn("i", E.read_ink(F.col("ink"), _UNIT))
+    return rows.withColumn("b", E.read_checkbox(F.col("i"), F.col("boxes"), _UNIT))
+
+
+@_add("ev2_read_checkbox", f"WITH {_EV_LONG}, {_INK}, {_BOX} SELECT p AS paper_id, q, answer, confidence, reason FROM box")
+def read_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checkbox(spark, sf_dir).select("paper_id", "q", *_shown("b"))
+
+
+_OPTION = f"""opt0 AS (SELECT p, q, bool_and(ocost < 0.6 AND shift < 6) AS valid, count(*) FILTER (v1 >= 7 AND v2 >= 4) AS comps, count(*) FILTER (v1 >= 15 AND v2 >= 7.5) AS n, min(o) FILTER (v1 >= 15 AND v2 >= 7.5) AS sel FROM ev GROUP BY p, q),
+opt1 AS (SELECT t.p, t.q, valid, comps, n = 1 AND count(*) FILTER (ev.o <> sel AND v0 >= 5) = 0 AS lone, any_value({_PICK.format('sel')}) AS choice, any_value((sel * 200 + 100) - left_) FILTER (ev.o = sel) AS gap FROM opt0 t JOIN ev USING (p, q) GROUP BY t.p, t.q, valid, comps, n),
+opt2 AS (SELECT *, valid AND comps > 1 AND confidence <> 'strong' AS many, valid AND NOT (comps > 1 AND confidence <> 'strong') AND lone AS usable FROM opt1 JOIN box USING (p, q)),
+opt3 AS (SELECT *, usable AND answer NOT IN ('?', choice) AS clash, usable AND answer = '?' AND gap <= 15.000001 AS saved, usable AND answer = '?' AND gap > 15.000001 AS beside FROM opt2)"""
+
+
+@_add(
+    "ev3_read_option_text",
+    f"""WITH {_EV_LONG}, {_INK}, {_BOX}, {_OPTION} SELECT p AS paper_id, q, CASE WHEN many OR clash THEN '?' WHEN saved THEN choice ELSE answer END AS answer, CASE WHEN many OR clash OR saved OR beside THEN 'review' ELSE confidence END AS confidence,
+ CASE WHEN many THEN 'Ink at multiple option positions; check for a crossed-out choice or tick tail.' WHEN clash THEN 'Checkbox and surrounding option marks disagree; check for a correction.' WHEN saved THEN 'Mark recovered around a faint checkbox; verify the scan.'
+ WHEN beside THEN 'Possible mark beside the option text. Check for crossed-out choices before accepting.' ELSE reason END AS reason, CASE WHEN beside THEN choice END AS suggested_answer FROM opt3""",
+)
+def read_option_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _checkbox(spark, sf_dir)
+    rows = rows.withColumn("r", E.read_option_text(F.col("b"), F.col("options"), F.col("box_x"), F.lit(1100), _UNIT))
+    return rows.select("paper_id", "q", *_shown("r"), "r.suggested_answer")
+
+
+_SECOND = "s AS (SELECT *, coalesce(d_answer, '?') AS a, coalesce(confidence, '') AS c, coalesce(reason, '') AS r, CASE WHEN (p + q) % 11 <> 0 THEN SUBSTR('ABCD??', CAST((p * 5 + q * 3) % 6 AS INT) + 1, 1) END AS b, CASE WHEN (p + q) % 3 = 0 THEN 'strong' ELSE 'review' END AS sc FROM answers)"
+
+
+def _second_sql(conflict: str, saved: str) -> str:
+    return f"""WITH {_SECOND}, m AS (SELECT *, b IS NOT NULL AND a <> '?' AND b <> '?' AND a <> b AS clash, b IS NOT NULL AND a = '?' AND b <> '?' AND sc = 'strong' AND coalesce(suggested, b) = b AS saved FROM s)
+ SELECT p AS paper_id, q, CASE WHEN clash THEN '?' WHEN saved THEN b ELSE a END AS answer, CASE WHEN clash OR saved THEN 'review' ELSE confidence END AS confidence, CASE WHEN clash THEN '{conflict}' WHEN saved THEN '{saved}' ELSE r END AS reason FROM m"""
+
+
+def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir)
+    n = F.col("paper_id") + F.col("q")
+    letter = F.get(F.array(*(F.lit(x) for x in "ABCD??")), ((F.col("paper_id") * 5 + F.col("q") * 3) % 6).cast("int"))
+    answer = F.when(n % 11 != 0, letter)
+    return rows.withColumn("second", F.struct(answer.alias("answer"), F.when(n % 3 == 0, "strong").otherwise("review").alias("confidence"), F.lit(None).cast("string").alias("suggested_answer")))
+
+
+@_add("ev4_combine_resolutions", _second_sql("Different resolutions disagree; inspect the original scan.", "Fine checkbox strokes recovered at higher resolution; verify the scan."))
+def combine_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _second(spark, sf_dir).withColumn("r", E.combine_resolutions(F.col("read"), F.col("second"))).select("paper_id", "q", *_shown("r"))
+
+
+@_add("ev6_merge_local_read", _second_sql("Original and locally aligned readings disagree.", "Mark recovered after local page-shape correction."))
+def merge_local_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _second(spark, sf_dir).withColumn("r", E.merge_local_read(F.col("read"), F.col("second"))).select("paper_id", "q", *_shown("r"))
+
+
+@_add(
+    "ev5_read_blue_ink",
+    f"""WITH {_EV_LONG}, {_SECOND}, c0 AS (SELECT p, q, count(*) FILTER (v1 >= 12 AND v2 >= 6) AS n, min(o) FILTER (v1 >= 12 AND v2 >= 6) AS sel FROM ev GROUP BY p, q),
+ c1 AS (SELECT c0.p, c0.q, n = 1 AND count(*) FILTER (ev.o <> sel AND v0 >= 5) = 0 AS lone, count(*) FILTER (ev.o <> sel AND v1 >= 7) > 0 AS loud, any_value({_PICK.format('sel')}) AS choice FROM c0 JOIN ev USING (p, q) GROUP BY c0.p, c0.q, n),
+ f AS (SELECT s.*, choice, lone AND a = '?' AND NOT regexp_matches(lower(r), 'multiple|disagree|conflict|correction') AND coalesce(b, '?') IN ('?', choice) AND coalesce(suggested, choice) = choice AND NOT loud AS fill FROM s JOIN c1 USING (p, q))
+ SELECT p AS paper_id, q, CASE WHEN fill THEN choice ELSE a END AS answer, CASE WHEN fill THEN 'review' ELSE confidence END AS confidence, CASE WHEN fill THEN 'Blue pen stroke recovered across the option row; retained for audit.' ELSE r END AS reason FROM f""",
+)
+def read_blue_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _second(spark, sf_dir)
+    none = F.array().cast(rows.schema["boxes"].dataType)
+    return rows.withColumn("r", E.read_blue_ink(F.col("read"), F.col("colour"), F.col("boxes"), F.col("second"), none, _UNIT)).select("paper_id", "q", *_shown("r"))
+
+
+_STROKES = "st AS (SELECT answers.*, i, CASE WHEN (p + q) % 7 = 0 THEN (p + i) % 4 ELSE (p * 3 + q) % 4 END AS o1, CASE WHEN (p + q + i) % 5 = 0 THEN (p * 3 + q + 1) % 4 END AS o2, (p + q) % 3 <> 0 AS long1 FROM answers CROSS JOIN (SELECT CAST(range AS BIGINT) AS i FROM range(3)))"
+
+
+@_add(
+    "ev7_stroke_vote",
+    f"""WITH {_STROKES}, r0 AS (SELECT p, q, i, o2 IS NOT NULL AND o2 <> o1 AND long1 AS several, CASE WHEN long1 AND coalesce(o2, o1) = o1 THEN {_PICK.format('o1')} ELSE '?' END AS ra FROM st),
+ r1 AS (SELECT p, q, count(*) FILTER (several) >= 2 AS conflict, count(DISTINCT ra) = 1 AND min(ra) <> '?' AS agreed, min(ra) AS choice FROM r0 GROUP BY p, q),
+ r2 AS (SELECT *, coalesce(d_answer, '?') AS a, coalesce(reason, '') AS rr FROM answers JOIN r1 USING (p, q)),
+ r3 AS (SELECT *, NOT conflict AND agreed AND a NOT IN ('?', choice) AS clash, NOT conflict AND agreed AND a = '?' AND coalesce(suggested, choice) = choice AS fill FROM r2)
+ SELECT p AS paper_id, q, CASE WHEN conflict OR clash THEN '?' WHEN fill THEN choice ELSE a END AS answer, CASE WHEN conflict OR clash OR fill THEN 'review' ELSE confidence END AS confidence,
+ CASE WHEN conflict THEN 'Separate checkmark strokes at multiple options; inspect the correction.' WHEN clash THEN 'Checkbox and checkmark-stroke readings disagree.' WHEN fill THEN 'Long tick recovered by its turning point at two resolutions and local alignment.' ELSE rr END AS reason FROM r3""",
+)
+def stroke_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir).withColumn("p", F.col("paper_id"))
+    body = """transform(sequence(0L, 2L), i -> named_struct('marks', filter(array(
+      named_struct('option', CAST(CASE WHEN (p + q) % 7 = 0 THEN (p + i) % 4 ELSE (p * 3 + q) % 4 END AS INT), 'long', (p + q) % 3 <> 0),
+      named_struct('option', CAST(CASE WHEN (p + q + i) % 5 = 0 THEN (p * 3 + q + 1) % 4 END AS INT), 'long', false)), m -> m.option IS NOT NULL)))"""
+    none = F.array().cast(rows.schema["boxes"].dataType)
+    return rows.withColumn("r", E.stroke_vote(F.col("read"), F.expr(body), none, none)).select("paper_id", "q", *_shown("r"))
+
+
+@_add(
+    "ev8_competing_mark_veto",
+    f"""WITH {_EV_LONG}, f AS (SELECT p, q, any_value(coalesce(d_answer, '?')) AS a, any_value(confidence) AS c, any_value(coalesce(reason, '')) AS r,
+ count(*) FILTER ({_PICK.format('o')} <> coalesce(d_answer, '?') AND cost < 0.9 AND v0 >= 3 AND v1 >= 16 AND v2 >= 10 AND ocost < 0.6) > 0 AS found FROM ev GROUP BY p, q), g AS (SELECT *, a IN ('A', 'B', 'C', 'D') AND regexp_matches(lower(r), 'multiple|correction') AND found AS veto FROM f)
+ SELECT p AS paper_id, q, CASE WHEN veto THEN '?' ELSE a END AS answer, CASE WHEN veto THEN 'review' ELSE c END AS confidence, CASE WHEN veto THEN 'Multiple marks or correction supported at two resolutions and option text.' ELSE r END AS reason FROM g""",
+)
+def competing_mark_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir)
+    veto = E.competing_mark_veto(F.col("read"), F.col("read.reason"), F.col("boxes"), F.col("boxes"), F.col("options"), _UNIT)
+    return rows.withColumn("r", veto).select("paper_id", "q", *_shown("r"))
+
+
+_OOF = {
+    0: "(CASE WHEN (p + q) % 4 = 0 THEN 0.9 ELSE 0.05 END)",
+    1: "(CASE WHEN (p + q) % 4 = 1 THEN 0.75 ELSE 0.1 END)",
+    2: "(CASE WHEN (p + q) % 4 = 2 THEN 0.8 WHEN p % 7 = 0 THEN 0.15 ELSE 0.0 END)",
+    3: "(CASE WHEN (p + q) % 4 = 3 THEN 0.74 ELSE 0.02 END)",
+}
+_ALLOWED = "a = '?' AND NOT regexp_matches(lower(r), 'no reliable mark|separate checkmark|readings disagree|readers disagree|marks disagree|multiple marks or correction')"
+_WINNER = "CASE WHEN (p + q) % 4 < 3 AND NOT (p % 7 = 0 AND (p + q) % 4 <> 2) THEN SUBSTR('ABC', CAST((p + q) % 4 AS INT) + 1, 1) END"
+
+
+def _oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evidence(spark, sf_dir).withColumn("p", F.col("paper_id"))
+    return rows.withColumn("scores", F.array(*(F.expr(f"CAST({_OOF[i]} AS DOUBLE)") for i in range(4))))
+
+
+@_add(
+    "ev11_recover_by_forest",
+    f"WITH {_SECOND}, t AS (SELECT *, {_WINNER} AS choice FROM s), f AS (SELECT *, choice IS NOT NULL AND p % 3 <> 0 AND coalesce(suggested, choice) = choice AND coalesce(nullif(b, '?'), choice) = choice AND {_ALLOWED} AS fill FROM t) "
+    "SELECT p AS paper_id, q, CASE WHEN fill THEN choice ELSE a END AS answer, CASE WHEN fill THEN 'review' ELSE confidence END AS confidence, CASE WHEN fill THEN 'Mark recovered by the template-specific classifier; retained for verification.' ELSE r END AS reason FROM f",
+)
+def recover_by_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _oof(spark, sf_dir).select("paper_id", "q", "scores")
+    rows = _second(spark, sf_dir).join(scores, ["paper_id", "q"])
+    others = F.array("read.suggested_answer", "second.answer")
+    return rows.withColumn("r", E.recover_by_forest(F.col("read"), F.col("scores"), F.col("paper_id") % 3 != 0, others)).select("paper_id", "q", *_shown("r"))
+
+
+@_add(
+    "ev13_grouped_oof_check",
+    f"WITH {_SECOND}, t AS (SELECT *, CASE WHEN {_ALLOWED} THEN {_WINNER} END AS choice FROM s) SELECT count(*) FILTER (choice = k) AS matches, count(*) FILTER (choice <> k) AS errors, count(DISTINCT p) AS students, count(*) FILTER (choice <> k) = 0 AND count(DISTINCT p) >= 5 AS may_export FROM t",
+)
+def grouped_oof_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = X.papers(spark, sf_dir).select("paper_id", F.posexplode("key").alias("q", "expected")).withColumn("q", F.col("q").cast("long"))
+    rows = _oof(spark, sf_dir).join(keys, ["paper_id", "q"])
+    return forest.grouped_oof_check(rows.select(F.col("paper_id").alias("student"), "q", "read.answer", "read.reason", "expected", "scores"))
+
+
+@_add("ev9_ev10_forest_scores")
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.papers(spark, sf_dir).select("paper_id", F.posexplode("answers").alias("q", "answer")).filter("answer = '?'").withColumn("p", F.col("paper_id"))
+    raw = F.expr(f"transform(sequence(0L, {4 * forest.RAW - 1}L), i -> CAST((p * 7 + q * 13 + i * i) % 23 AS DOUBLE) / 4)")
+    out = forest.scored_options(rows.select("paper_id", "q", raw.alias("raw")), forest.example_forest())
+    return out.select("paper_id", "q", *(F.round(F.get("scores", F.lit(i)), 9).alias(f"score_{x}") for i, x in enumerate("abcd")))
+
+
+@_add(
+    "ev12_assemble_paper",
+    """WITH r AS (SELECT answers.*, CASE WHEN p % 10 = 0 AND q >= 10 THEN '?' ELSE answer END AS got FROM answers),
+ t AS (SELECT p, string_agg(got, '' ORDER BY q) AS answers, CAST(4 * sum(CASE WHEN got = k THEN 1 ELSE 0 END) AS INT) AS total, CAST(sum(CASE WHEN got = '?' THEN 1 ELSE 0 END) AS INT) AS unresolved, bool_or(got = '?') AS unsure FROM r GROUP BY p)
+ SELECT batch_no AS batch_id, idx, answers, total, unresolved, CASE WHEN papers.p % 6 = 0 THEN '' ELSE n_name END AS school, concat_ws(',', CASE WHEN unsure THEN 'uncertain answers' END, CASE WHEN papers.p % 6 = 0 THEN 'no field readings' END) AS flags, 'review' AS status, 1 AS version
+ FROM papers JOIN t USING (p)""",
+)
+def assemble_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = X.papers(spark, sf_dir)
+    reads = papers.select("batch_id", "idx", "paper_id", F.posexplode("answers").alias("q", "answer")).filter("NOT (paper_id % 10 = 0 AND q >= 10)")
+    reads = reads.select("batch_id", "idx", "q", "answer", F.lit("review").alias("confidence"), F.lit("read").alias("reason"))
+    nation = X.base(spark, sf_dir).filter("p % 6 <> 0").select(F.col("batch_no").alias("batch_id"), "idx", F.lit("school").alias("field"), F.col("n_name").alias("suggested"))
+    out = forest.assemble_papers(papers.select("batch_id", "idx", "key"), reads, nation)
+    return out.select(
+        "batch_id", "idx", F.array_join("answers", "").alias("answers"), "score.total", "score.unresolved", F.try_element_at("fields", F.lit("school")).alias("school"), F.array_join("flags", ",").alias("flags"), "status", "version"
+    )
+
+
+# --- field readings ------------------------------------------------------------------------------
+
+_CANDS = """cands AS (SELECT p, f, field, CAST(i AS INT) AS pos, CASE WHEN (p + f + i) % 4 = 0 THEN upper(v) || ' ' WHEN (p + f + i) % 4 = 1 THEN v ELSE v || CAST((p + i) % 3 AS VARCHAR) END AS text,
+ CAST((p * 3 + f + i * 7) % 5 AS DOUBLE) / 10 + 0.5 AS score, CASE i WHEN 0 THEN 'original' WHEN 1 THEN 'grid removed' ELSE 'cell interiors' END AS method
+ FROM (SELECT p, f, field, CASE WHEN coalesce(val, '') = '' THEN 'none' ELSE val END AS v FROM fields) CROSS JOIN (SELECT CAST(range AS BIGINT) AS i FROM range(3)))"""
+_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY p, field ORDER BY CASE WHEN field LIKE '%mobile' THEN regexp_full_match(text, '[0-9]{10}') WHEN field = 'class' THEN regexp_full_match(text, '[0-9]{1,2}(\\s*[A-Za-z])?') ELSE false END DESC,
+ score - CASE WHEN field LIKE '%mobile' OR method = 'original' THEN 0.0 WHEN method = 'grid removed' THEN 0.04 ELSE 0.06 END DESC, pos) AS rank FROM cands)"""
+_UNIQUE = "uniq AS (SELECT *, row_number() OVER (PARTITION BY p, field ORDER BY rank) AS place FROM (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY p, field, lower(replace(text, ' ', '')) ORDER BY rank) = 1))"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recogniser candidates for each field, with ties and repeated texts."""
+    rows = X.papers(spark, sf_dir).withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    field = F.get(F.array(*(F.lit(k) for k in FIELDS)), F.col("f").cast("int"))
+    rows = rows.select("paper_id", F.col("paper_id").alias("p"), "f", field.alias("field"), "fields").withColumn("v", F.coalesce(F.nullif(F.try_element_at("fields", F.col("field")), F.lit("")), F.lit("none")))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return rows.select(
+        "paper_id",
+        "field",
+        F.col("i").cast("int").alias("pos"),
+        F.expr("CASE WHEN (p + f + i) % 4 = 0 THEN concat(upper(v), ' ') WHEN (p + f + i) % 4 = 1 THEN v ELSE concat(v, CAST((p + i) % 3 AS STRING)) END").alias("text"),
+        F.expr("CAST((p * 3 + f + i * 7) % 5 AS DOUBLE) / 10D + 0.5D").alias("score"),
+        F.expr("CASE i WHEN 0 THEN 'original' WHEN 1 THEN 'grid removed' ELSE 'cell interiors' END").alias("method"),
+    )
+
+
+@_add("ocr1_rank_candidates", f"WITH {_CANDS}, {_RANKED} SELECT p AS paper_id, field, pos, rank FROM ranked")
+def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.ranked_candidates(_candidates(spark, sf_dir)).select("paper_id", "field", "pos", "rank")
+
+
+@_add("ocr2_distinct_candidates", f"WITH {_CANDS}, {_RANKED}, {_UNIQUE} SELECT p AS paper_id, field, pos, place AS rank FROM uniq")
+def distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.distinct_candidates(readings.ranked_candidates(_candidates(spark, sf_dir))).select("paper_id", "field", "pos", "rank")
+
+
+_STATES = """readings AS (SELECT p, field, CASE WHEN p % 9 = 0 THEN '' ELSE min(text) FILTER (place = 1) END AS suggested, count(*) AS n, list(text ORDER BY place) AS cands FROM uniq GROUP BY p, field),
+states AS (SELECT *, CASE WHEN suggested = '' THEN 'unreadable' WHEN field LIKE '%mobile' AND NOT regexp_full_match(suggested, '[0-9]{10}') THEN 'incomplete' WHEN n > 1 THEN 'conflict' ELSE 'review' END AS state FROM readings)"""
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = _candidates(spark, sf_dir)
+    unique = readings.distinct_candidates(readings.ranked_candidates(candidates))
+    ink = candidates.select("paper_id", "field", F.when(F.col("paper_id") % 9 == 0, 0.005).otherwise(0.006).alias("added_ink")).distinct()
+    texts = unique.groupBy("paper_id", "field").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("t"))
+    texts = texts.select("paper_id", "field", F.transform("t", lambda x: x["text"]).alias("candidates"))
+    return readings.reading_states(unique, ink).join(texts, ["paper_id", "field"])
+
+
+@_add("ocr3_reading_state", f"WITH {_CANDS}, {_RANKED}, {_UNIQUE}, {_STATES} SELECT p AS paper_id, field, suggested, n AS n_candidates, state FROM states")
+def reading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readings(spark, sf_dir).select("paper_id", "field", "suggested", "n_candidates", "state")
+
+
+_LOOSE = "lower(regexp_replace({}, '\\s', '', 'g'))"
+
+
+@_add(
+    "ocr4_merge_second_reader",
+    f"""WITH {_CANDS}, {_RANKED}, {_UNIQUE}, {_STATES}, m0 AS (SELECT s.*, CASE WHEN p % 8 = 0 THEN NULL WHEN p % 8 = 1 THEN '' WHEN p % 8 < 5 THEN suggested || '  x' ELSE ' ' || upper(suggested) END AS raw FROM states s),
+ m1 AS (SELECT *, CASE WHEN field LIKE '%mobile' THEN regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '[\\s()\\-]', '', 'g') ELSE trim(regexp_replace(raw, '\\s+', ' ', 'g')) END AS t FROM m0),
+ m2 AS (SELECT *, t IS NOT NULL AND suggested <> '' AND t <> '' AND {_LOOSE.format('suggested')} = {_LOOSE.format('t')} AS agreed, len(list_filter(cands, lambda c: {_LOOSE.format('c')} = {_LOOSE.format('t')})) > 0 AS known FROM m1)
+ SELECT p AS paper_id, field, CASE WHEN t <> '' AND suggested <> '' AND field IN ('name', 'school', 'class', 'taluka') AND (field <> 'class' OR regexp_full_match(t, '([1-9]|1[012]|[IVXivx]{{1,4}})(st|nd|rd|th)?')) THEN t ELSE suggested END AS suggested,
+ len(cands) + CASE WHEN t <> '' AND NOT known THEN 1 ELSE 0 END AS n_candidates, CASE WHEN agreed THEN 'review' WHEN t IS NOT NULL AND t <> suggested THEN 'conflict' ELSE state END AS state, CASE WHEN t IS NOT NULL THEN agreed END AS reader_agreement FROM m2""",
+)
+def merge_second_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _readings(spark, sf_dir)
+    n = F.col("paper_id") % 8
+    text = F.when(n == 0, None).when(n == 1, "").when(n < 5, F.concat("suggested", F.lit("  x"))).otherwise(F.concat(F.lit(" "), F.upper("suggested")))
+    out = readings.merged_second_reader(rows, rows.select("paper_id", "field", text.alias("text")))
+    return out.select("paper_id", "field", "suggested", F.size("candidates").cast("long").alias("n_candidates"), "state", "reader_agreement")
+
+
+@_add(
+    "ocr5_refine_name_reading",
+    f"""WITH {_CANDS}, {_RANKED}, {_UNIQUE}, {_STATES}, m AS (SELECT *, CASE WHEN p % 5 = 0 THEN NULL WHEN p % 5 = 1 THEN trim(suggested) ELSE trim(regexp_replace(suggested || '  K', '\s+', ' ', 'g')) END AS t FROM states WHERE field = 'name'), u AS (SELECT *, coalesce(t <> '' AND suggested <> '', false) AS used FROM m)
+ SELECT p AS paper_id, CASE WHEN used THEN t ELSE suggested END AS suggested, CASE WHEN used THEN CASE WHEN t = suggested THEN 'review' ELSE 'conflict' END ELSE state END AS state,
+ len(cands) + CASE WHEN used AND len(list_filter(cands, lambda c: {_LOOSE.format('c')} = {_LOOSE.format('t')})) = 0 THEN 1 ELSE 0 END AS n_candidates FROM u""",
+)
+def refine_name_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _readings(spark, sf_dir)
+    n = F.col("paper_id") % 5
+    text = F.when(n == 0, None).when(n == 1, F.concat(F.lit(" "), "suggested")).otherwise(F.concat("suggested", F.lit("  K")))
+    out = readings.refined_names(rows, rows.filter("field = 'name'").select("paper_id", text.alias("text")))
+    return out.select("paper_id", "suggested", "state", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+# --- intake and exams ----------------------------------------------------------------------------
+
+
+@_add(
+    "val1_validate_exam_config",
+    "SELECT p_partkey AS id, concat_ws(',', CASE WHEN p_partkey % 5 = 1 THEN 'key' END, CASE WHEN p_partkey % 7 = 1 THEN 'questions' END, CASE WHEN p_partkey % 11 = 1 THEN 'page' END, CASE WHEN p_partkey % 13 = 1 THEN 'boxes' END, CASE WHEN p_partkey % 17 = 1 THEN 'rectangle' END, "
+    "CASE WHEN p_partkey % 19 = 1 THEN 'field' END, CASE WHEN p_partkey % 23 = 1 THEN 'field rectangle' END) AS violations FROM part",
+    long=False,
+)
+def validate_exam_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = """named_struct(
+      'key', transform(sequence(1, 25), i -> CASE WHEN p_partkey % 5 = 1 AND i = 3 THEN '-' ELSE 'A' END),
+      'mapping', map_from_arrays(
+        transform(sequence(1, CASE WHEN p_partkey % 7 = 1 THEN 24 ELSE 25 END), i -> CAST(i AS STRING)),
+        transform(sequence(1, CASE WHEN p_partkey % 7 = 1 THEN 24 ELSE 25 END), i -> named_struct(
+          'page', CASE WHEN p_partkey % 11 = 1 AND i = 10 THEN 1 WHEN i <= 10 THEN 0 ELSE 1 END,
+          'boxes', transform(sequence(1, CASE WHEN p_partkey % 13 = 1 AND i = 2 THEN 3 ELSE 4 END), b -> array(b / 10D, i / 40D, CASE WHEN p_partkey % 17 = 1 AND i = 7 THEN 0.9D ELSE 0.05D END, 0.02D))))),
+      'fields', map('name', named_struct('page', CASE WHEN p_partkey % 19 = 1 THEN 1 ELSE 0 END, 'box', array(0.1D, 0.1D, CASE WHEN p_partkey % 23 = 1 THEN 0D ELSE 0.3D END, 0.05D))))"""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(body).alias("c"))
+    return rows.select("id", F.array_join(intake.config_problems(F.col("c")), ",").alias("violations"))
+
+
+@_add("val4_page_count_check", "SELECT s_suppkey AS id, (s_suppkey * 37) % 6100 BETWEEN 2 AND 6000 AND (s_suppkey * 37) % 2 = 0 AS large, (s_suppkey * 37) % 6100 BETWEEN 2 AND 30 AND (s_suppkey * 37) % 2 = 0 AS small FROM supplier", long=False)
+def page_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = (F.col("s_suppkey") * 37) % 6100
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), intake.page_count_ok(pages).alias("large"), intake.page_count_ok(pages, small=True).alias("small"))
+
+
+@_add(
+    "val6_integrity_check",
+    "SELECT p_partkey AS key, CASE WHEN p_partkey % 10 = 1 THEN 'missing file' WHEN p_partkey % 10 = 2 THEN 'not listed' ELSE 'digest differs' END AS problem FROM part WHERE p_partkey % 10 IN (1, 2, 3)",
+    long=False,
+)
+def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    actual = files.filter("key % 10 <> 1").withColumn("digest", F.when(F.col("key") % 10 == 3, F.sha2(F.concat("name", F.lit("!")), 256)).otherwise(F.col("digest")))
+    return intake.integrity_check(files.filter("key % 10 <> 2"), actual)
+
+
+_LOAD = "load AS (SELECT p_partkey AS file_id, p_partkey % 5 AS exam_id, sha256(p_brand || CAST(p_size AS VARCHAR)) AS digest FROM part), kept AS (SELECT file_id AS import_id, exam_id, digest FROM load WHERE file_id % 20 = 0), known AS (SELECT exam_id, digest, min(import_id) AS import_id FROM kept GROUP BY ALL), firsts AS (SELECT exam_id, digest, min(file_id) AS first_file FROM load GROUP BY ALL)"
+
+
+def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    digest = F.sha2(F.concat("p_brand", F.col("p_size").cast("string")), 256)
+    rows = _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("file_id"),
+        (F.col("p_partkey") % 5).alias("exam_id"),
+        digest.alias("digest"),
+        F.col("p_name").alias("stem"),
+        ((F.col("p_partkey") * 14) % 250).alias("pages"),
+        (F.col("p_size").cast("long") * 100_000).alias("size"),
+    )
+    return rows, rows.filter("file_id % 20 = 0").select(F.col("file_id").alias("import_id"), "exam_id", "digest")
+
+
+@_add(
+    "jn5_intake_dedupe",
+    f"WITH {_LOAD} SELECT file_id, exam_id, digest, CASE WHEN import_id IS NOT NULL OR file_id <> first_file THEN 'duplicate' ELSE 'new' END AS state, import_id, CASE WHEN import_id IS NULL THEN first_file END AS first_file FROM load JOIN firsts USING (exam_id, digest) LEFT JOIN known USING (exam_id, digest)",
+    long=False,
+)
+def intake_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.intake_dedupe(*_load(spark, sf_dir))
+
+
+@_add(
+    "chg7_plan_intake",
+    f"WITH {_LOAD} SELECT file_id, CAST(range AS INT) AS start_page, CAST(least(range + 30, pages) AS INT) AS end_page, p_name || ' · pages ' || CAST(range + 1 AS VARCHAR) || '–' || CAST(least(range + 30, pages) AS VARCHAR) AS name, CAST((least(range + 30, pages) - range) // 2 AS INT) AS students "
+    "FROM (SELECT file_id, p_name, (p_partkey * 14) % 250 AS pages FROM load JOIN part ON p_partkey = file_id JOIN firsts USING (exam_id, digest) LEFT JOIN known USING (exam_id, digest) WHERE import_id IS NULL AND file_id = first_file AND (p_partkey * 14) % 250 BETWEEN 2 AND 6000), LATERAL (SELECT unnest(range(0, pages, 30)) AS range)",
+    long=False,
+)
+def plan_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, stored = _load(spark, sf_dir)
+    parts, _ = intake.plan_intake(new, stored, _files(spark, sf_dir), X.batches(spark, sf_dir), 1 << 60)
+    return parts.select("file_id", "start_page", "end_page", "name", "students")
+
+
+@_add(
+    "src1_read_papers",
+    "SELECT p AS paper_id, p % 50 = 0 AS quarantined, CASE WHEN p % 50 <> 0 THEN string_agg(answer, '' ORDER BY q) END AS answers, CASE WHEN p % 50 <> 0 THEN pairing END AS pairing_verified FROM answers GROUP BY p, pairing",
+)
+def read_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.papers(spark, sf_dir)
+    document = F.to_json(F.struct("answers", "detected_answers", "answer_overrides", "answer_checks", "details", "fields", "field_ocr", "field_review", "pairing_verified"))
+    raw = rows.select("paper_id", F.when(F.col("paper_id") % 50 == 0, F.substring(document, 1, 60)).otherwise(document).alias("data"))
+    good, bad = readers.read_papers(raw)
+    good = good.select("paper_id", F.lit(False).alias("quarantined"), F.array_join("answers", "").alias("answers"), "pairing_verified")
+    return good.unionByName(bad.select("paper_id", F.lit(True).alias("quarantined")), allowMissingColumns=True)
+
+
+@_add(
+    "src2_read_exam_config",
+    f"WITH {X.EXAMS_SQL} SELECT exam_no AS exam_id, CAST(q + 1 AS INT) AS q, {X.KEY} AS key, CASE WHEN q < 10 THEN 0 ELSE 1 END AS page, CAST(q AS DOUBLE) / 50 AS box_4_y FROM exams CROSS JOIN (SELECT CAST(range AS BIGINT) AS q FROM range(25))",
+)
+def read_exam_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.expr(f"transform(sequence(0L, 24L), q -> {X.KEY})")
+    mapping = F.expr(
+        "map_from_arrays(transform(sequence(1, 25), i -> CAST(i AS STRING)), transform(sequence(1, 25), i -> named_struct('page', CASE WHEN i <= 10 THEN 0 ELSE 1 END, 'boxes', transform(sequence(1, 4), b -> array(b / 10D, (i - 1) / 50D, 0.05D, 0.01D)))))"
+    )
+    rows = X.exams(spark, sf_dir).withColumn("exam_no", F.col("exam_id"))
+    raw = rows.select("exam_id", F.to_json(F.struct(key.alias("key"), mapping.alias("mapping"))).alias("config"))
+    keys, boxes = readers.read_exam_config(raw)
+    return keys.join(boxes, ["exam_id", "q"]).select("exam_id", "q", "key", "page", F.get("box_4", F.lit(1)).alias("box_4_y"))
+
+
+@_add("src4_file_manifest")
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.file_manifest(spark, f"{sf_dir}/orders.parquet").select("size", "digest")
+
+
+# --- access --------------------------------------------------------------------------------------
+
+_NOW = 1_700_000_000_000
+_SESSIONS = f"sessions AS (SELECT event_id, user_id AS account_id, md5(CAST(event_id AS VARCHAR)) AS token_hash, {_NOW} + (event_id * 7919) % 1000000 - 300000 AS expires_at, {_NOW} - (event_id * 104729) % 2000000 AS last_active_at FROM events)"
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("user_id").alias("account_id"),
+        F.md5(e.cast("string")).alias("token_hash"),
+        (F.lit(_NOW) + (e * 7919) % 1000000 - 300000).alias("expires_at"),
+        (F.lit(_NOW) - (e * 104729) % 2000000).alias("last_active_at"),
+    )
+
+
+@_add("jn6_active_sessions", f"WITH {_SESSIONS} SELECT account_id, token_hash FROM sessions WHERE expires_at > {_NOW} AND last_active_at > {_NOW} - 900000 AND account_id % 10 <> 3", long=False)
+def active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sessions(spark, sf_dir)
+    accounts = rows.select("account_id", F.when(F.col("account_id") % 10 == 3, 0).otherwise(1).alias("active")).distinct()
+    return access.active_sessions(rows, accounts, _NOW).select("account_id", "token_hash")
+
+
+@_add("win1_single_session", f"WITH {_SESSIONS} SELECT account_id, token_hash, expires_at FROM sessions QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY expires_at DESC, token_hash DESC) = 1", long=False)
+def single_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.single_session(_sessions(spark, sf_dir))
+
+
+@_add("top1_recent_activity", "SELECT event_id AS id, user_id AS actor_id, event_type AS event FROM events ORDER BY ts DESC, event_id DESC LIMIT 200", long=False)
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("actor_id"), F.col("event_type").alias("event"), F.col("ts").alias("created_at"))
+    return access.recent_activity(rows).select("id", "actor_id", "event")
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins derived from events, dense enough for the rules to bite; each user has keys of its own."""
+    e = F.col("event_id")
+    return _table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), (e % 3).cast("string")).alias("key"),
+        ((e * 7919) % 3_600_000).alias("ms"),
+        (e % 13 == 0).alias("success"),
+    )
+
+
+@_add("st4_login_throttle")
+def login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.login_throttle(_attempts(spark, sf_dir), limit=2)
+
+
+@_add("st5_failed_login_burst")
+def failed_login_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.failed_login_burst(_attempts(spark, sf_dir), limit=2, window_ms=600_000)
+
+
+@_add(
+    "st6_idle_sessions",
+    """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, (event_id * 7919) % 20000000 AS ms FROM events), b AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < 900000 THEN 0 ELSE 1 END AS n FROM a WINDOW w AS (PARTITION BY key ORDER BY ms, event_id)),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT key, CAST(s AS INT) AS session, min(ms) AS started, max(ms) AS ended, count(*) AS n FROM c GROUP BY key, s""",
+    long=False,
+)
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return access.idle_sessions(_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", ((e * 7919) % 20_000_000).alias("ms")))
