@@ -1057,7 +1057,7 @@ def merge_second_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "ocr5_refine_name_reading",
-    f"""WITH {_CANDS}, {_RANKED}, {_UNIQUE}, {_STATES}, m AS (SELECT *, CASE WHEN p % 5 = 0 THEN NULL WHEN p % 5 = 1 THEN trim(suggested) ELSE trim(regexp_replace(suggested || '  K', '\s+', ' ', 'g')) END AS t FROM states WHERE field = 'name'), u AS (SELECT *, coalesce(t <> '' AND suggested <> '', false) AS used FROM m)
+    f"""WITH {_CANDS}, {_RANKED}, {_UNIQUE}, {_STATES}, m AS (SELECT *, CASE WHEN p % 5 = 0 THEN NULL WHEN p % 5 = 1 THEN trim(suggested) ELSE trim(regexp_replace(suggested || '  K', '\\s+', ' ', 'g')) END AS t FROM states WHERE field = 'name'), u AS (SELECT *, coalesce(t <> '' AND suggested <> '', false) AS used FROM m)
  SELECT p AS paper_id, CASE WHEN used THEN t ELSE suggested END AS suggested, CASE WHEN used THEN CASE WHEN t = suggested THEN 'review' ELSE 'conflict' END ELSE state END AS state,
  len(cands) + CASE WHEN used AND len(list_filter(cands, lambda c: {_LOOSE.format('c')} = {_LOOSE.format('t')})) = 0 THEN 1 ELSE 0 END AS n_candidates FROM u""",
 )
