@@ -5,7 +5,8 @@ bin keeps its least hash. An empty bin borrows from the first filled bin of its
 order of bins, so equal sets borrow alike (densification). Runs of ``ROWS`` bins form band keys.
 Documents of one key form a bucket; each is paired with the bucket's few centres only, so pairs grow
 with members, not with their square. Pairs are confirmed on full sets, and groups are the connected
-components of confirmed links.
+components of confirmed links. Buckets that still hold several components get fresh centres, until a whole
+round of them confirms no further link.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tallyroom.llm import common
 
 BINS = 128
 ROWS = 4
-CENTRES = 4
+CENTRES = 8
 SHINGLE = 5
 _TABLE = common.byte_table()
 _BIN_BITS = np.uint64(64 - 7)
@@ -119,6 +120,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.stored(wide.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
 
 
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """(u, v, shared) pairs of a bucket's members (doc_id, key, component) with its centres of other components.
+
+    A bucket's centres are the members that are least under CENTRES random orders, which change with ``turn``;
+    the first order of turn 0 is that of doc_id. Buckets of one component have none.
+    """
+    masks = [F.xxhash64(F.col("key"), F.lit(turn * CENTRES + j)) if turn + j else F.lit(0).cast("long") for j in range(CENTRES)]
+    least = [F.min(F.col("doc_id").bitwiseXOR(m)).alias(f"c{j}") for j, m in enumerate(masks)]
+    buckets = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *least).filter("a <> b")
+    centres = F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(m) for j, m in enumerate(masks))))
+    star = members.join(buckets.select("key", centres.alias("centres")), "key").select("doc_id", "component", F.explode("centres").alias("centre"))
+    star = star.groupBy("doc_id", "component", "centre").agg(F.count("*").alias("shared"))
+    other = members.select(F.col("doc_id").alias("centre"), F.col("component").alias("other")).distinct()
+    star = star.join(other, "centre").filter("component <> other")
+    return star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.max("shared").alias("shared"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
@@ -136,31 +154,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = common.stored(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "nd-classes")
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = common.stored(banded.join(shared, "key"), "nd-members")
 
-    masks = [F.lit(0).cast("long"), *(F.xxhash64(F.col("key"), F.lit(j)) for j in range(1, CENTRES))]
-    least = [F.min(F.col("doc_id").bitwiseXOR(m)).alias(f"c{j}") for j, m in enumerate(masks)]
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1")
-    centres = [F.col(f"c{j}").bitwiseXOR(m) for j, m in enumerate(masks)]
-    buckets = buckets.select("key", F.array_distinct(F.array(*centres)).alias("centres"))
-    star = banded.join(buckets, "key").select("doc_id", F.explode("centres").alias("centre")).filter("doc_id <> centre")
-    pairs = star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.count("*").alias("shared"))
-    pairs = common.stored(pairs, "nd-pairs")
-
-    # round one: each document's likeliest partner; round two: what still joins two components
+    # the likeliest partner of each document first: most groups then are one component already
+    pairs = common.stored(_stars(members.withColumn("component", F.col("doc_id")), 0), "nd-pairs")
     ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "shared").unionAll(
         pairs.select(F.col("v").alias("id"), F.col("u").alias("other"), "shared")
     )
     best = ends.groupBy("id").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
-    first = best.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
-    first = common.stored(first, "nd-first")
-    links = _confirmed(first, docs)
-    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
-    rest = pairs.select("u", "v").join(first, ["u", "v"], "left_anti")
-    rest = rest.join(groups.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
-    rest = rest.join(groups.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
-    rest = common.stored(rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"), "nd-rest")
-    links = links.unionAll(_confirmed(rest, docs))
-    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
+    tested = common.stored(best.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct(), "nd-first")
+    links = _confirmed(tested, docs)
+    rounds = 0
+    while True:
+        groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
+        labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
+        rest = common.stored(_stars(labelled, rounds).select("u", "v").join(tested, ["u", "v"], "left_anti"), "nd-rest")
+        fresh = _confirmed(rest, docs)
+        rounds += 1
+        if fresh.isEmpty() and rounds > 1:
+            break
+        links, tested = links.unionAll(fresh), tested.unionAll(rest)
 
     named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyroom.llm import decontaminate, langid, licenses, linededup, mixing, neardup, ngram_lm, quality, toolcalls, urlfilter
 from tallyroom.llm.common import table
+from tallyroom.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _crc(mod: int) -> F.Column:
@@ -16,7 +19,8 @@ def _crc(mod: int) -> F.Column:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judged(table(spark, sf_dir, "pages"))
+    out = urlfilter.judged(table(spark, sf_dir, "pages"))
+    return out.withColumn("trust", F.round("trust", 9)).withColumn("distrust", F.round("distrust", 9))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +109,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngram_lm.score_texts(table(spark, sf_dir, "documents"), _crc(7) != 2)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,5 +124,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_backoff_lm": op10_backoff_lm,
 }
-
-ORACLE_SQL: dict[str, str] = {}
