@@ -110,11 +110,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links among ``pairs`` (u, v). Only the texts of documents on a pair are shuffled."""
-    ids = common.stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nd-ids")
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = common.stored(texts, "nd-texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links among ``pairs`` (u, v)."""
     wide = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     wide = wide.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     return common.stored(wide.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
@@ -157,6 +154,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.stored(banded.join(shared, "key"), "nd-members")
 
+    # texts of bucket members, cut out once; ids grow with the documents, so this join shuffles at every size
+    ids = members.select("doc_id").distinct().hint("merge")
+    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = common.stored(texts, "nd-texts")
+
     # the likeliest partner of each document first: most groups then are one component already
     pairs = common.stored(_stars(members.withColumn("component", F.col("doc_id")), 0), "nd-pairs")
     ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "shared").unionAll(
@@ -164,14 +166,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     best = ends.groupBy("id").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
     tested = common.stored(best.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct(), "nd-first")
-    links = _confirmed(tested, docs)
+    links = _confirmed(tested, texts)
     rounds = 0
     while True:
         groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
         labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
         rest = common.stored(_stars(labelled, rounds).select("u", "v").join(tested, ["u", "v"], "left_anti"), "nd-rest")
-        fresh = _confirmed(rest, docs)
+        fresh = _confirmed(rest, texts)
         rounds += 1
         if fresh.isEmpty() and rounds > 1:
             break
@@ -191,7 +193,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents less all but one of each near-duplicate group and all but one row of a repeated doc_id."""
     groups = common.stored(near_duplicates(documents), "nd-result")
     gone = common.stored(groups.filter("NOT kept").select("doc_id").distinct(), "nd-gone")
-    left = documents.join(gone, "doc_id", "left_anti")
+    left = documents.join(gone.hint("merge"), "doc_id", "left_anti")
     again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = common.stored(again, "nd-again")
     once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
