@@ -55,7 +55,8 @@ def without_spread_lines(documents: DataFrame, site: str = "source", min_sites:
     lost = common.stored(lost.groupBy("doc_id").agg(F.collect_set("line_key").alias("_lost")), "ld-lost")
     lines = F.split("text", "\n")
     stays = F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(F.trim(x))))
-    out = documents.select(*kept).join(lost, "doc_id", "left").withColumn("_stays", F.when(F.col("_lost").isNotNull(), stays))
+    # the lists grow with the documents, so this join shuffles at every size
+    out = documents.select(*kept).join(lost.hint("merge"), "doc_id", "left").withColumn("_stays", F.when(F.col("_lost").isNotNull(), stays))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
     return out.select(
