@@ -77,6 +77,8 @@ def _features(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
+    if not logits.size:
+        return logits
     e = np.exp(logits - logits.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 

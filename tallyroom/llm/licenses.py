@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyroom.llm import common
 
 K = 2
-WINDOW = 3
+WINDOW = 2
 BAND = 6
 MIN_COVERAGE = 0.8
 MAX_TEMPLATES = 2000
@@ -92,22 +92,25 @@ def winnow(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndar
 def align(template: list[int], text: list[int], offset: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first, last) of the best alignment within ``band`` of the diagonal text = template + offset.
 
-    A cell has (matches, place of the first match, minus place of the last): most matches win, then the
-    latest start, then the earliest end, which is the tightest span.
+    A cell has (matches, minus the span's length, minus the distance of its first match from the diagonal,
+    minus its first place): most matches win, then the shortest span, then the nearest, then the earliest.
+    The number of matches is exact.
     """
-    none = (0, 0, 0)
-    row: dict[int, tuple[int, int, int]] = {}
+    none = (0, 0, 0, 0)
+    row: dict[int, tuple[int, int, int, int]] = {}
     for i, word in enumerate(template):
-        new: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + offset - band), min(len(text), i + offset + band + 1)):
+        new: dict[int, tuple[int, int, int, int]] = {}
+        for j in range(min(max(0, i + offset - band), len(text) - 1), min(len(text), i + offset + band + 1)):
             found = max(row.get(j, none), new.get(j - 1, none))
-            if text[j] == word:
-                before = row.get(j - 1, none)
-                found = max(found, (before[0] + 1, before[1] if before[0] else j, -j))
+            away = abs(j - i - offset)
+            if text[j] == word and away <= band:
+                n, _, far, start = row.get(j - 1, none)
+                far, start = (far, start) if n else (-away, -j)
+                found = max(found, (n + 1, -start - j - 1, far, start))
             new[j] = found
         row = new
-    best = max(row.values(), default=none)
-    return best[0], best[1], -best[2]
+    n, length, _, start = max(row.values(), default=none)
+    return n, -start, -start - length - 1
 
 
 class _Index:

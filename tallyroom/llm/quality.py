@@ -78,6 +78,8 @@ def log_ratios(documents: DataFrame, trusted: DataFrame) -> list[float]:
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    if not sum(target):
+        return [0.0] * BUCKETS
     shift = math.log((sum(raw) + BUCKETS) / (sum(target) + BUCKETS))
     return [math.log((t + 1) / (r + 1)) + shift for t, r in zip(target, raw, strict=True)]
 
@@ -86,7 +88,8 @@ def judged(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     """One row per row of ``documents``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
     A null text has no words and fails the base rules; so does an empty one. llr is null for a text
-    without words. Without trusted documents every ratio is that of equal smoothing. Repeated rows are
+    without words. Without trusted n-grams every ratio is 0, so
+    the base rules alone decide. Repeated rows are
     judged alike; a null doc_id is trusted by nobody; other columns are left out.
     """
     ratios = log_ratios(documents, trusted)
