@@ -796,7 +796,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_UNIT = F.lit(1.0)
+_UNIT = 1.0
 _PICK = "SUBSTR('ABCD', CAST({} AS INT) + 1, 1)"
 _INK = f"""ink0 AS (SELECT p, q, count(*) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS n, min(o) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS first,
  count(*) FILTER (ratio >= 0.009 AND pixels >= 4 AND inside >= 2) AS m, count(*) FILTER (pixels >= 4) AS faint FROM ev GROUP BY p, q),
@@ -816,12 +816,12 @@ def _shown(column: str) -> list[F.Column]:
 
 @_add("ev1_read_ink", f"WITH {_EV_LONG}, {_INK} SELECT p AS paper_id, q, answer, reason FROM ink")
 def read_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir).select("paper_id", "q", E.read_ink(F.col("ink"), _UNIT).alias("r")).select("paper_id", "q", "r.*")
+    return _evidence(spark, sf_dir).select("paper_id", "q", E.read_ink(F.col("ink"), F.lit(_UNIT)).alias("r")).select("paper_id", "q", "r.*")
 
 
 def _checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumn("i", E.read_ink(F.col("ink"), _UNIT))
-    return rows.withColumn("b", E.read_checkbox(F.col("i"), F.col("boxes"), _UNIT))
+    rows = _evidence(spark, sf_dir).withColumn("i", E.read_ink(F.col("ink"), F.lit(_UNIT)))
+    return rows.withColumn("b", E.read_checkbox(F.col("i"), F.col("boxes"), F.lit(_UNIT)))
 
 
 @_add("ev2_read_checkbox", f"WITH {_EV_LONG}, {_INK}, {_BOX} SELECT p AS paper_id, q, answer, confidence, reason FROM box")
@@ -843,7 +843,7 @@ opt3 AS (SELECT *, usable AND answer NOT IN ('?', choice) AS clash, usable AND a
 )
 def read_option_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checkbox(spark, sf_dir)
-    rows = rows.withColumn("r", E.read_option_text(F.col("b"), F.col("options"), F.col("box_x"), F.lit(1100), _UNIT))
+    rows = rows.withColumn("r", E.read_option_text(F.col("b"), F.col("options"), F.col("box_x"), F.lit(1100), F.lit(_UNIT)))
     return rows.select("paper_id", "q", *_shown("r"), "r.suggested_answer")
 
 
@@ -883,7 +883,7 @@ def merge_local_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_blue_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _second(spark, sf_dir)
     none = F.array().cast(rows.schema["boxes"].dataType)
-    return rows.withColumn("r", E.read_blue_ink(F.col("read"), F.col("colour"), F.col("boxes"), F.col("second"), none, _UNIT)).select("paper_id", "q", *_shown("r"))
+    return rows.withColumn("r", E.read_blue_ink(F.col("read"), F.col("colour"), F.col("boxes"), F.col("second"), none, F.lit(_UNIT))).select("paper_id", "q", *_shown("r"))
 
 
 _STROKES = "st AS (SELECT answers.*, i, CASE WHEN (p + q) % 7 = 0 THEN (p + i) % 4 ELSE (p * 3 + q) % 4 END AS o1, CASE WHEN (p + q + i) % 5 = 0 THEN (p * 3 + q + 1) % 4 END AS o2, (p + q) % 3 <> 0 AS long1 FROM answers CROSS JOIN (SELECT CAST(range AS BIGINT) AS i FROM range(3)))"
@@ -915,7 +915,7 @@ def stroke_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def competing_mark_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _evidence(spark, sf_dir)
-    veto = E.competing_mark_veto(F.col("read"), F.col("read.reason"), F.col("boxes"), F.col("boxes"), F.col("options"), _UNIT)
+    veto = E.competing_mark_veto(F.col("read"), F.col("read.reason"), F.col("boxes"), F.col("boxes"), F.col("options"), F.lit(_UNIT))
     return rows.withColumn("r", veto).select("paper_id", "q", *_shown("r"))
 
 
