@@ -22,7 +22,7 @@ from tallyroom.llm import common
 
 BINS = 128
 ROWS = 4
-CENTRES = 8
+CENTRES = 4
 SHINGLE = 5
 _TABLE = common.byte_table()
 _BIN_BITS = np.uint64(64 - 7)
@@ -76,8 +76,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     orders = _orders()
     bands = BINS // ROWS
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
             sets = shingle_sets(part.column("text"))
             signature = densified(sets, orders)
             keys = np.zeros((len(sets), bands), np.uint64)
@@ -100,8 +100,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs with 100 * intersection >= 75 * union of full sets."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
             left, right = shingle_sets(part.column("text_u")), shingle_sets(part.column("text_v"))
             keep = []
             for a, b in zip(left, right, strict=True):
@@ -117,21 +117,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.stored(wide.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
+def _stars(members: DataFrame, turn: int, centres: int) -> DataFrame:
     """(u, v, shared) pairs of a bucket's members (doc_id, key, component) with its centres of other components.
 
-    A bucket's centres are the members that are least under CENTRES random orders, which change with ``turn``;
-    the first order of turn 0 is that of doc_id. Buckets of one component have none.
+    A bucket's centres are the members that are least under ``centres`` random orders, which change with
+    ``turn``. Buckets of one component have none.
     """
-    masks = [F.xxhash64(F.col("key"), F.lit(turn * CENTRES + j)) if turn + j else F.lit(0).cast("long") for j in range(CENTRES)]
-    least = [F.min(F.col("doc_id").bitwiseXOR(m)).alias(f"c{j}") for j, m in enumerate(masks)]
-    buckets = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *least).filter("a <> b")
-    centres = F.array_distinct(F.array(*(F.col(f"c{j}").bitwiseXOR(m) for j, m in enumerate(masks))))
-    star = members.join(buckets.select("key", centres.alias("centres")), "key").select("doc_id", "component", F.explode("centres").alias("centre"))
-    star = star.groupBy("doc_id", "component", "centre").agg(F.count("*").alias("shared"))
-    other = members.select(F.col("doc_id").alias("centre"), F.col("component").alias("other")).distinct()
-    star = star.join(other, "centre").filter("component <> other")
-    return star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.max("shared").alias("shared"))
+    masks = [F.xxhash64(F.col("key"), F.lit(turn), F.lit(j)) for j in range(centres)]
+    chosen = []
+    for j, mask in enumerate(masks):
+        order = F.col("doc_id").bitwiseXOR(mask)
+        chosen += [F.min(order).alias(f"c{j}"), F.min_by("component", order).alias(f"g{j}")]
+    buckets = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *chosen).filter("a <> b")
+    stars = F.array_distinct(F.array(*(F.struct(F.col(f"c{j}").bitwiseXOR(m).alias("id"), F.col(f"g{j}").alias("component")) for j, m in enumerate(masks))))
+    star = members.join(buckets.select("key", stars.alias("stars")), "key")
+    other = F.filter("stars", lambda s: s["component"] != F.col("component"))
+    star = star.select("doc_id", F.explode(F.transform(other, lambda s: s["id"])).alias("centre"))
+    return star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.count("*").alias("shared"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = common.stored(texts, "nd-texts")
 
     # the likeliest partner of each document first: most groups then are one component already
-    pairs = common.stored(_stars(members.withColumn("component", F.col("doc_id")), 0), "nd-pairs")
+    pairs = common.stored(_stars(members.withColumn("component", F.col("doc_id")), 0, CENTRES), "nd-pairs")
     ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "shared").unionAll(
         pairs.select(F.col("v").alias("id"), F.col("u").alias("other"), "shared")
     )
@@ -170,9 +172,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rounds = 0
     while True:
         groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
-        labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-        labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-        rest = common.stored(_stars(labelled, rounds).select("u", "v").join(tested, ["u", "v"], "left_anti"), "nd-rest")
+        if rounds:
+            labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+            rest = _stars(labelled.withColumn("component", F.coalesce("component", "doc_id")), rounds, CENTRES)
+        else:
+            rest = pairs.join(groups.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
+            rest = rest.join(groups.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
+            rest = rest.filter("coalesce(cu, u) <> coalesce(cv, v)")
+        rest = common.stored(rest.select("u", "v").join(tested, ["u", "v"], "left_anti"), "nd-rest")
         fresh = _confirmed(rest, texts)
         rounds += 1
         if fresh.isEmpty() and rounds > 1:
