@@ -3,10 +3,10 @@
 A document's shingle set is hashed once; the top bits of a hash choose one of ``BINS`` bins and a
 bin keeps its least hash. An empty bin borrows from the first filled bin of its own fixed random
 order of bins, so equal sets borrow alike (densification). Runs of ``ROWS`` bins form band keys.
-Documents of one key form a bucket; each is paired with the bucket's few centres only, so pairs grow
-with members, not with their square. Pairs are confirmed on full sets, and groups are the connected
-components of confirmed links. Buckets that still hold several components get fresh centres, until a whole
-round of them confirms no further link.
+Documents of one key form a bucket; each is first paired with the bucket's few centres only, which links
+most groups. Then every pair of different components that a bucket still holds is looked at: blocks of the
+bucket's members meet, and a pair whose sizes or least hashes rule out a link is dropped (both are bounds,
+not estimates). Pairs are confirmed on full sets, and groups are the connected components of confirmed links.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from tallyroom.llm import common
 BINS = 128
 ROWS = 4
 CENTRES = 4
+BLOCK = 1024
+SKETCH_BITS = 10
+#: Unequal sets of fewer shingles than this are never 3/4 alike.
+LEAST = 3
 SHINGLE = 5
 _TABLE = common.byte_table()
-_BIN_BITS = np.uint64(64 - 7)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -51,14 +54,19 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
+def least_hashes(sets: list[np.ndarray], bits: int = 7) -> np.ndarray:
+    """The least hash of each of 2^bits bins, one row for each set; an empty bin holds _NONE."""
+    out = np.full((len(sets), 1 << bits), _NONE, np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if len(row):
+        values = np.concatenate(sets)
+        np.minimum.at(out, (row, (values >> np.uint64(64 - bits)).astype(np.int64)), values)
+    return out
+
+
 def densified(sets: list[np.ndarray], orders: np.ndarray) -> np.ndarray:
     """Signatures (one row of BINS hashes for each set); a row of an empty set stays empty."""
-    out = np.full((len(sets), BINS), _NONE, np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    if not len(row):
-        return out
-    values = np.concatenate(sets)
-    np.minimum.at(out, (row, (values >> _BIN_BITS).astype(np.int64)), values)
+    out = least_hashes(sets)
     filled = out != _NONE
     some = filled.any(axis=1)
     r, c = np.nonzero(~filled & some[:, None])
@@ -97,6 +105,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of the least hash of each bin, 0 for an empty one: different bytes mean different least hashes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = shingle_sets(part.column("text"))
+            least = least_hashes(sets, SKETCH_BITS)
+            sketch = np.where(least == _NONE, 0, np.maximum(least & np.uint64(255), 1)).astype(np.uint8)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "size", "sketch"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs with 100 * intersection >= 75 * union of full sets."""
     for batch in batches:
@@ -117,25 +137,101 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.stored(wide.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
 
 
-def _stars(members: DataFrame, turn: int, centres: int) -> DataFrame:
-    """(u, v, shared) pairs of a bucket's members (doc_id, key, component) with its centres of other components.
+def _alike_sizes(n: F.Column, m: F.Column) -> F.Column:
+    """Whether sets of these sizes can be 3/4 alike."""
+    return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+
+
+def _stars(members: DataFrame, centres: int) -> DataFrame:
+    """(u, v, shared) pairs of a bucket's members (doc_id, key, n_shingles) with its centres, of sizes that can link.
 
-    A bucket's centres are the members that are least under ``centres`` random orders, which change with
-    ``turn``. Buckets of one component have none.
+    A bucket's centres are the members that are least under ``centres`` random orders of all documents, so
+    buckets of much the same members have the same centres and form the same pairs.
     """
-    masks = [F.xxhash64(F.col("key"), F.lit(turn), F.lit(j)) for j in range(centres)]
     chosen = []
-    for j, mask in enumerate(masks):
-        order = F.col("doc_id").bitwiseXOR(mask)
-        chosen += [F.min(order).alias(f"c{j}"), F.min_by("component", order).alias(f"g{j}")]
-    buckets = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), *chosen).filter("a <> b")
-    stars = F.array_distinct(F.array(*(F.struct(F.col(f"c{j}").bitwiseXOR(m).alias("id"), F.col(f"g{j}").alias("component")) for j, m in enumerate(masks))))
+    for j in range(centres):
+        order = F.xxhash64("doc_id", F.lit(j))
+        chosen += [F.min_by("doc_id", order).alias(f"c{j}"), F.min_by("n_shingles", order).alias(f"n{j}")]
+    buckets = members.groupBy("key").agg(*chosen)
+    stars = F.array_distinct(F.array(*(F.struct(F.col(f"c{j}").alias("id"), F.col(f"n{j}").alias("n")) for j in range(centres))))
     star = members.join(buckets.select("key", stars.alias("stars")), "key")
-    other = F.filter("stars", lambda s: s["component"] != F.col("component"))
+    other = F.filter("stars", lambda s: (s["id"] != F.col("doc_id")) & _alike_sizes(s["n"], F.col("n_shingles")))
     star = star.select("doc_id", F.explode(F.transform(other, lambda s: s["id"])).alias("centre"))
     return star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.count("*").alias("shared"))
 
 
+def _block_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, own: np.ndarray, both: bool) -> Iterator[np.ndarray]:
+    """Pairs of places of one meeting of blocks that may link: of different components and within both bounds.
+
+    ``own`` says which rows are of the first block; with ``both`` only rows of different blocks are paired.
+    Every bin whose least hashes differ holds a hash of one set only, and 3/4 alike sets have 1/7 of the sum
+    of their sizes of such hashes at most.
+    """
+    rows = np.flatnonzero(own) if both else np.arange(len(ids))
+    cols = np.flatnonzero(~own) if both else rows
+    for r in rows.tolist():
+        c = cols if both else cols[cols > r]
+        c = c[(component[c] != component[r]) & (4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r]))]
+        if len(c):
+            c = c[7 * np.count_nonzero(sketch[c] != sketch[r], axis=1) <= n[c] + n[r]]
+        if len(c):
+            yield np.stack([np.maximum(ids[c], ids[r]), np.minimum(ids[c], ids[r])], axis=1)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) pairs that may link among rows sorted by meeting (key, i, j)."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        get = lambda name: table.column(name).to_numpy()
+        key, i, j, block, ids, n, component = (get(x) for x in ("key", "i", "j", "block", "doc_id", "size", "component"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 1 << SKETCH_BITS)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            found = list(_block_pairs(ids[a:b], n[a:b], component[a:b], sketch[a:b], block[a:b] == i[a], bool(i[a] != j[a])))
+            if found:
+                uv = np.concatenate(found)
+                for at in range(0, len(uv), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(uv[at : at + 100_000, 0]), pa.array(uv[at : at + 100_000, 1])], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, j = (batch.column(x).to_numpy() for x in ("key", "i", "j"))
+        ends = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+        cut = int(ends[-1]) + 1 if len(ends) else 0  # the last meeting may go on in the next batch
+        if held and (cut or (key[0], i[0], j[0]) != last):
+            done = [*held, batch.slice(0, cut)] if cut else held
+            yield from pairs(pa.Table.from_batches(done))
+            held = []
+        elif cut:
+            yield from pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+        last = (key[-1], i[-1], j[-1])
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def _remaining(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v) pairs of different components that share a bucket and may link by their sizes and sketches.
+
+    ``members``: doc_id, key, component. A bucket's members are dealt to blocks of about ``block``,
+    every two of which meet, so a bucket of any size is spread over tasks.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
+    # of two members one is the other's centre
+    sizes = sizes.filter("a <> b AND n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = common.stored(members.select("doc_id", "key", "component").join(sizes, "key"), "nd-open")
+    sketches = texts.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, size long, sketch binary")
+    rows = rows.join(common.stored(sketches, "nd-sketches").hint("merge"), "doc_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "size", "component", "sketch")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_meetings, "u long, v long").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
@@ -152,7 +248,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # documents with equal sets are one class, so copies never form pairs
     classes = common.stored(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "nd-classes")
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    banded = reps.filter(F.col("n_shingles") >= LEAST).select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.stored(banded.join(shared, "key"), "nd-members")
 
@@ -162,29 +258,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = common.stored(texts, "nd-texts")
 
     # the likeliest partner of each document first: most groups then are one component already
-    pairs = common.stored(_stars(members.withColumn("component", F.col("doc_id")), 0, CENTRES), "nd-pairs")
+    pairs = common.stored(_stars(members, CENTRES), "nd-pairs")
     ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "shared").unionAll(
         pairs.select(F.col("v").alias("id"), F.col("u").alias("other"), "shared")
     )
     best = ends.groupBy("id").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
     tested = common.stored(best.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct(), "nd-first")
     links = _confirmed(tested, texts)
-    rounds = 0
-    while True:
-        groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
-        if rounds:
-            labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-            rest = _stars(labelled.withColumn("component", F.coalesce("component", "doc_id")), rounds, CENTRES)
-        else:
-            rest = pairs.join(groups.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
-            rest = rest.join(groups.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
-            rest = rest.filter("coalesce(cu, u) <> coalesce(cv, v)")
-        rest = common.stored(rest.select("u", "v").join(tested, ["u", "v"], "left_anti"), "nd-rest")
-        fresh = _confirmed(rest, texts)
-        rounds += 1
-        if fresh.isEmpty() and rounds > 1:
-            break
-        links, tested = links.unionAll(fresh), tested.unionAll(rest)
+    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
+    rest = pairs.join(groups.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
+    rest = rest.join(groups.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
+    rest = rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
+    rest = common.stored(rest.join(tested, ["u", "v"], "left_anti"), "nd-rest")
+    links, tested = links.unionAll(_confirmed(rest, texts)), tested.unionAll(rest)
+    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
+
+    # then all pairs of different components that are left
+    labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    labelled = common.stored(labelled.withColumn("component", F.coalesce("component", "doc_id")), "nd-labelled")
+    rest = _remaining(labelled, texts).join(tested, ["u", "v"], "left_anti")
+    fresh = _confirmed(common.stored(rest, "nd-rest"), texts)
+    if not fresh.isEmpty():
+        groups = common.stored(common.components(links.unionAll(fresh), "nd-cc"), "nd-groups")
 
     named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from tallyroom.llm import neardup
 
 
@@ -72,3 +74,38 @@ def test_deduplicated_keeps_one_of_each(spark):
     out = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert out.columns == ["doc_id", "text", "source"]
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 3, 9]
+
+
+def test_links_of_a_bucket_that_no_centre_meets_are_found(spark):
+    """Pairs alike only to each other in one bucket with a large group: centres meet them with a chance of a few in a thousand."""
+    pairs = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(20)]
+    ids = [*range(3000), *(x for p in pairs for x in p)]
+    component = {i: 0 for i in range(3000)}
+    text = {i: " ".join(f"g{j}" for j in range(60)) for i in range(3000)}
+    for n, (a, b) in enumerate(pairs):
+        words = [f"p{n}x{j}" for j in range(60)]
+        text |= {a: " ".join(words), b: " ".join([*words, "end"])}
+    members = spark.createDataFrame([(i, 7, 56, component.get(i, i)) for i in ids], "doc_id long, key long, n_shingles long, component long")
+    texts = spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    for block in (64, 1024, 5000):
+        assert {(r["v"], r["u"]) for r in neardup._remaining(members, texts, block).collect()} == set(pairs), block
+
+
+def test_bounds_drop_no_link():
+    rng = random.Random(3)
+    sets = []
+    for n in (3, 4, 10, 60, 400, 3000):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        for _ in range(8):
+            cut = rng.sample(base, n - rng.randrange(0, n // 4 + 1))
+            sets.append(np.unique(np.array(cut + [rng.getrandbits(64) for _ in range(rng.randrange(0, n // 6 + 1))], np.uint64)))
+    least = neardup.least_hashes(sets, neardup.SKETCH_BITS)
+    sketch = np.where(least == neardup._NONE, 0, np.maximum(least & np.uint64(255), 1)).astype(np.uint8)
+    ids, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    found = [tuple(p) for x in neardup._block_pairs(ids, n, ids, sketch, ids < 0, False) for p in x.tolist()]
+    alike = set()
+    for v, u in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[u], sets[v]))
+        if 100 * both >= 75 * (len(sets[u]) + len(sets[v]) - both):
+            alike.add((u, v))
+    assert alike and alike <= set(found) and len(found) == len(set(found))
