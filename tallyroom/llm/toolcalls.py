@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tallyroom.llm import common
 
-MAX_LEVELS = 64
 TURNS = 256
 
 
@@ -35,25 +34,29 @@ def _kind(value: F.Column) -> F.Column:
     )
 
 
-def levels(edges: DataFrame, calls: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_key, level) of calls by longest path over edges (before, after), both call keys.
 
-    Level 0 has no edge in. Each round releases the calls all of whose predecessors have a level. Calls on or
-    behind a cycle, or deeper than ``max_levels``, get no row.
+    Level 0 has no edge in. Each round releases the calls all of whose predecessors have a level, until none is
+    released, so there are as many rounds as levels. Calls on or behind a cycle get no row.
     """
     edges = common.stored(edges.distinct(), "tc-edges")
     need = edges.groupBy(F.col("after").alias("call_key")).agg(F.count("*").alias("need"))
     waiting = common.stored(calls.select("call_key").distinct().join(need, "call_key", "left").fillna(0, ["need"]), "tc-need")
-    done = waiting.filter("need = 0").select("call_key", F.lit(0).alias("level"))
-    front = done
-    for level in range(1, max_levels + 1):
-        met = edges.join(done.select(F.col("call_key").alias("before"), "level"), "before").groupBy(F.col("after").alias("call_key"))
-        met = met.agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        front = waiting.join(met, "call_key").filter((F.col("met") == F.col("need")) & (F.col("top") == level - 1))
-        front = common.stored(front.select("call_key", F.lit(level).alias("level")), "tc-front")
-        if front.isEmpty():
-            break
+    front = common.stored(waiting.filter("need = 0").select("call_key", F.lit(0).alias("level")), "tc-front")
+    waiting = waiting.filter("need > 0")
+    done, level = front, 0
+    while not front.isEmpty():
+        level += 1
+        # a call waits for as many more results as its predecessors of this round leave it
+        met = edges.join(front.select(F.col("call_key").alias("before")), "before").groupBy(F.col("after").alias("call_key")).agg(F.count("*").alias("met"))
+        left = waiting.join(met, "call_key", "left").select("call_key", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"))
+        left = common.stored(left, "tc-waiting")
+        front = left.filter("need = 0").select("call_key", F.lit(level).alias("level"))
+        waiting = left.filter("need > 0")
         done = done.unionAll(front)
+        if level % 16 == 0:  # a plan of few files, however many levels there are
+            done = common.stored(done, "tc-done")
     return done
 
 

@@ -69,3 +69,11 @@ def test_repeats_and_no_rows(spark):
     out = toolcalls.linked(calls, spark.createDataFrame([], RESULT), schemas)
     assert out.count() == 2
     assert toolcalls.linked(calls.limit(0), spark.createDataFrame([], RESULT), schemas).count() == 0
+
+
+def test_a_long_chain_is_no_cycle(spark):
+    calls = [(1, t, f"c{t}", "rate", '{"x": 1}', [f"c{t - 1}"] if t else None) for t in range(70)]
+    calls += [(2, 1, "p", "rate", '{"x": 1}', ["r"]), (2, 2, "r", "rate", '{"x": 1}', ["p"])]
+    got = _run(spark, calls)
+    assert [(got[1, f"c{t}", t]["level"], got[1, f"c{t}", t]["position"], got[1, f"c{t}", t]["valid"]) for t in range(70)] == [(t, t + 1, True) for t in range(70)]
+    assert got[2, "p", 1]["problems"] == got[2, "r", 2]["problems"] == "cyclic"
