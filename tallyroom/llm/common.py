@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 _LOCAL: dict[str, str] = {}
+_PATHS: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset a local folder is made, for a local master only (tests): on a cluster other
+    machines could not read it, so there it is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
@@ -37,7 +46,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(id(df), None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -169,24 +190,32 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(id, component) of every id on an edge (u, v); component is the least id reachable.
 
-    Alternates large-star and small-star steps until the edges stay the same. A hub's edges
-    never meet in one group: minima are pre-aggregated and joined back. Empty edges give no rows;
-    edges with a null end and loops are ignored.
+    Each round points every id to the neighbour that comes first in a random order of the ids (or to
+    itself) and replaces edges by edges between the ends' pointers, so chains fold up from all places at
+    once and few rounds empty the edges. Pointers are then followed and the least id of each root is
+    taken. A hub's edges meet in aggregates with partial sums and in joins, which adaptive execution
+    splits. Empty edges give no rows; edges with a null end and loops are ignored.
     """
-    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    pairs = stored(pairs.filter("u <> v").distinct(), tag)
-    before = None
-    while True:
+    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    pairs = stored(pairs.distinct(), tag)
+    first = lambda x: F.struct(F.xxhash64(x).alias("order"), F.col(x).alias("id"))
+    rounds: list[DataFrame] = []
+    while not rounds or not pairs.isEmpty():
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        pairs = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        linked = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = linked.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        pairs = stored(pairs, tag)
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
-    roots = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
+        pointers = both.groupBy("u").agg(F.min(first("v")).alias("near"))
+        pointers = stored(pointers.select(F.col("u").alias("id"), F.least(first("u"), "near")["id"].alias("root")), f"{tag}-to")
+        rounds.append(pointers)
+        left = pairs.join(pointers.select(F.col("id").alias("u"), F.col("root").alias("a")), "u")
+        left = left.join(pointers.select(F.col("id").alias("v"), F.col("root").alias("b")), "v").filter("a <> b")
+        folded = stored(left.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+        discard(pairs)
+        pairs = folded
+    found = rounds[0]
+    for pointers in rounds[1:]:
+        found = found.join(pointers.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left")
+        found = found.select("id", F.coalesce("next", "root").alias("root"))
+    found = stored(found, f"{tag}-roots")
+    least = found.groupBy("root").agg(F.min("id").alias("component"))
+    out = stored(found.join(least, "root").select("id", "component"), f"{tag}-ids")
+    discard(pairs, found, *rounds)
+    return out

@@ -2,11 +2,16 @@
 
 A document's shingle set is hashed once; the top bits of a hash choose one of ``BINS`` bins and a
 bin keeps its least hash. An empty bin borrows from the first filled bin of its own fixed random
-order of bins, so equal sets borrow alike (densification). Runs of ``ROWS`` bins form band keys.
-Documents of one key form a bucket; each is first paired with the bucket's few centres only, which links
-most groups. Then every pair of different components that a bucket still holds is looked at: blocks of the
-bucket's members meet, and a pair whose sizes or least hashes rule out a link is dropped (both are bounds,
-not estimates). Pairs are confirmed on full sets, and groups are the connected components of confirmed links.
+order of bins, so equal sets borrow alike (densification). Runs of ``ROWS`` bins form band keys, and
+documents of one key form a bucket.
+
+Candidates are stars: a bucket's members are paired with its centre only, so a bucket adds no more pairs
+than it has members. Pairs are confirmed on full sets and linked documents become one component. A bucket
+that still holds several components is finished exactly: its members' parity sketches meet block by block
+in numpy, and of the pairs between components only those leave a task whose sizes and sketches allow a
+link (both are bounds, not estimates); they are confirmed like the others. So every link of a bucket counts.
+
+With 32 bands of 4 bins two sets that are 3/4 alike miss each other with a chance of 6 in a million.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from pyspark.sql import functions as F
 from tallyroom.llm import common
 
 BINS = 128
+BIN_BITS = 7
 ROWS = 4
-CENTRES = 4
-BLOCK = 1024
-SKETCH_BITS = 10
+BLOCK = 512
+SKETCH_BITS = 11
 #: Unequal sets of fewer shingles than this are never 3/4 alike.
 LEAST = 3
 SHINGLE = 5
@@ -54,13 +59,15 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def least_hashes(sets: list[np.ndarray], bits: int = 7) -> np.ndarray:
-    """The least hash of each of 2^bits bins, one row for each set; an empty bin holds _NONE."""
+def least_hashes(sets: list[np.ndarray], bits: int = BIN_BITS) -> np.ndarray:
+    """The least hash of each of 2^bits bins, one row for each sorted set; an empty bin holds _NONE."""
     out = np.full((len(sets), 1 << bits), _NONE, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     if len(row):
         values = np.concatenate(sets)
-        np.minimum.at(out, (row, (values >> np.uint64(64 - bits)).astype(np.int64)), values)
+        place = (row << bits) + (values >> np.uint64(64 - bits)).astype(np.int64)
+        new = np.append(True, place[1:] != place[:-1])  # sets are sorted, so a bin's first hash is its least
+        out.ravel()[place[new]] = values[new]
     return out
 
 
@@ -80,6 +87,19 @@ def densified(sets: list[np.ndarray], orders: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_sketches(sets: list[np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each set the parity of the number of hashes in each of 2^bits bins, packed into words.
+
+    Hashes of both sets cancel in the exclusive or of two sketches, so its number of ones is a lower
+    bound of the number of hashes that only one of the sets has.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets) if len(row) else np.zeros(0, np.uint64)
+    place = (row << bits) + (values >> np.uint64(64 - bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sets) << bits) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(len(sets), -1).view(np.uint64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     orders = _orders()
     bands = BINS // ROWS
@@ -105,67 +125,55 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of the least hash of each bin, 0 for an empty one: different bytes mean different least hashes."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, parity sketch and sorted hashes of each document's set."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, 250):
+            part = batch.slice(at, 250)
             sets = shingle_sets(part.column("text"))
-            least = least_hashes(sets, SKETCH_BITS)
-            sketch = np.where(least == _NONE, 0, np.maximum(least & np.uint64(255), 1)).astype(np.uint8)
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "size", "sketch"])
+            sketch = [x.tobytes() for x in parity_sketches(sets)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["doc_id", "size", "sketch", "hashes"],
+            )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs with 100 * intersection >= 75 * union of full sets."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 250):
-            part = batch.slice(at, 250)
-            left, right = shingle_sets(part.column("text_u")), shingle_sets(part.column("text_v"))
-            keep = []
-            for a, b in zip(left, right, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True)) if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) else 0
-                keep.append(len(a) > 0 and 100 * both >= 75 * (len(a) + len(b) - both))
-            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links among ``pairs`` (u, v)."""
-    wide = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    wide = wide.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return common.stored(wide.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
+        keep = []
+        for a, b in zip(batch.column("hashes_u"), batch.column("hashes_v"), strict=True):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+            both = len(np.intersect1d(a, b, assume_unique=True)) if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) else 0
+            keep.append(len(a) > 0 and 100 * both >= 75 * (len(a) + len(b) - both))
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _alike_sizes(n: F.Column, m: F.Column) -> F.Column:
-    """Whether sets of these sizes can be 3/4 alike."""
-    return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links among ``pairs`` (u, v). The pairs travel with the set of one end; a hub's pairs are split by adaptive execution."""
+    wide = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hashes_u")), "u")
+    wide = wide.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hashes_v")), "v")
+    return common.stored(wide.select("u", "v", "hashes_u", "hashes_v").mapInArrow(_confirm, "u long, v long"), "nd-links")
 
 
-def _stars(members: DataFrame, centres: int) -> DataFrame:
-    """(u, v, shared) pairs of a bucket's members (doc_id, key, n_shingles) with its centres, of sizes that can link.
+def _stars(members: DataFrame) -> DataFrame:
+    """(u, v) pairs of a bucket's members (doc_id, key, n_shingles) with its centre, of sizes that can link.
 
-    A bucket's centres are the members that are least under ``centres`` random orders of all documents, so
-    buckets of much the same members have the same centres and form the same pairs.
+    The centre is the member that is least under one random order of all documents, so buckets of much
+    the same members have the same centre and form the same pairs.
     """
-    chosen = []
-    for j in range(centres):
-        order = F.xxhash64("doc_id", F.lit(j))
-        chosen += [F.min_by("doc_id", order).alias(f"c{j}"), F.min_by("n_shingles", order).alias(f"n{j}")]
-    buckets = members.groupBy("key").agg(*chosen)
-    stars = F.array_distinct(F.array(*(F.struct(F.col(f"c{j}").alias("id"), F.col(f"n{j}").alias("n")) for j in range(centres))))
-    star = members.join(buckets.select("key", stars.alias("stars")), "key")
-    other = F.filter("stars", lambda s: (s["id"] != F.col("doc_id")) & _alike_sizes(s["n"], F.col("n_shingles")))
-    star = star.select("doc_id", F.explode(F.transform(other, lambda s: s["id"])).alias("centre"))
-    return star.groupBy(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).agg(F.count("*").alias("shared"))
+    order = F.xxhash64("doc_id", F.lit(0))
+    buckets = members.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.struct(order, "doc_id")).alias("centre"))
+    star = members.join(buckets, "key").select("doc_id", "n_shingles", F.col("centre.doc_id").alias("centre"), F.col("centre.n_shingles").alias("n"))
+    star = star.filter("doc_id <> centre AND 4 * least(n, n_shingles) >= 3 * greatest(n, n_shingles)")
+    return star.select(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).distinct()
 
 
 def _block_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, own: np.ndarray, both: bool) -> Iterator[np.ndarray]:
     """Pairs of places of one meeting of blocks that may link: of different components and within both bounds.
 
     ``own`` says which rows are of the first block; with ``both`` only rows of different blocks are paired.
-    Every bin whose least hashes differ holds a hash of one set only, and 3/4 alike sets have 1/7 of the sum
-    of their sizes of such hashes at most.
+    3/4 alike sets have 1/7 of the sum of their sizes of hashes that only one of them has, at most.
     """
     rows = np.flatnonzero(own) if both else np.arange(len(ids))
     cols = np.flatnonzero(~own) if both else rows
@@ -173,7 +181,7 @@ def _block_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch:
         c = cols if both else cols[cols > r]
         c = c[(component[c] != component[r]) & (4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r]))]
         if len(c):
-            c = c[7 * np.count_nonzero(sketch[c] != sketch[r], axis=1) <= n[c] + n[r]]
+            c = c[7 * np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1, dtype=np.int64) <= n[c] + n[r]]
         if len(c):
             yield np.stack([np.maximum(ids[c], ids[r]), np.minimum(ids[c], ids[r])], axis=1)
 
@@ -184,7 +192,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda name: table.column(name).to_numpy()
         key, i, j, block, ids, n, component = (get(x) for x in ("key", "i", "j", "block", "doc_id", "size", "component"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 1 << SKETCH_BITS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
             found = list(_block_pairs(ids[a:b], n[a:b], component[a:b], sketch[a:b], block[a:b] == i[a], bool(i[a] != j[a])))
@@ -213,18 +221,16 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held))
 
 
-def _remaining(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def _remaining(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v) pairs of different components that share a bucket and may link by their sizes and sketches.
 
-    ``members``: doc_id, key, component. A bucket's members are dealt to blocks of about ``block``,
-    every two of which meet, so a bucket of any size is spread over tasks.
+    ``members``: doc_id, key, component; ``sets``: doc_id, size, sketch. A bucket's members are dealt to
+    blocks of about ``block``, every two of which meet, so a bucket of any size is spread over tasks.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
     # of two members one is the other's centre
-    sizes = sizes.filter("a <> b AND n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = common.stored(members.select("doc_id", "key", "component").join(sizes, "key"), "nd-open")
-    sketches = texts.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sketches, "doc_id long, size long, sketch binary")
-    rows = rows.join(common.stored(sketches, "nd-sketches").hint("merge"), "doc_id")
+    buckets = buckets.filter("a <> b AND n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = members.select("doc_id", "key", "component").join(buckets, "key").join(sets.select("doc_id", "size", "sketch"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "size", "component", "sketch")
@@ -232,13 +238,20 @@ def _remaining(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> Data
     return rows.mapInArrow(_meetings, "u long, v long").distinct()
 
 
+def _named(ids: DataFrame, column: str, groups: DataFrame, to: str = "component") -> DataFrame:
+    """``ids`` with the component of ``column``: the id itself where it is on no link."""
+    found = ids.join(groups.select(F.col("id").alias(column), F.col("component").alias("_found")), column, "left")
+    return found.withColumn(to, F.coalesce("_found", column)).drop("_found")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
     Null or wordless texts have an empty set and link with nothing. A null doc_id takes part in no
     link: its component is null and it is kept. Repeated rows of one doc_id are one document and
     each row is returned; if their texts differ the least text stands for the id in confirmations.
-    Other columns are ignored. An empty table gives no rows.
+    Of equally good roots the least id names a component. A very long text is one set, held in one task.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.stored(
@@ -247,43 +260,35 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     linkable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # documents with equal sets are one class, so copies never form pairs
     classes = common.stored(linkable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "nd-classes")
-    reps = linkable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = reps.filter(F.col("n_shingles") >= LEAST).select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    reps = linkable.filter(F.col("n_shingles") >= LEAST).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = common.stored(banded.join(shared, "key"), "nd-members")
+    members = common.stored(banded.join(shared, "key").distinct(), "nd-members")
 
-    # texts of bucket members, cut out once; ids grow with the documents, so this join shuffles at every size
+    # sets of bucket members, made once; ids grow with the documents, so this join shuffles at every size
     ids = members.select("doc_id").distinct().hint("merge")
     texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = common.stored(texts, "nd-texts")
-
-    # the likeliest partner of each document first: most groups then are one component already
-    pairs = common.stored(_stars(members, CENTRES), "nd-pairs")
-    ends = pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "shared").unionAll(
-        pairs.select(F.col("v").alias("id"), F.col("u").alias("other"), "shared")
-    )
-    best = ends.groupBy("id").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
-    tested = common.stored(best.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct(), "nd-first")
-    links = _confirmed(tested, texts)
-    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
-    rest = pairs.join(groups.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left")
-    rest = rest.join(groups.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
-    rest = rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-    rest = common.stored(rest.join(tested, ["u", "v"], "left_anti"), "nd-rest")
-    links, tested = links.unionAll(_confirmed(rest, texts)), tested.unionAll(rest)
-    groups = common.stored(common.components(links, "nd-cc"), "nd-groups")
-
-    # then all pairs of different components that are left
-    labelled = members.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    labelled = common.stored(labelled.withColumn("component", F.coalesce("component", "doc_id")), "nd-labelled")
-    rest = _remaining(labelled, texts).join(tested, ["u", "v"], "left_anti")
-    fresh = _confirmed(common.stored(rest, "nd-rest"), texts)
-    if not fresh.isEmpty():
-        groups = common.stored(common.components(links.unionAll(fresh), "nd-cc"), "nd-groups")
-
-    named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = named.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "k1", "k2", "n_shingles").join(named, ["k1", "k2", "n_shingles"], "left")
+    sets = common.stored(texts.mapInArrow(_sets, "doc_id long, size long, sketch binary, hashes binary"), "nd-sets")
+
+    stars = common.stored(_stars(members), "nd-stars")
+    links = _confirmed(stars, sets)
+    groups = common.components(links, "nd-cc")
+
+    # then every link that is left between components
+    rest = _remaining(_named(members, "doc_id", groups), sets).join(stars, ["u", "v"], "left_anti")
+    rest = common.stored(rest, "nd-rest")
+    fresh = _confirmed(rest, sets)
+    if not fresh.isEmpty():  # components are joined by the fresh links alone
+        joined = _named(_named(fresh, "u", groups, "cu"), "v", groups, "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        wider = common.components(joined, "nd-cc2")
+        alone = wider.join(groups.select(F.col("component").alias("id")).distinct(), "id", "left_anti")
+        wide = groups.unionAll(alone.select("id", F.col("id").alias("component")))
+        groups = _named(wide.select("id", F.col("component").alias("of")), "of", wider).select("id", "component")
+        groups = common.stored(groups, "nd-groups")
+    common.discard(members, sets, stars, links, rest, fresh)
+
+    named = _named(classes, "rep", groups)
+    out = signed.select("doc_id", "k1", "k2", "n_shingles").join(named.drop("rep"), ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -294,9 +299,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents less all but one of each near-duplicate group and all but one row of a repeated doc_id."""
     groups = common.stored(near_duplicates(documents), "nd-result")
-    gone = common.stored(groups.filter("NOT kept").select("doc_id").distinct(), "nd-gone")
-    left = documents.join(gone.hint("merge"), "doc_id", "left_anti")
+    gone = groups.filter("NOT kept").select("doc_id").distinct()
     again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = common.stored(again, "nd-again")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*documents.columns)
+    if again.isEmpty():
+        return documents.join(gone.hint("merge"), "doc_id", "left_anti").select(*documents.columns)
+    once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return documents.join(gone.unionAll(again).hint("merge"), "doc_id", "left_anti").unionByName(once).select(*documents.columns)

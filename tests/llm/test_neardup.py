@@ -87,8 +87,9 @@ def test_links_of_a_bucket_that_no_centre_meets_are_found(spark):
         text |= {a: " ".join(words), b: " ".join([*words, "end"])}
     members = spark.createDataFrame([(i, 7, 56, component.get(i, i)) for i in ids], "doc_id long, key long, n_shingles long, component long")
     texts = spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    sets = texts.mapInArrow(neardup._sets, "doc_id long, size long, sketch binary, hashes binary")
     for block in (64, 1024, 5000):
-        assert {(r["v"], r["u"]) for r in neardup._remaining(members, texts, block).collect()} == set(pairs), block
+        assert {(r["v"], r["u"]) for r in neardup._remaining(members, sets, block).collect()} == set(pairs), block
 
 
 def test_bounds_drop_no_link():
@@ -99,8 +100,7 @@ def test_bounds_drop_no_link():
         for _ in range(8):
             cut = rng.sample(base, n - rng.randrange(0, n // 4 + 1))
             sets.append(np.unique(np.array(cut + [rng.getrandbits(64) for _ in range(rng.randrange(0, n // 6 + 1))], np.uint64)))
-    least = neardup.least_hashes(sets, neardup.SKETCH_BITS)
-    sketch = np.where(least == neardup._NONE, 0, np.maximum(least & np.uint64(255), 1)).astype(np.uint8)
+    sketch = neardup.parity_sketches(sets)
     ids, n = np.arange(len(sets)), np.array([len(s) for s in sets])
     found = [tuple(p) for x in neardup._block_pairs(ids, n, ids, sketch, ids < 0, False) for p in x.tolist()]
     alike = set()
