@@ -72,12 +72,14 @@ SELECT conv_id, call_id, name, turn, CAST(level AS INT) AS level, CAST(row_numbe
 
 def _backoff_lm() -> str:
     k = ngram_lm.K
-    return f"""WITH docs AS (SELECT doc_id, {crc32('CAST(doc_id AS VARCHAR)')} % 7 = 2 AS held_out, list_filter(string_split_regex({_ascii_lower("coalesce(text, '')")}, '{_BLANK}'), lambda w: w <> '') AS words FROM documents),
-tokens AS (SELECT doc_id, held_out, unnest(list_append(list_transform(words, lambda w: 'w' || w), 'end')) AS w, unnest(list_prepend('begin', list_transform(words, lambda w: 'w' || w))) AS h FROM docs),
-ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w), states AS (SELECT h, count(*) AS ch FROM tokens WHERE NOT held_out GROUP BY h), twos AS (SELECT h, w, count(*) AS chw FROM tokens WHERE NOT held_out GROUP BY h, w),
+    return f"""WITH docs AS (SELECT doc_id, {crc32('CAST(doc_id AS VARCHAR)')} % 7 = 2 AS held_out, list_transform(list_filter(string_split_regex({_ascii_lower("coalesce(text, '')")}, '{_BLANK}'), lambda w: w <> ''), lambda w: 'w' || w) AS words FROM documents),
+tokens AS MATERIALIZED (SELECT doc_id, held_out, unnest(list_append(words, 'end')) AS w, unnest(list_prepend('begin', words)) AS h, unnest(list_prepend('begin', list_prepend('begin', words[:len(words) - 1]))[:len(words) + 1]) AS g FROM docs),
+ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w), twos AS (SELECT h, w, count(*) AS chw FROM tokens WHERE NOT held_out GROUP BY h, w), threes AS (SELECT g, h, w, count(*) AS cghw FROM tokens WHERE NOT held_out GROUP BY g, h, w),
+single AS (SELECT h, count(*) AS ch FROM tokens WHERE NOT held_out GROUP BY h), double AS (SELECT g, h, count(*) AS cgh FROM tokens WHERE NOT held_out GROUP BY g, h),
 n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM ones),
-probs AS (SELECT t.doc_id, t.held_out, c, (coalesce(c, 0) + 1) / (n + 1 * (v + 1)) AS base, coalesce(ch, 0) AS ch, coalesce(chw, 0) AS chw, n FROM tokens t CROSS JOIN n LEFT JOIN ones USING (w) LEFT JOIN states USING (h) LEFT JOIN twos USING (h, w))
-SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10(base)), 6) AS base_score, round(sum(log10((chw + {k} * base) / (ch + {k}))), 6) AS score FROM probs GROUP BY doc_id, held_out"""
+found AS (SELECT t.doc_id, t.held_out, c, (coalesce(c, 0) + 1) / (n + 1 * (v + 1)) AS base, coalesce(ch, 0) AS ch, coalesce(chw, 0) AS chw, coalesce(cgh, 0) AS cgh, coalesce(cghw, 0) AS cghw, n FROM tokens t CROSS JOIN n LEFT JOIN ones USING (w) LEFT JOIN single USING (h) LEFT JOIN twos USING (h, w) LEFT JOIN double USING (g, h) LEFT JOIN threes USING (g, h, w)),
+probs AS (SELECT *, (cghw + {k} * ((chw + {k} * base) / (ch + {k}))) / (cgh + {k}) AS p FROM found)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10(base)), 6) AS base_score, round(sum(log10(p)), 6) AS score FROM probs GROUP BY doc_id, held_out"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -73,3 +73,19 @@ def test_no_rows_and_no_training(spark):
     assert ngram_lm.score_texts(empty, F.col("learn")).count() == 0
     row = ngram_lm.score_texts(spark.createDataFrame([(1, "x y", False)], "doc_id long, text string, learn boolean"), F.col("learn")).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_stretches_carry_the_state_of_the_whole_traversal():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(rng.choice(list("abcde"), n)) for n in (0, 1, 2, 3, 7, 64, 65, 300)])
+    grams = ngram_lm._Grams(texts, 3)
+    totals = [np.bincount(at, minlength=len(e)) * (rng.random(len(e)) < 0.7) for at, e in zip(grams.at, grams.every, strict=True)]
+    for k in (1, 2):  # an n-gram with a count has its ends counted too
+        totals[k] = np.where(totals[k - 1][grams.at[k - 1][np.minimum(grams.one[k], len(grams.row) - 1)]] > 0, totals[k], 0)
+    automaton = ngram_lm.Automaton(grams, totals, 40, 5, 2.0)
+    whole = automaton.traverse(grams, 3, 1000)
+    for length in (2, 3, 64):
+        assert np.allclose(automaton.traverse(grams, 3, length), whole)
