@@ -184,6 +184,22 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """Places of unsigned 64-bit values in ascending order: values and places are sorted as one number where both fit."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    bits = len(values).bit_length()
+    over = max(int(values.max()).bit_length() + bits - 64, 0)
+    mixed = ((values >> np.uint64(over)) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if over:  # values that differ in their lowest bits alone may be out of order
+        held = values[order]
+        if np.any(held[1:] < held[:-1]):
+            return np.argsort(values)
+    return order
+
+
 # --- connected components ----------------------------------------------------------------------
 
 

@@ -47,6 +47,16 @@ def _tokens(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of each place's value."""
+    by = common.order_of(grams)
+    held = grams[by]
+    new = np.append(True, held[1:] != held[:-1])
+    number = np.empty(len(grams), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return held[new], by[new], number
+
+
 class _Grams:
     """Distinct k-grams of a block's texts, and which of them ends at each counted token.
 
@@ -74,7 +84,7 @@ class _Grams:
                 grams = np.append(grams, runs[offsets[0] + pad - k])
             if k > 2:
                 grams &= _UPPER
-            every, one, at = np.unique(grams, return_index=True, return_inverse=True)
+            every, one, at = _distinct(grams)
             self.every.append(every)
             self.one.append(one)
             self.at.append(at[: len(where)])
@@ -150,7 +160,7 @@ def _answers(key, asked: pa.Table) -> pa.Table:
     """Sum one bucket's counts over all blocks and give each block the totals of what it asked for."""
     grams = [_unpack(x) for x in asked.column("grams").to_pylist()]
     counts = [_unpack_counts(x, len(g)) for x, g in zip(asked.column("counts").to_pylist(), grams, strict=True)]
-    every, index = np.unique(np.concatenate(grams), return_inverse=True)
+    every, _, index = _distinct(np.concatenate(grams))
     total = np.bincount(index, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     types = 0
     if key[1].as_py() == 1:
@@ -175,7 +185,7 @@ class Automaton:
     """States and arcs that a block's texts can reach: ``totals`` are the corpus counts of its n-grams.
 
     State 0 is the root; then come the 1-grams of the block, its 2-grams and so on up to the order less one, of
-    which those with a count are states. Arcs lie sorted by source and token.
+    which those with a count are states. Arcs lie sorted by source and token, those of state s from first[s] on.
     """
 
     def __init__(self, grams: _Grams, totals: list[np.ndarray], tokens: int, types: int, k_weight: float) -> None:
@@ -187,7 +197,7 @@ class Automaton:
         weight = (totals[0] + 1.0) / (tokens + types + 1.0)
         self.base = np.log10(weight)
         target = np.where(totals[0] > 0, 1 + np.arange(self.words), 0) if order > 1 else np.zeros(self.words, np.int64)
-        arcs = [(np.arange(self.words), self.base, target)]
+        arcs = [(np.zeros(self.words, np.int64), np.arange(self.words), self.base, target)]
         for k in range(2, order + 1):
             # a k-gram's token, and the (k-1)-grams that it ends and begins with
             one = np.minimum(grams.one[k - 1], len(grams.row) - 1)
@@ -200,12 +210,14 @@ class Automaton:
             weight = (totals[k - 1] + k_weight * weight[end]) / (totals[k - 2][head] + k_weight)
             some = np.flatnonzero(totals[k - 1] > 0)
             to = start[k - 1] + some if k < order else start[k - 2] + end[some]
-            arcs.append(((start[k - 2] + head[some]) * self.words + last[some], np.log10(weight[some]), to))
+            arcs.append((start[k - 2] + head[some], last[some], np.log10(weight[some]), to))
         if order > 1:
             self.failure_weight[1:] = np.log10(k_weight / (np.concatenate(totals[: order - 1]) + k_weight))
-        keys, weights, targets = (np.concatenate([a[i] for a in arcs]) for i in range(3))
-        by_key = np.argsort(keys)
+        sources, words, weights, targets = (np.concatenate([a[i] for a in arcs]) for i in range(4))
+        keys = sources * self.words + words
+        by_key = common.order_of(keys.view(np.uint64))
         self.keys, self.weights, self.targets = keys[by_key], weights[by_key], targets[by_key]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(sources, minlength=start[-1]))])
         begin = grams.begin[order - 2] if order > 1 else 0
         self.initial = int(start[order - 2] + begin) if order > 1 and totals[order - 2][begin] > 0 else 0
 
@@ -213,9 +225,12 @@ class Automaton:
         """(state after the token, log10 weight of the arcs on the way) for each of several traversals."""
         state, weight, left = state.copy(), np.zeros(len(state)), np.arange(len(state))
         while len(left):
-            key = state[left] * self.words + word[left]
-            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            source = state[left]
+            key, arc = source * self.words + word[left], np.minimum(self.first[source], len(self.keys) - 1)
             there = self.keys[arc] == key
+            more = np.flatnonzero(~there & (self.first[source + 1] - self.first[source] > 1))  # most states have one arc
+            arc[more] = np.minimum(np.searchsorted(self.keys, key[more]), len(self.keys) - 1)
+            there[more] = self.keys[arc[more]] == key[more]
             done, arc = left[there], arc[there]
             weight[done] += self.weights[arc]
             state[done] = self.targets[arc]

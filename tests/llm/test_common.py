@@ -58,3 +58,11 @@ def test_components_match_union_find(spark, seed):
 
 def test_no_edges_no_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_order_of_values_sorts_them():
+    rng = np.random.default_rng(4)
+    near = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 9, 500).astype(np.uint64)
+    for x in (rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2), near, rng.integers(0, 50, 300).astype(np.uint64), near[:0], near[:1]):
+        by = common.order_of(x)
+        assert np.array_equal(np.sort(by), np.arange(len(x))) and np.array_equal(x[by], np.sort(x))
