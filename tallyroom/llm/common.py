@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Separator class of the contracts' words: space and 0x09 to 0x0D.
 SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _PATHS: dict[int, str] = {}
 
@@ -42,10 +43,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Shuffle files of the write are freed when it has ended: the table replaces them.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)

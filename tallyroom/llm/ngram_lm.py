@@ -6,8 +6,8 @@ that is a state, and a failure arc of weight K / (c(h) + K) to the state h' with
 root's arcs are add-one unigrams, also for unknown tokens. One left-to-right traversal carries the state,
 follows failure arcs until the token has an arc, and accumulates log10 weights.
 
-The automaton may be far larger than any one machine, so it is never gathered. Documents are dealt into
-blocks; a block asks for the counts of its own distinct n-grams, requests are dealt by ranges of n-gram
+The automaton may be far larger than any one machine, so it is never gathered. Documents are packed into
+blocks and stored; a block asks for the counts of its own distinct n-grams, requests are dealt by ranges of n-gram
 hashes, summed, and answered. From the answers a block builds the states and arcs that its own texts can
 reach. Its texts are cut into stretches that are traversed in lock step; a stretch inside a text begins
 ``ORDER - 1`` tokens early, after which its state is that of the whole traversal.
@@ -15,8 +15,12 @@ reach. Its texts are cut into stretches that are traversed in lock step; a stret
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +28,13 @@ from tallyroom.llm import common
 
 ORDER = 3
 K = 50.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 STRETCH = 64
 _TABLE = common.byte_table()
 _END = np.uint64(0x51ED270B7F4A7C15)
 _BEGIN = np.uint64(0xB5297A4D3F8C1E27)
-#: n-grams of three tokens and more are known by the upper 56 bits of their hash.
+#: n-grams of two tokens and more are known by the upper 56 bits of their hash.
 _UPPER = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
@@ -52,8 +56,8 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = common.order_of(grams)
     held = grams[by]
     new = np.append(True, held[1:] != held[:-1])
-    number = np.empty(len(grams), np.int64)
-    number[by] = np.cumsum(new) - 1
+    number = np.empty(len(grams), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return held[new], by[new], number
 
 
@@ -82,7 +86,7 @@ class _Grams:
             grams = runs[where - (k - 1)]
             if k < order:
                 grams = np.append(grams, runs[offsets[0] + pad - k])
-            if k > 2:
+            if k > 1:
                 grams &= _UPPER
             every, one, at = _distinct(grams)
             self.every.append(every)
@@ -127,15 +131,55 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("gram_order", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64())])
-_ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("gram_order", pa.int32()), ("counts", pa.binary()), ("size", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())])
+_REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("gram_order", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64())])
+_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("gram_order", pa.int32()), ("counts", pa.binary()), ("size", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())])
 
 
 def _trained(docs: pa.Table) -> np.ndarray:
     return np.asarray(docs.column("train").combine_chunks().to_numpy(zero_copy_only=False), bool)
 
 
-def _requests(key, docs: pa.Table, order: int, buckets: int) -> pa.Table:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of about BLOCK_BYTES of text as compressed Arrow streams; a text is never cut."""
+    options, held, size, number = pa.ipc.IpcWriteOptions(compression="zstd"), [], 0, TaskContext.get().partitionId() << 32
+
+    def block() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole.schema, options=options) as out:
+            out.write_table(whole)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "bytes", "docs"])
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + BLOCK_BYTES - size, "right")))
+            held.append(batch.slice(lo, hi - lo))
+            size += int(ends[hi - 1]) - done
+            lo = hi
+            if size >= BLOCK_BYTES or lo < batch.num_rows:
+                yield block()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield block()
+
+
+def _unpacked(raw: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(raw.as_buffer()).read_all().combine_chunks()
+
+
+def _ask(order: int, buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+                yield from _requests(block, _unpacked(docs), order, buckets).to_batches()
+
+    return ask
+
+
+def _requests(block: int, docs: pa.Table, order: int, buckets: int) -> pa.Table:
     """A row for each order and bucket that the block has n-grams of: these and their training counts."""
     grams, train = _Grams(docs.column("text"), order), _trained(docs)
     learn = train[grams.row]
@@ -148,7 +192,7 @@ def _requests(key, docs: pa.Table, order: int, buckets: int) -> pa.Table:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(every)]]).tolist()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             rows["bucket"].append(int(bucket[lo]))
-            rows["block"].append(key[0].as_py())
+            rows["block"].append(block)
             rows["gram_order"].append(k)
             rows["grams"].append(_pack(every[lo:hi]))
             rows["counts"].append(_pack_counts(counts[lo:hi]))
@@ -257,8 +301,9 @@ class Automaton:
         return np.bincount(row, weights=total, minlength=len(pieces))
 
 
-def _scores(docs: pa.Table, answers: pa.Table, order: int, k_weight: float, tokens: int, types: int) -> pa.Table:
+def _scores(packed: pa.Table, answers: pa.Table, order: int, k_weight: float, tokens: int, types: int) -> pa.Table:
     """The traversal of one block's texts."""
+    docs = _unpacked(packed.column("docs")[0])
     grams = _Grams(docs.column("text"), order)
     answers = answers.sort_by([("gram_order", "ascending"), ("bucket", "ascending")])
     orders, sizes = np.asarray(answers.column("gram_order").combine_chunks()), answers.column("size").to_pylist()
@@ -283,8 +328,8 @@ def score_texts(documents: DataFrame, train: F.Column, order: int = ORDER, k_wei
 
     Returns doc_id, train, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score; one
     row per input row. A null text is empty and has one token, its end; a null ``train`` is false.
-    Without training rows every probability is that of an unknown word, 1. Rows repeat as given; copies
-    are dealt over blocks by the partition that they lie in. ``doc_id`` is only carried; other columns are
+    Without training rows every probability is that of an unknown word, 1. Rows repeat as given, and
+    blocks are cut from each partition in its order, so copies spread as they lie. ``doc_id`` is only carried; other columns are
     left out, whatever their names. An empty table gives no rows. Work and memory: a block holds about
     BLOCK_BYTES of text (one longer text makes one larger block), a bucket the distinct n-grams of about
     BUCKET_BYTES. Requests are rows of a block and a bucket with at least one n-gram, so there are at most
@@ -295,20 +340,17 @@ def score_texts(documents: DataFrame, train: F.Column, order: int = ORDER, k_wei
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    size, least = common.text_bytes(docs), common.partitions(docs)
-    blocks, buckets = max(least, size // BLOCK_BYTES), max(least, size // BUCKET_BYTES)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
-    asked = docs.groupBy("block").applyInArrow(
-        lambda key, t: _requests(key, t, order, buckets),
-        "bucket int, block int, gram_order int, grams binary, counts binary, tokens long",
-    )
+    packed = common.stored(docs.mapInArrow(_packed, "block long, bytes long, docs binary"), "lm-blocks")
+    size = int(packed.agg(F.sum("bytes").alias("n")).first()["n"] or 0)
+    buckets = max(common.partitions(docs), size // BUCKET_BYTES)
+    asked = packed.select("block", "docs").mapInArrow(_ask(order, buckets), "bucket int, block long, gram_order int, grams binary, counts binary, tokens long")
     answered = asked.groupBy("bucket", "gram_order").applyInArrow(
-        lambda key, t: _answers(key, t), "block int, bucket int, gram_order int, counts binary, size int, types long, tokens long"
+        lambda key, t: _answers(key, t), "block long, bucket int, gram_order int, counts binary, size int, types long, tokens long"
     )
     answered = common.stored(answered, "lm-answers")
     corpus = answered.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     tokens, types = int(corpus["tokens"] or 0), int(corpus["types"] or 0)
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+    return packed.select("block", "docs").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         lambda d, a: _scores(d, a, order, k_weight, tokens, types),
         "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
