@@ -51,10 +51,11 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN distrust > trust *
 
 
 def _line_dedup() -> str:
-    return f"""WITH lines AS (SELECT doc_id, source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
-spread AS (SELECT line, min(doc_id) AS first_doc FROM lines WHERE length(line) >= {linededup.MIN_CHARS} GROUP BY line HAVING count(DISTINCT source) >= {linededup.MIN_SITES}),
+    blanks = " || ".join(f"chr({ord(c)})" for c in linededup.BLANKS)
+    return f"""WITH lines AS (SELECT doc_id, source, trim(unnest(string_split(text, chr(10))), {blanks}) AS line FROM documents),
+spread AS (SELECT line, min(doc_id) AS first_doc FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {linededup.MIN_SITES}),
 lost AS (SELECT l.doc_id, list(DISTINCT l.line) AS gone FROM lines l JOIN spread s USING (line) WHERE l.doc_id > s.first_doc GROUP BY l.doc_id),
-cut AS (SELECT d.doc_id, string_split(text, chr(10)) AS every, CASE WHEN gone IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x))) END AS stays FROM documents d LEFT JOIN lost USING (doc_id))
+cut AS (SELECT d.doc_id, string_split(text, chr(10)) AS every, CASE WHEN gone IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x, {blanks}))) END AS stays FROM documents d LEFT JOIN lost USING (doc_id))
 SELECT doc_id, CAST(coalesce(len(every), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(every) - len(stays), 0) AS BIGINT) AS n_removed, CAST(length(coalesce(array_to_string(stays, chr(10)), '')) AS BIGINT) AS kept_chars, md5(coalesce(array_to_string(stays, chr(10)), '')) AS kept_md5 FROM cut"""
 
 

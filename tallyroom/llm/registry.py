@@ -94,6 +94,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = {"quality0_toxic0": 0.10, "quality0_toxic1": 0.01, "quality1_toxic0": 0.85, "quality1_toxic1": 0.04}
 
 
+CLEAN = "quality1_toxic0"
+
+
 def label_domain() -> F.Column:
     return F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string"))
 

@@ -117,7 +117,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), uses (array of call_ids whose results it
     needs). ``results``: conv_id, turn, call_id, content. Identifiers count within a conversation. A call
     without results has n_results 0; of several the first by turn is linked. Of several calls with one
-    identifier the first by turn counts, the others have ``problems`` = duplicate identifier. Used identifiers
+    identifier the first by turn, name, arguments and uses counts, the others have the problem "duplicate
+    identifier"; rows that are equal in all of these are one call, returned as often as given. Used identifiers
     without a call are a problem; so is a call on or behind a cycle, whose level and position are null.
     Position orders the calls of a conversation by level, turn and identifier from 1. Calls with a null
     conv_id or call_id are returned unlinked with the problem "no identifier". Results without a call
@@ -126,7 +127,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("uses", F.array().cast("array<string>")).alias("uses"))
     key = F.when(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), F.concat_ws("\u0001", F.col("conv_id").cast("string"), "call_id"))
     calls = common.stored(calls.withColumn("call_key", key), "tc-calls")
-    first = calls.filter("call_key IS NOT NULL").groupBy("call_key").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_calls"))
+    whole = F.struct("turn", "name", "arguments", "uses")
+    first = calls.filter("call_key IS NOT NULL").groupBy("call_key").agg(F.min(whole).alias("first_call"))
     answers = results.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").select(key.alias("call_key"), "turn", "content")
     answers = answers.groupBy("call_key").agg(F.count("*").alias("n_results"), F.min("turn").alias("result_turn"), F.min_by("content", F.struct("turn", "content")).alias("content"))
     uses = calls.filter("call_key IS NOT NULL").select("call_key", F.col("conv_id"), F.explode(F.array_distinct("uses")).alias("used")).filter("used IS NOT NULL")
@@ -136,7 +138,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     lost = lost.groupBy(F.col("after").alias("call_key")).agg(F.sort_array(F.collect_set(F.concat(F.lit("uses unknown "), "used"))).alias("lost"))
     order = levels(there.select("before", "after"), first)
     rows = checked(calls, schemas).join(first, "call_key", "left").join(answers, "call_key", "left").join(lost, "call_key", "left").join(order, "call_key", "left")
-    again = F.col("call_key").isNotNull() & (F.col("n_calls") > 1) & (F.coalesce("turn", F.lit(-1)) != F.coalesce("first_turn", F.lit(-1)))
+    again = F.col("call_key").isNotNull() & ~whole.eqNullSafe(F.col("first_call"))
     problems = F.concat(
         F.col("problems"),
         F.coalesce("lost", F.array().cast("array<string>")),

@@ -15,12 +15,13 @@ def _brute(rows, min_sites):
     sites, first = {}, {}
     for i, t, s in rows:
         for line in (t or "").split("\n"):
-            line = line.strip(" ")
-            if len(line) >= linededup.MIN_CHARS:
+            line = line.strip(linededup.BLANKS)
+            if line:
                 sites.setdefault(line, set()).update({s} - {None})
                 first[line] = min(first.get(line, i), i)
     spread = {x for x, s in sites.items() if len(s) >= min_sites}
-    keep = lambda i, line: not (line.strip(" ") in spread and i > first[line.strip(" ")])
+    bare = lambda line: line.strip(linededup.BLANKS)
+    keep = lambda i, line: not (bare(line) in spread and i > first[bare(line)])
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if keep(i, x)) for i, t, _ in rows}
 
 
@@ -33,6 +34,13 @@ def test_matches_brute_force_at_several_thresholds(spark):
         assert all(r["n_removed"] == dict((i, t.count("\n")) for i, t, _ in rows)[r["doc_id"]] - r["text"].count("\n") for r in out if r["text"])
 
 
+def test_line_ends_and_names_of_the_callers_columns_do_not_matter(spark):
+    rows = [(i, f"own {i}\n{LINE}" + "\r" * (i % 2) + "\nLes.", f"s{i}", "a", "b") for i in range(9)]
+    out = linededup.without_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, lost string, _lost string")).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {i: t if i == 0 else f"own {i}" for i, t, *_ in rows}
+    assert {(r["lost"], r["_lost"]) for r in out} == {("a", "b")}
+
+
 def test_edges(spark):
     rows = [(None, LINE, f"s{i}", "x") for i in range(4)] + [(i, LINE, f"s{i}" if i % 2 else None, "x") for i in range(20)] + [(50, None, "s", "x"), (51, "", "s", "x"), (52, (LINE + "\n") * 5000, "s9", "x"), (52, (LINE + "\n") * 5000, "s9", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string")

@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
             body += " " + items[i // 10 % 6][1]
         if i % 4 == 0:
             body += "\nThis notice stands on every site of the web"
-        docs.append((i, body, lang, f"s{i % 12}", len(body)))
+        docs.append((i, body, lang, f"s{i % 25}", len(body)))
     docs += [(200 + i, docs[i][1], docs[i][2], "s3", docs[i][4]) for i in (3, 5, 9)]
     docs += [(300 + i, docs[i][1] + " ending", docs[i][2], "s4", docs[i][4] + 7) for i in (3, 6, 14)]
     docs += [(400, None, None, None, None), (401, "", "en", "s1", 0), (402, "123 456", "en", "s1", 7)]
