@@ -100,6 +100,19 @@ def parity_sketches(sets: list[np.ndarray], bits: int = SKETCH_BITS) -> np.ndarr
     return np.packbits(odd).reshape(len(sets), -1).view(np.uint64)
 
 
+def band_keys(sets: list[np.ndarray], orders: np.ndarray) -> np.ndarray:
+    """The bucket of each set in each band."""
+    bands = BINS // ROWS
+    signature = densified(sets, orders)
+    keys = np.zeros((len(sets), bands), np.uint64)
+    for band in range(bands):
+        acc = np.full(len(sets), np.uint64(band + 1), np.uint64)
+        for j in range(ROWS):
+            acc = common.mix64(acc * common._P + signature[:, band * ROWS + j])
+        keys[:, band] = acc
+    return keys
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     orders = _orders()
     bands = BINS // ROWS
@@ -107,13 +120,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             sets = shingle_sets(part.column("text"))
-            signature = densified(sets, orders)
-            keys = np.zeros((len(sets), bands), np.uint64)
-            for band in range(bands):
-                acc = np.full(len(sets), np.uint64(band + 1), np.uint64)
-                for j in range(ROWS):
-                    acc = common.mix64(acc * common._P + signature[:, band * ROWS + j])
-                keys[:, band] = acc
+            keys = band_keys(sets, orders)
             n = np.array([len(s) for s in sets], np.int64)
             k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             k2 = np.array([common.mix64(s ^ common._P).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -126,12 +133,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, parity sketch and sorted hashes of each document's set."""
+    """Size, parity sketch with the band keys behind it, and sorted hashes of each document's set."""
+    orders = _orders()
     for batch in batches:
         for at in range(0, batch.num_rows, 250):
             part = batch.slice(at, 250)
             sets = shingle_sets(part.column("text"))
-            sketch = [x.tobytes() for x in parity_sketches(sets)]
+            sketch = [x.tobytes() for x in np.concatenate([parity_sketches(sets), band_keys(sets, orders)], axis=1)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["doc_id", "size", "sketch", "hashes"],
@@ -169,19 +177,23 @@ def _stars(members: DataFrame) -> DataFrame:
     return star.select(F.greatest("doc_id", "centre").alias("u"), F.least("doc_id", "centre").alias("v")).distinct()
 
 
-def _block_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, own: np.ndarray, both: bool) -> Iterator[np.ndarray]:
+def _block_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, own: np.ndarray, both: bool, key: int | None = None) -> Iterator[np.ndarray]:
     """Pairs of places of one meeting of blocks that may link: of different components and within both bounds.
 
+    Band keys lie behind the sketches; a pair is given in the bucket ``key`` of the first band that it shares only.
     ``own`` says which rows are of the first block; with ``both`` only rows of different blocks are paired.
     3/4 alike sets have 1/7 of the sum of their sizes of hashes that only one of them has, at most.
     """
+    parity, bands = np.split(sketch, [1 << (SKETCH_BITS - 6)], axis=1)
     rows = np.flatnonzero(own) if both else np.arange(len(ids))
     cols = np.flatnonzero(~own) if both else rows
     for r in rows.tolist():
         c = cols if both else cols[cols > r]
         c = c[(component[c] != component[r]) & (4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r]))]
         if len(c):
-            c = c[7 * np.bitwise_count(sketch[c] ^ sketch[r]).sum(axis=1, dtype=np.int64) <= n[c] + n[r]]
+            c = c[7 * np.bitwise_count(parity[c] ^ parity[r]).sum(axis=1, dtype=np.int64) <= n[c] + n[r]]
+        if len(c) and key is not None:
+            c = c[bands[r][(bands[c] == bands[r]).argmax(axis=1)] == key]
         if len(c):
             yield np.stack([np.maximum(ids[c], ids[r]), np.minimum(ids[c], ids[r])], axis=1)
 
@@ -195,7 +207,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            found = list(_block_pairs(ids[a:b], n[a:b], component[a:b], sketch[a:b], block[a:b] == i[a], bool(i[a] != j[a])))
+            found = list(_block_pairs(ids[a:b], n[a:b], component[a:b], sketch[a:b], block[a:b] == i[a], bool(i[a] != j[a]), key[a].view(np.uint64)))
             if found:
                 uv = np.concatenate(found)
                 for at in range(0, len(uv), 100_000):
@@ -235,7 +247,7 @@ def _remaining(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataF
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "size", "component", "sketch")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_meetings, "u long, v long").distinct()
+    return rows.mapInArrow(_meetings, "u long, v long")
 
 
 def _named(ids: DataFrame, column: str, groups: DataFrame, to: str = "component") -> DataFrame:
