@@ -43,9 +43,14 @@ def school_key(name: Column) -> Column:
     return F.lower(collapsed(name))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def clean_model_text(text: Column) -> Column:
     """A model's transcription: no code fences, markers for nothing as '', unusable text as null."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), "^```[A-Za-z]*\\s*", ""), "\\s*```$", ""))
+    bare = stripped(F.regexp_replace(stripped(text), "(?iU)^```(?:text|markdown)?\\s*|\\s*```$", ""))
     return (
         F.when(F.upper(bare).isin("BLANK", "UNREADABLE", "UNKNOWN"), F.lit(""))
         .when((bare == "") | (F.length(bare) > 180) | bare.rlike("[\\n{}<>]"), F.lit(None).cast("string"))

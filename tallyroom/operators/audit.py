@@ -57,16 +57,23 @@ def audit_answers(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def audit_questions(papers: DataFrame) -> DataFrame:
-    """AGG5: states per question 1 to 25, zeros kept, and question 0 for all of them."""
-    found = audited_answers(papers).rollup("question").agg(*_states()).select(F.coalesce("question", F.lit(0)).alias("question"), "matched", "unresolved", "different")
-    every = papers.sparkSession.range(0, QUESTIONS + 1).select(F.col("id").cast("int").alias("question"))
-    return every.join(found, "question", "left").fillna(0, ["matched", "unresolved", "different"])
+def _every(papers: DataFrame, by: tuple[str, ...], name: str, values: F.Column) -> DataFrame:
+    """Each group of approved papers (or the one group of all, without ``by``) with each of a few values."""
+    groups = papers.filter("status = 'approved'").select(*by).distinct() if by else papers.sparkSession.range(1).select()
+    return groups.select(*by, F.explode(values).alias(name))
 
 
-def audit_reasons(papers: DataFrame) -> DataFrame:
-    """AGG6: answers that did not match, by reason."""
-    return audited_answers(papers).filter("state <> 'matched'").groupBy("reason").agg(F.count("*").alias("n"))
+def audit_questions(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """AGG5: states per question 1 to 25, zeros kept, and question 0 for all of them; for each group of ``by``."""
+    counts = audited_answers(papers).groupBy(*by, "question").agg(*_states())
+    sums = counts.groupBy(*by).agg(*(F.sum(s).alias(s) for s in ("matched", "unresolved", "different"))).withColumn("question", F.lit(0))
+    every = _every(papers, by, "question", F.sequence(F.lit(0), F.lit(QUESTIONS)))
+    return every.join(counts.unionByName(sums), [*by, "question"], "left").fillna(0, ["matched", "unresolved", "different"])
+
+
+def audit_reasons(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """AGG6: answers that did not match, by reason; for each group of ``by``."""
+    return audited_answers(papers).filter("state <> 'matched'").groupBy(*by, "reason").agg(F.count("*").alias("n"))
 
 
 def _field_states(papers: DataFrame) -> DataFrame:
@@ -80,14 +87,14 @@ def _field_states(papers: DataFrame) -> DataFrame:
     return rows.select("paper_id", "batch_id", "field", state.alias("state"))
 
 
-def audit_fields(papers: DataFrame) -> DataFrame:
-    """AGG7: states of each identity field, zeros kept."""
-    rows = _field_states(papers).groupBy("field").agg(
+def audit_fields(papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """AGG7: states of each identity field, zeros kept; for each group of ``by``."""
+    rows = _field_states(papers).groupBy(*by, "field").agg(
         F.count(F.when(F.col("state").isin("matched", "different"), 1)).alias("readable"),
         *(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("matched", "different", "blank_or_unreadable")),
     )
-    names = papers.sparkSession.createDataFrame([(k,) for k in FIELDS], "field string")
-    return names.join(rows, "field", "left").fillna(0)
+    every = _every(papers, by, "field", F.array(*(F.lit(k) for k in FIELDS)))
+    return every.join(rows, [*by, "field"], "left").fillna(0, ["readable", "matched", "different", "blank_or_unreadable"])
 
 
 def audit_students(papers: DataFrame) -> DataFrame:

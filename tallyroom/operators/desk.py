@@ -98,26 +98,35 @@ def status_counts(papers: DataFrame, batches: DataFrame) -> DataFrame:
     return a.withColumn("_", F.lit(1)).join(b.withColumn("_", F.lit(1)), "_").drop("_")
 
 
-def import_progress(batches: DataFrame, exams: DataFrame, newest: int = 20) -> DataFrame:
-    """AGG2: the newest imports with pages, exam and sums of done and total."""
-    rows = batches.filter("start_page IS NOT NULL").groupBy("import_id").agg(
-        F.min("exam_id").alias("exam_id"), F.sum("done").alias("done"), F.sum("total").alias("total"), (2 * F.sum("total")).alias("pages")
-    )
-    return rows.orderBy(F.desc("import_id")).limit(newest).join(F.broadcast(exams), "exam_id").drop("exam_id")
+def import_progress(imports: DataFrame, batches: DataFrame, exams: DataFrame, newest: int = 20) -> DataFrame:
+    """AGG2: the newest imports (import_id, exam_id, pages, created) that have parts, with exam and sums of done and total.
 
+    Imports are cut to the newest before anything is summed; exams are joined as their size allows.
+    """
+    parts = batches.filter("start_page IS NOT NULL")
+    rows = imports.join(exams, "exam_id").join(parts.select("import_id").distinct(), "import_id", "left_semi")
+    rows = rows.orderBy(F.desc("created"), F.desc("import_id")).limit(newest)
+    sums = parts.join(F.broadcast(rows.select("import_id")), "import_id").groupBy("import_id").agg(F.sum("done").alias("done"), F.sum("total").alias("total"))
+    return rows.join(sums, "import_id").select("import_id", "pages", "exam_name", "done", "total")
 
-def capacity(files: DataFrame, batches: DataFrame, budget: int, new_size: int, new_pages: int) -> DataFrame:
-    """AGG3: used, reserved and available bytes, and whether one more import fits.
 
-    The desk clips each batch's pending number at 0; intake does not.
-    """
+def space(files: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row: used bytes, pending students with each batch clipped at 0, and raw_pending without."""
     open_ = F.col("status").isin("queued", "processing", "failed")
     used = files.agg(F.coalesce(F.sum(F.coalesce("size", F.lit(0))), F.lit(0)).alias("used"))
     pending = batches.agg(
         F.coalesce(F.sum(F.when(open_, F.greatest(F.lit(0), F.col("total") - F.col("done")))), F.lit(0)).alias("pending"),
         F.coalesce(F.sum(F.when(open_, F.col("total") - F.col("done"))), F.lit(0)).alias("raw_pending"),
     )
-    row = used.withColumn("_", F.lit(1)).join(pending.withColumn("_", F.lit(1)), "_")
+    return used.withColumn("_", F.lit(1)).join(pending.withColumn("_", F.lit(1)), "_").drop("_")
+
+
+def capacity(files: DataFrame, batches: DataFrame, budget: int, new_size: int, new_pages: int) -> DataFrame:
+    """AGG3: used, reserved and available bytes, and whether one more import fits.
+
+    The desk clips each batch's pending number at 0; intake does not.
+    """
+    row = space(files, batches)
     reserved = F.col("pending") * RESERVED
     return row.select(
         "used",

@@ -9,6 +9,7 @@ from tallyroom.operators import desk
 from tallyroom.schemas import FIELDS
 
 MAX_PAGES, PART_PAGES, SMALL_PAGES = 6000, 30, 30
+HEAD = 10_000
 
 
 def _rect_ok(r: F.Column) -> F.Column:
@@ -78,15 +79,41 @@ def page_parts(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "start_page", end.alias("end_page"), name.alias("name"), F.floor((end - F.col("start_page")) / 2).cast("int").alias("students"))
 
 
+def admitted(candidates: DataFrame, free: int) -> DataFrame:
+    """file_id of the files (file_id, need) that fit when they are taken in order of file_id, each from what is left.
+
+    A file that doesn't fit is passed over. If all fit together one sum decides. Else the files that still can
+    fit are read in order, HEAD at a time; the driver keeps the taken ids alone, of which there are at most
+    ``free`` / RESERVED because each takes that much at least.
+    """
+    if (candidates.agg(F.sum("need").alias("n")).first()["n"] or 0) <= free:
+        return candidates.select("file_id")
+    taken, rows, last = [], candidates.select("file_id", "need"), None
+    while True:
+        left = rows.filter(F.col("need") <= free)
+        left = left if last is None else left.filter(F.col("file_id") > last)
+        head = left.orderBy("file_id").limit(HEAD).collect()
+        for r in head:
+            if r["need"] <= free:
+                taken.append((r["file_id"],))
+                free -= r["need"]
+        if len(head) < HEAD:
+            break
+        last = head[-1]["file_id"]
+    return candidates.sparkSession.createDataFrame(taken, candidates.select("file_id").schema)
+
+
 def plan_intake(incoming: DataFrame, stored: DataFrame, files: DataFrame, batches: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """CHG7: (parts of accepted files, refused files with a reason). A file is accepted or refused whole.
 
-    Each file is measured against the space that is free before the load.
+    Files are admitted one after the other by file_id: an accepted one takes its bytes and its students' evidence
+    from the space that the next ones find.
     """
-    rows = intake_dedupe(incoming, stored).join(incoming.select("file_id", "stem", "pages", "size"), "file_id")
-    space = desk.capacity(files, batches, budget, 0, 0).select("used", "reserved")
-    rows = rows.withColumn("_", F.lit(1)).join(F.broadcast(space.withColumn("_", F.lit(1))), "_")
-    need = F.col("used") + F.col("reserved") + F.col("size") + F.floor(F.col("pages") / 2) * desk.RESERVED
-    reason = F.when(~page_count_ok(F.col("pages")), "page count").when(F.col("state") == "duplicate", "duplicate").when(need > budget, "no space")
-    rows = rows.withColumn("reason", reason)
+    rows = intake_dedupe(incoming, stored).join(incoming.select("file_id", F.substring("stem", 1, 90).alias("stem"), "pages", "size"), "file_id")
+    now = desk.space(files, batches).first()
+    reason = F.when(~page_count_ok(F.col("pages")), "page count").when(F.col("state") == "duplicate", "duplicate")
+    rows = rows.withColumn("reason", reason).withColumn("need", F.col("size") + F.floor(F.col("pages") / 2) * desk.RESERVED)
+    fit = admitted(rows.filter("reason IS NULL"), budget - now["used"] - now["raw_pending"] * desk.RESERVED)
+    rows = rows.join(fit.withColumn("fits", F.lit(True)), "file_id", "left")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("fits").isNull(), F.lit("no space"))))
     return page_parts(rows.filter("reason IS NULL")), rows.filter("reason IS NOT NULL").select("file_id", "reason")

@@ -219,11 +219,14 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "agg2_import_progress",
-    f"WITH {X.EXAMS_SQL}, im AS (SELECT import_no, min(exam_no) AS exam_no, CAST(sum(done) AS BIGINT) AS done, CAST(sum(total) AS BIGINT) AS total, CAST(2 * sum(total) AS BIGINT) AS pages FROM batches WHERE start_page IS NOT NULL GROUP BY import_no ORDER BY import_no DESC LIMIT 20) "
-    "SELECT import_no AS import_id, done, total, pages, exam_name FROM im JOIN exams USING (exam_no)",
+    f"WITH {X.EXAMS_SQL}, im AS (SELECT import_no, min(exam_no) AS exam_no, CAST(sum(done) AS BIGINT) AS done, CAST(sum(total) AS BIGINT) AS total FROM batches WHERE start_page IS NOT NULL GROUP BY import_no ORDER BY (import_no * 7919) % 100003 DESC, import_no DESC LIMIT 20) "
+    "SELECT import_no AS import_id, done, total, 6000 - 2 * (import_no % 11) AS pages, exam_name FROM im JOIN exams USING (exam_no)",
 )
 def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return desk.import_progress(X.batches(spark, sf_dir), X.exams(spark, sf_dir))
+    batches = X.batches(spark, sf_dir)
+    imports = batches.groupBy("import_id").agg(F.min(F.when(F.col("start_page").isNotNull(), F.col("exam_id"))).alias("exam_id"))
+    imports = imports.withColumns({"pages": 6000 - 2 * (F.col("import_id") % 11), "created": (F.col("import_id") * 7919) % 100003})
+    return desk.import_progress(imports, batches, X.exams(spark, sf_dir))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,14 +300,14 @@ def audit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_answers(X.papers(spark, sf_dir), ("batch_id",))
 
 
-@_add("agg5_audit_questions", f"WITH {_AUDITED} SELECT CAST(coalesce(q + 1, 0) AS INT) AS question, {_THREE} FROM audited GROUP BY ROLLUP (q)")
+@_add("agg5_audit_questions", f"WITH {_AUDITED} SELECT batch_no AS batch_id, CAST(question AS INT) AS question, {_THREE} FROM (SELECT DISTINCT batch_no FROM papers WHERE status = 'approved') CROSS JOIN (SELECT unnest(range(26)) AS question) LEFT JOIN (SELECT batch_no, q + 1 AS question, state FROM audited UNION ALL SELECT batch_no, 0, state FROM audited) USING (batch_no, question) GROUP BY batch_no, question")
 def audit_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_questions(X.papers(spark, sf_dir))
+    return audit.audit_questions(X.papers(spark, sf_dir), ("batch_id",))
 
 
-@_add("agg6_audit_reasons", f"WITH {_AUDITED} SELECT coalesce(reason, 'Reason unavailable') AS reason, count(*) AS n FROM audited WHERE state <> 'matched' GROUP BY 1")
+@_add("agg6_audit_reasons", f"WITH {_AUDITED} SELECT batch_no AS batch_id, coalesce(reason, 'Reason unavailable') AS reason, count(*) AS n FROM audited WHERE state <> 'matched' GROUP BY ALL")
 def audit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_reasons(X.papers(spark, sf_dir))
+    return audit.audit_reasons(X.papers(spark, sf_dir), ("batch_id",))
 
 
 _NORM = "lower(regexp_replace({}, '\\s', '', 'g'))"
@@ -314,10 +317,10 @@ _FIELD_STATE = f"""fs AS (SELECT *, CASE WHEN rvalue IS DISTINCT FROM val THEN N
 
 @_add(
     "agg7_audit_fields",
-    f"WITH {_FIELD_STATE} SELECT field, count(*) FILTER (state IN ('matched', 'different')) AS readable, count(*) FILTER (state = 'matched') AS matched, count(*) FILTER (state = 'different') AS different, count(*) FILTER (state = 'blank_or_unreadable') AS blank_or_unreadable FROM fs GROUP BY field",
+    f"WITH {_FIELD_STATE} SELECT batch_no AS batch_id, field, count(*) FILTER (state IN ('matched', 'different')) AS readable, count(*) FILTER (state = 'matched') AS matched, count(*) FILTER (state = 'different') AS different, count(*) FILTER (state = 'blank_or_unreadable') AS blank_or_unreadable FROM fs GROUP BY batch_no, field",
 )
 def audit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_fields(X.papers(spark, sf_dir))
+    return audit.audit_fields(X.papers(spark, sf_dir), ("batch_id",))
 
 
 @_add(
@@ -584,17 +587,23 @@ def school_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "str5_clean_model_text",
-    "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE p_name END AS text FROM part",
+    "SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 6 THEN p_name WHEN 7 THEN '' WHEN 8 THEN p_name WHEN 9 THEN p_name WHEN 10 THEN NULL WHEN 11 THEN 'python ' || p_name ELSE p_name END AS text FROM part",
     long=False,
 )
 def clean_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, name = F.col("p_partkey") % 6, F.col("p_name")
+    n, name = F.col("p_partkey") % 12, F.col("p_name")
     raw = (
         F.when(n == 0, F.concat(F.lit("```text\n"), name, F.lit("\n```")))
         .when(n == 1, F.lit(" unreadable "))
         .when(n == 2, F.lit("   "))
         .when(n == 3, F.concat(F.lit("{"), name, F.lit("}")))
         .when(n == 4, F.repeat(name, 100))
+        .when(n == 6, F.concat(F.lit("```"), name, F.lit("```")))
+        .when(n == 7, F.lit("Blank\n"))
+        .when(n == 8, F.concat(F.lit("\t"), name, F.lit("\u00a0\r\n")))
+        .when(n == 9, F.concat(F.lit("```Markdown "), name, F.lit("\n```\n")))
+        .when(n == 10, F.concat(name, F.lit("\n"), name))
+        .when(n == 11, F.concat(F.lit("```python "), name))
         .otherwise(F.concat(F.lit(" "), name))
     )
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.clean_model_text(raw).alias("text"))
@@ -767,7 +776,7 @@ for _k in _E:
     for _ref in ("e", "w"):
         if _k != _ref:
             _E[_k] = _E[_k].replace("{" + _ref + "}", _E[_ref])
-_EV_LONG = "ev AS (SELECT answers.*, o, " + ", ".join(f"{v} AS {k}" for k, v in _E.items()) + " FROM answers CROSS JOIN (SELECT CAST(range AS BIGINT) AS o FROM range(4)))"
+_EV_LONG = "ev AS MATERIALIZED (SELECT answers.*, o, " + ", ".join(f"{v} AS {k}" for k, v in _E.items()) + " FROM answers CROSS JOIN (SELECT CAST(range AS BIGINT) AS o FROM range(4)))"
 _EV_BY = "p, q"
 
 
@@ -966,19 +975,19 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "ev12_assemble_paper",
-    """WITH r AS (SELECT answers.*, CASE WHEN p % 10 = 0 AND q >= 10 THEN '?' ELSE answer END AS got FROM answers),
- t AS (SELECT p, string_agg(got, '' ORDER BY q) AS answers, CAST(4 * sum(CASE WHEN got = k THEN 1 ELSE 0 END) AS INT) AS total, CAST(sum(CASE WHEN got = '?' THEN 1 ELSE 0 END) AS INT) AS unresolved, bool_or(got = '?') AS unsure FROM r GROUP BY p)
- SELECT batch_no AS batch_id, idx, answers, total, unresolved, CASE WHEN papers.p % 6 = 0 THEN '' ELSE n_name END AS school, concat_ws(',', CASE WHEN unsure THEN 'uncertain answers' END, CASE WHEN papers.p % 6 = 0 THEN 'no field readings' END) AS flags, 'review' AS status, 1 AS version
+    """WITH r AS (SELECT answers.*, CASE WHEN p % 10 = 0 AND q >= 10 OR p % 15 = 7 AND q < 10 THEN '?' ELSE answer END AS got FROM answers),
+ t AS (SELECT p, string_agg(got, '' ORDER BY q) AS answers, CAST(4 * sum(CASE WHEN got = k THEN 1 ELSE 0 END) AS INT) AS total, CAST(sum(CASE WHEN got = '?' THEN 1 ELSE 0 END) AS INT) AS unresolved FROM r GROUP BY p)
+ SELECT batch_no AS batch_id, idx, answers, total, unresolved, CASE WHEN papers.p % 6 = 0 THEN '' ELSE n_name END AS school, concat_ws('|', CASE WHEN papers.p % 15 = 7 THEN 'Page 1: alignment failed; check page order and scan quality.' END, CASE WHEN papers.p % 10 = 0 THEN 'Page 2: alignment failed; check page order and scan quality.' END, 'Verify student details, both pages and all detected answers before approving.') AS flags, 'review' AS status, 1 AS version
  FROM papers JOIN t USING (p)""",
 )
 def assemble_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = X.papers(spark, sf_dir)
-    reads = papers.select("batch_id", "idx", "paper_id", F.posexplode("answers").alias("q", "answer")).filter("NOT (paper_id % 10 = 0 AND q >= 10)")
+    reads = papers.select("batch_id", "idx", "paper_id", F.posexplode("answers").alias("q", "answer")).filter("NOT (paper_id % 10 = 0 AND q >= 10) AND NOT (paper_id % 15 = 7 AND q < 10)")
     reads = reads.select("batch_id", "idx", "q", "answer", F.lit("review").alias("confidence"), F.lit("read").alias("reason"))
     nation = X.base(spark, sf_dir).filter("p % 6 <> 0").select(F.col("batch_no").alias("batch_id"), "idx", F.lit("school").alias("field"), F.col("n_name").alias("suggested"))
     out = forest.assemble_papers(papers.select("batch_id", "idx", "key"), reads, nation)
     return out.select(
-        "batch_id", "idx", F.array_join("answers", "").alias("answers"), "score.total", "score.unresolved", F.try_element_at("fields", F.lit("school")).alias("school"), F.array_join("flags", ",").alias("flags"), "status", "version"
+        "batch_id", "idx", F.array_join("answers", "").alias("answers"), "score.total", "score.unresolved", F.try_element_at("fields", F.lit("school")).alias("school"), F.array_join("flags", "|").alias("flags"), "status", "version"
     )
 
 
@@ -1111,6 +1120,11 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOAD = "load AS (SELECT p_partkey AS file_id, p_partkey % 5 AS exam_id, sha256(p_brand || CAST(p_size AS VARCHAR)) AS digest FROM part), kept AS (SELECT file_id AS import_id, exam_id, digest FROM load WHERE file_id % 20 = 0), known AS (SELECT exam_id, digest, min(import_id) AS import_id FROM kept GROUP BY ALL), firsts AS (SELECT exam_id, digest, min(file_id) AS first_file FROM load GROUP BY ALL)"
 
 
+#: Space for a part of the larger loads only.
+_INTAKE_BUDGET = 100 * (1 << 30)
+_DERIVED_BATCHES = f"{X.LONG},"
+
+
 def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     digest = F.sha2(F.concat("p_brand", F.col("p_size").cast("string")), 256)
     rows = _table(spark, sf_dir, "part").select(
@@ -1135,13 +1149,16 @@ def intake_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add(
     "chg7_plan_intake",
-    f"WITH {_LOAD} SELECT file_id, CAST(range AS INT) AS start_page, CAST(least(range + 30, pages) AS INT) AS end_page, p_name || ' · pages ' || CAST(range + 1 AS VARCHAR) || '–' || CAST(least(range + 30, pages) AS VARCHAR) AS name, CAST((least(range + 30, pages) - range) // 2 AS INT) AS students "
-    "FROM (SELECT file_id, p_name, (p_partkey * 14) % 250 AS pages FROM load JOIN part ON p_partkey = file_id JOIN firsts USING (exam_id, digest) LEFT JOIN known USING (exam_id, digest) WHERE import_id IS NULL AND file_id = first_file AND (p_partkey * 14) % 250 BETWEEN 2 AND 6000), LATERAL (SELECT unnest(range(0, pages, 30)) AS range)",
+    f"WITH RECURSIVE {_LOAD}, {_DERIVED_BATCHES} cand AS (SELECT file_id, p_name, pages, need, row_number() OVER (ORDER BY file_id) AS i FROM (SELECT file_id, p_name, (p_partkey * 14) % 250 AS pages, CAST(p_size AS BIGINT) * 100000 + ((p_partkey * 14) % 250) // 2 * 3145728 AS need FROM load JOIN part ON p_partkey = file_id JOIN firsts USING (exam_id, digest) LEFT JOIN known USING (exam_id, digest) WHERE import_id IS NULL AND file_id = first_file AND (p_partkey * 14) % 250 BETWEEN 2 AND 6000)), "
+    f"room AS (SELECT {_INTAKE_BUDGET} - (SELECT sum(CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size AS BIGINT) * 4096 ELSE 0 END) FROM part) - 3145728 * (SELECT sum(CASE WHEN status IN ('queued', 'processing', 'failed') THEN total - done ELSE 0 END) FROM batches) AS free), "
+    "fold AS (SELECT CAST(0 AS BIGINT) AS i, CAST(free AS BIGINT) AS free, false AS ok FROM room UNION ALL SELECT c.i, CASE WHEN c.need <= f.free THEN f.free - c.need ELSE f.free END, c.need <= f.free FROM fold f JOIN cand c ON c.i = f.i + 1) "
+    "SELECT file_id, CAST(range AS INT) AS start_page, CAST(least(range + 30, pages) AS INT) AS end_page, p_name || ' · pages ' || CAST(range + 1 AS VARCHAR) || '–' || CAST(least(range + 30, pages) AS VARCHAR) AS name, CAST((least(range + 30, pages) - range) // 2 AS INT) AS students "
+    "FROM (SELECT cand.* FROM cand JOIN fold USING (i) WHERE ok), LATERAL (SELECT unnest(range(0, pages, 30)) AS range)",
     long=False,
 )
 def plan_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, stored = _load(spark, sf_dir)
-    parts, _ = intake.plan_intake(new, stored, _files(spark, sf_dir), X.batches(spark, sf_dir), 1 << 60)
+    parts, _ = intake.plan_intake(new, stored, _files(spark, sf_dir), X.batches(spark, sf_dir), _INTAKE_BUDGET)
     return parts.select("file_id", "start_page", "end_page", "name", "students")
 
 
@@ -1175,7 +1192,8 @@ def read_exam_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("src4_file_manifest")
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.file_manifest(spark, f"{sf_dir}/orders.parquet").select("size", "digest")
+    out = readers.file_manifest(spark, sf_dir, "*.parquet")
+    return out.select(F.regexp_extract("key", "([^/]+)$", 1).alias("name"), "size", "digest")
 
 
 # --- access --------------------------------------------------------------------------------------
