@@ -44,15 +44,15 @@ def pending_items(papers: DataFrame) -> DataFrame:
 
 
 def review_queue(papers: DataFrame, batches: DataFrame, exams: DataFrame, offset: int, limit: int) -> DataFrame:
-    """JN1 and TOP3: one page of papers that are not approved, in order of batch and place; next_offset is null on the last page.
+    """JN1 and TOP3: one page of papers that are not approved, in order of the batch's creation and the place in it; next_offset is null on the last page.
 
     The page is cut before anything is derived from the documents.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be 1 to 50")
-    rows = papers.filter("status <> 'approved'").join(batches.select("batch_id", F.col("status").alias("batch_status")), "batch_id").join(exams, "exam_id")
-    page = rows.orderBy("batch_id", "idx", "paper_id").offset(offset).limit(limit + 1)
-    order = Window.orderBy("batch_id", "idx", "paper_id")  # over at most 51 rows
+    rows = papers.filter("status <> 'approved'").join(batches.select("batch_id", "created", F.col("status").alias("batch_status")), "batch_id").join(exams, "exam_id")
+    page = rows.orderBy("created", "batch_id", "idx", "paper_id").offset(offset).limit(limit + 1)
+    order = Window.orderBy("created", "batch_id", "idx", "paper_id")  # over at most 51 rows
     page = page.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.max("_n").over(Window.partitionBy()))
     page = page.filter(F.col("_n") <= limit)
     items = pending_items(page).join(page.select("paper_id", "batch_id", "exam_name", "_all"), "paper_id")
@@ -170,7 +170,7 @@ def next_exception(papers: DataFrame) -> DataFrame:
 
 def next_batch(batches: DataFrame) -> DataFrame:
     """TOP2: the oldest queued batch."""
-    return batches.filter("status = 'queued'").orderBy("batch_id").limit(1)
+    return batches.filter("status = 'queued'").orderBy("created", "batch_id").limit(1)
 
 
 def retry_failed(batches: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroom.functions.text import school_key, spreadsheet_safe
+from tallyroom.functions.text import school_key, spreadsheet_safe, stripped
 
 #: The class names that a record may carry.
 CLASSES = ("Nursery", "LKG", "UKG", *(str(i) for i in range(1, 13)), "Other")
@@ -14,7 +14,7 @@ CLASSES = ("Nursery", "LKG", "UKG", *(str(i) for i in range(1, 13)), "Other")
 def record_problems(name, school, father, mother, class_name, marks) -> F.Column:
     """VAL3: array of violations of one record; empty if it is valid."""
     digits = lambda c: F.length(F.regexp_replace(c, "[^0-9]", ""))
-    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    text = lambda c: stripped(F.coalesce(c, F.lit("")))
     bad_phone = lambda c: (text(c) != "") & ~(text(c).rlike("^[+0-9\\s()\\-]+$") & digits(text(c)).between(7, 15))
     value = text(marks).try_cast("double")
     checks = (
@@ -33,8 +33,8 @@ def validated(records: DataFrame) -> DataFrame:
     """Records with trimmed texts, marks as DECIMAL(10,2) (blank: null) and ``violations``."""
     c = F.col
     problems = record_problems(c("name"), c("school"), c("father_phone"), c("mother_phone"), c("class_name"), c("marks"))
-    trimmed = {k: F.trim(F.coalesce(k, F.lit(""))) for k in ("name", "school", "father_phone", "mother_phone", "class_name")}
-    marks = F.trim("marks").try_cast("decimal(10,2)")
+    trimmed = {k: stripped(F.coalesce(k, F.lit(""))) for k in ("name", "school", "father_phone", "mother_phone", "class_name")}
+    marks = stripped(F.col("marks")).try_cast("decimal(10,2)")
     return records.withColumn("violations", problems).withColumns(trimmed).withColumn("marks", marks)
 
 

@@ -112,12 +112,17 @@ def pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(desk.pending_items(X.papers(spark, sf_dir)))
 
 
+def _created(batches: DataFrame) -> DataFrame:
+    """Batches with a time of creation that doesn't follow their numbers."""
+    return batches.withColumn("created", (F.col("batch_id") * 7919) % 100003)
+
+
 @_add(
     "jn1_review_queue",
-    f"{_PENDING}, {X.EXAMS_SQL} SELECT {_PENDING_COLUMNS}, batch_no AS batch_id, exam_name, CAST(70 AS INT) AS next_offset FROM (SELECT * FROM pending WHERE status <> 'approved' ORDER BY batch_no, idx LIMIT 50 OFFSET 20) JOIN exams USING (exam_no)",
+    f"{_PENDING}, {X.EXAMS_SQL} SELECT {_PENDING_COLUMNS}, batch_no AS batch_id, exam_name, CAST(70 AS INT) AS next_offset FROM (SELECT * FROM pending WHERE status <> 'approved' ORDER BY (batch_no * 7919) % 100003, batch_no, idx LIMIT 50 OFFSET 20) JOIN exams USING (exam_no)",
 )
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(desk.review_queue(X.papers(spark, sf_dir), X.batches(spark, sf_dir), X.exams(spark, sf_dir), 20, 50))
+    return _flat(desk.review_queue(X.papers(spark, sf_dir), _created(X.batches(spark, sf_dir)), X.exams(spark, sf_dir), 20, 50))
 
 
 @_add("top3_page_of", "SELECT p AS paper_id, batch_no AS batch_id, idx FROM papers WHERE status <> 'approved' AND (batch_no > 3 OR (batch_no = 3 AND idx > 4)) ORDER BY batch_no, idx LIMIT 50")
@@ -274,9 +279,9 @@ def next_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.next_exception(X.papers(spark, sf_dir))
 
 
-@_add("top2_next_batch", "SELECT min(batch_no) AS batch_id FROM batches WHERE status = 'queued' HAVING count(*) > 0")
+@_add("top2_next_batch", "SELECT batch_no AS batch_id FROM batches WHERE status = 'queued' ORDER BY (batch_no * 7919) % 100003, batch_no LIMIT 1")
 def next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return desk.next_batch(X.batches(spark, sf_dir)).select("batch_id")
+    return desk.next_batch(_created(X.batches(spark, sf_dir))).select("batch_id")
 
 
 @_add("chg8_retry_failed", "SELECT batch_no AS batch_id, CASE WHEN status IN ('failed', 'processing') THEN 'queued' ELSE status END AS status FROM batches")
@@ -662,9 +667,9 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("version") - F.when(F.col("paper_id") % 24 == 0, 1).otherwise(0)).alias("version"),
         F.col("paper_id").alias("edit_id"),
         F.transform("answers", lambda a: F.when(a == "?", "-").otherwise(a)).alias("answers"),
-        "fields",
-        "field_review",
-        "answer_checks",
+        F.when(F.col("paper_id") % 64 == 0, F.map_concat(F.transform_values("fields", lambda k, v: F.concat(F.lit("\t"), v, F.lit(" \r\n"))), F.create_map(F.lit("nickname"), F.lit("x")))).otherwise(F.col("fields")).alias("fields"),
+        F.when(F.col("paper_id") % 3 != 0, F.col("field_review")).alias("field_review"),
+        F.when(F.col("paper_id") % 3 != 0, F.col("answer_checks")).alias("answer_checks"),
         "pairing_verified",
         (F.col("paper_id") % 16 == 0).alias("approve"),
     )
@@ -682,12 +687,18 @@ good AS (SELECT p, p % 16 = 0 AS approve FROM papers JOIN x USING (p) WHERE NOT
 @_add(
     "chg1_apply_reviews",
     f"""{_EDIT}, a AS (SELECT p, string_agg(CASE WHEN answer = '?' AND good.p IS NOT NULL THEN '-' ELSE answer END, '' ORDER BY q) AS answers,
- coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (overridden OR (good.p IS NOT NULL AND (answer = '?' OR coalesce(chk = answer, false)))), '') AS overrides FROM answers LEFT JOIN good USING (p) GROUP BY p)
- SELECT p AS paper_id, CASE WHEN good.p IS NULL THEN status WHEN approve THEN 'approved' ELSE 'review' END AS status, CASE WHEN good.p IS NULL THEN version ELSE version + 1 END AS version, answers, overrides FROM papers JOIN a USING (p) LEFT JOIN good USING (p)""",
+ coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (overridden OR (good.p IS NOT NULL AND (answer = '?' OR coalesce(chk = answer, false)))), '') AS overrides, CAST(4 * sum(CASE WHEN answer = k THEN 1 ELSE 0 END) AS INT) AS total FROM answers LEFT JOIN good USING (p) GROUP BY p),
+ fv AS (SELECT fields.p, string_agg(CASE WHEN good.p IS NOT NULL THEN trim(coalesce(val, '')) ELSE val END, '|' ORDER BY f) AS fields FROM fields LEFT JOIN good USING (p) GROUP BY fields.p)
+ SELECT p AS paper_id, CASE WHEN good.p IS NULL THEN status WHEN approve THEN 'approved' ELSE 'review' END AS status, CASE WHEN good.p IS NULL THEN version ELSE version + 1 END AS version, answers, overrides, total, fields FROM papers JOIN a USING (p) JOIN fv USING (p) LEFT JOIN good USING (p)""",
 )
 def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, _, _ = changes.apply_reviews(X.papers(spark, sf_dir), _edits(spark, sf_dir))
-    return state.select("paper_id", "status", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"))
+    state, _, _ = changes.apply_reviews(_scored(spark, sf_dir), _edits(spark, sf_dir))
+    fields = F.array_join(F.transform(F.array(*(F.lit(k) for k in FIELDS)), lambda k: F.try_element_at("fields", k)), "|").alias("fields")
+    return state.select("paper_id", "status", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"), "score.total", fields)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.papers(spark, sf_dir).withColumn("score", S.score_answers(F.col("answers"), F.col("key")))
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -701,46 +712,52 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     "chg2_apply_mark_reread",
     f"""WITH {_PROTECTED}, pr AS (SELECT DISTINCT p, q, true AS kept FROM protected), a AS (SELECT answers.*, coalesce(kept, false) OR overridden AS keeps, answers.p % 3 = 0 AND answers.p % 9 <> 0 AND status <> 'approved' AS used FROM answers LEFT JOIN pr USING (p, q))
  SELECT p AS paper_id, CAST(version + CASE WHEN used THEN 1 ELSE 0 END AS BIGINT) AS version, string_agg(CASE WHEN used AND NOT keeps THEN CASE WHEN answer = '?' THEN k ELSE '?' END ELSE answer END, '' ORDER BY q) AS answers,
- coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (CASE WHEN used THEN keeps ELSE overridden END), '') AS overrides FROM a GROUP BY p, version, used""",
+ coalesce(string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) FILTER (CASE WHEN used THEN keeps ELSE overridden END), '') AS overrides, CAST(4 * sum(CASE WHEN CASE WHEN used AND NOT keeps THEN answer = '?' ELSE answer = k END THEN 1 ELSE 0 END) AS INT) AS total FROM a GROUP BY p, version, used""",
 )
 def apply_mark_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, _, _ = changes.apply_mark_reread(X.papers(spark, sf_dir), _reads(spark, sf_dir), changes.protected_answers(_events(spark, sf_dir)))
-    return state.select("paper_id", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"))
+    state, _, _ = changes.apply_mark_reread(_scored(spark, sf_dir), _reads(spark, sf_dir), changes.protected_answers(_events(spark, sf_dir)))
+    return state.select("paper_id", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"), "score.total")
 
 
 @_add(
     "chg3_apply_detail_reread",
     f"""WITH u AS (SELECT *, p % 4 = 0 AND p % 12 <> 0 AND status <> 'approved' AS used, coalesce(rstatus, '') IN {_DECIDED} AS decided FROM fields), t AS (SELECT *, NOT decided AND (coalesce(val, '') = '' OR coalesce(val, '') = fsuggested) AS taken FROM u)
  SELECT p AS paper_id, version + CASE WHEN used THEN 1 ELSE 0 END AS version, string_agg(CASE WHEN used AND taken THEN 'new ' || field ELSE coalesce(val, CASE WHEN used THEN '' END) END, '|' ORDER BY f) AS fields,
- string_agg(CASE WHEN used THEN CASE WHEN taken THEN 'pending' ELSE coalesce(rstatus, 'pending') END ELSE rstatus END, '|' ORDER BY f) AS statuses FROM t GROUP BY p, version, used""",
+ string_agg(CASE WHEN used THEN CASE WHEN taken THEN 'pending' ELSE coalesce(rstatus, 'pending') END ELSE rstatus END, '|' ORDER BY f) AS statuses, CASE WHEN p % 4 = 0 THEN CASE WHEN status = 'approved' THEN 'approved paper' WHEN p % 12 = 0 THEN 'stale version' END END AS refused FROM t GROUP BY p, version, status, used""",
 )
 def apply_detail_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = X.papers(spark, sf_dir)
     fresh = F.transform_values("field_ocr", lambda k, v: F.struct(F.concat(F.lit("new "), k).alias("suggested")))
     reads = papers.filter("paper_id % 4 = 0").select("paper_id", (F.col("version") + F.when(F.col("paper_id") % 12 == 0, 1).otherwise(0)).alias("version"), fresh.alias("field_ocr"))
     names = F.array(*(F.lit(k) for k in FIELDS))
-    state = changes.apply_detail_reread(papers, reads)
+    state, _, refused = changes.apply_detail_reread(papers, reads)
+    state = state.join(refused, "paper_id", "left")
     fields = F.array_join(F.transform(names, lambda k: F.try_element_at("fields", k)), "|").alias("fields")
-    return state.select("paper_id", "version", fields, F.array_join(F.transform(names, lambda k: F.try_element_at("field_review", k)["status"]), "|").alias("statuses"))
+    return state.select("paper_id", "version", fields, F.array_join(F.transform(names, lambda k: F.try_element_at("field_review", k)["status"]), "|").alias("statuses"), F.col("reason").alias("refused"))
 
 
-_REFINABLE = f"refinable AS (SELECT p, val FROM fields WHERE f = 0 AND status <> 'approved' AND coalesce(rstatus, '') NOT IN {_DECIDED} AND coalesce(val, '') <> '' AND val = fsuggested AND start_page IS NOT NULL)"
+_REFINABLE = f"refinable AS (SELECT p, val FROM fields WHERE f = 0 AND status <> 'approved' AND coalesce(rstatus, '') NOT IN {_DECIDED} AND coalesce(val, '') <> '' AND val = fsuggested AND start_page IS NOT NULL AND p % 7 <> 0)"
 
 
 @_add("flt3_refinable_names", f"WITH {_REFINABLE} SELECT p AS paper_id FROM refinable")
 def refinable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.refinable_names(X.papers(spark, sf_dir)).select("paper_id")
+    return changes.refinable_names(_marked(spark, sf_dir)).select("paper_id")
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers, of which some had their name refined before."""
+    return X.papers(spark, sf_dir).withColumn("name_refined", F.col("paper_id") % 7 == 0)
 
 
 @_add(
     "chg4_apply_name_refinement",
-    f"WITH {_REFINABLE} SELECT fields.p AS paper_id, version + CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 THEN fields.val || ' Jr' ELSE fields.val END AS name FROM fields LEFT JOIN refinable r USING (p) WHERE f = 0",
+    f"WITH {_REFINABLE} SELECT fields.p AS paper_id, version + CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 AND fields.p % 6 <> 0 THEN 1 ELSE 0 END AS version, CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 AND fields.p % 6 <> 0 THEN fields.val || ' Jr' ELSE fields.val END AS name, CASE WHEN r.p IS NOT NULL AND fields.p % 2 = 0 AND fields.p % 6 <> 0 THEN fields.val || ' Jr' ELSE fsuggested END AS suggested FROM fields LEFT JOIN refinable r USING (p) WHERE f = 0",
 )
 def apply_name_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = X.papers(spark, sf_dir)
-    texts = papers.filter("paper_id % 2 = 0").select("paper_id", F.concat(F.try_element_at("fields", F.lit("name")), F.lit("   Jr ")).alias("text"))
+    papers = _marked(spark, sf_dir)
+    texts = papers.filter("paper_id % 2 = 0").select("paper_id", (F.col("version") + F.when(F.col("paper_id") % 6 == 0, 1).otherwise(0)).alias("version"), F.concat(F.try_element_at("fields", F.lit("name")), F.lit("   Jr ")).alias("text"))
     state, _ = changes.apply_name_refinement(papers, texts)
-    return state.select("paper_id", "version", F.try_element_at("fields", F.lit("name")).alias("name"))
+    return state.select("paper_id", "version", F.try_element_at("fields", F.lit("name")).alias("name"), F.try_element_at("field_ocr", F.lit("name"))["suggested"].alias("suggested"))
 
 
 @_add(
