@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,12 @@ def question_outcome(answer: Column, key: Column) -> Column:
     return F.when(answer == key, "Correct").when(answer == "-", "Blank").otherwise("Incorrect")
 
 
+def let(values: dict[str, Column], body: Callable[..., Column]) -> Column:
+    """``body`` of the values, each of which is computed once however often the body names it."""
+    row = F.struct(*(v.alias(k) for k, v in values.items()))
+    return F.get(F.transform(F.array(row), lambda x: body(*(x[k] for k in values))), F.lit(0))
+
+
 def details_ready(fields: Column, reviews: Column, pairing: Column) -> Column:
     """All eight fields decided for the very value that is stored, the name verified and the pages paired."""
     text = lambda k: F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit(""))
@@ -53,15 +61,18 @@ def details_ready(fields: Column, reviews: Column, pairing: Column) -> Column:
 def open_questions(answers: Column, details: Column, checks: Column) -> Column:
     """One-based numbers of answers that neither a matching check nor a strong equal reading supports."""
 
-    def is_open(i: Column) -> Column:
-        answer, detail = F.get(answers, i), F.get(details, i)
-        confirmed = F.try_element_at(checks, i.cast("string")) == answer
-        strong = (detail["answer"] == answer) & (detail["confidence"] == "strong")
-        return (answer == "?") | ~(F.coalesce(confirmed, F.lit(False)) | F.coalesce(strong, F.lit(False)))
+    def found(answers: Column, details: Column, checks: Column) -> Column:
+        def is_open(i: Column) -> Column:
+            answer, detail = F.get(answers, i), F.get(details, i)
+            confirmed = F.try_element_at(checks, i.cast("string")) == answer
+            strong = (detail["answer"] == answer) & (detail["confidence"] == "strong")
+            return (answer == "?") | ~(F.coalesce(confirmed, F.lit(False)) | F.coalesce(strong, F.lit(False)))
 
-    places = F.sequence(F.lit(0), F.size(answers) - 1)
-    found = F.transform(F.filter(places, is_open), lambda i: i + 1)
-    return F.when(F.size(answers) > 0, found).otherwise(F.array().cast("array<int>"))
+        places = F.sequence(F.lit(0), F.size(answers) - 1)
+        numbers = F.transform(F.filter(places, is_open), lambda i: i + 1)
+        return F.when(F.size(answers) > 0, numbers).otherwise(F.array().cast("array<int>"))
+
+    return let({"answers": answers, "details": details, "checks": checks}, found)
 
 
 def open_fields(fields: Column, reviews: Column) -> Column:
@@ -83,12 +94,15 @@ def source_position(start_page: Column, idx: Column) -> tuple[Column, Column, Co
 
 
 def needs_grace(answers: Column, details: Column) -> Column:
-    def uncertain(i: Column) -> Column:
-        reason = F.lower(F.get(details, i)["reason"])
-        return (F.get(answers, i) == "?") & F.coalesce(reason.contains("align") | reason.contains("registration"), F.lit(False))
+    def found(answers: Column, reasons: Column) -> Column:
+        def uncertain(i: Column) -> Column:
+            reason = F.lower(F.get(reasons, i))
+            return (F.get(answers, i) == "?") & F.coalesce(reason.contains("align") | reason.contains("registration"), F.lit(False))
+
+        n = F.least(F.coalesce(F.size(answers), F.lit(0)), F.coalesce(F.size(reasons), F.lit(0)))
+        return F.when(n > 0, F.exists(F.sequence(F.lit(0), n - 1), uncertain)).otherwise(F.lit(False))
 
-    n = F.least(F.coalesce(F.size(answers), F.lit(0)), F.coalesce(F.size(details), F.lit(0)))
-    return F.when(n > 0, F.exists(F.sequence(F.lit(0), n - 1), uncertain)).otherwise(F.lit(False))
+    return let({"answers": answers, "reasons": details["reason"]}, found)
 
 
 def result_marks(total: Column, grace: Column) -> tuple[Column, Column]:
