@@ -41,14 +41,33 @@ def _throttle(ms: np.ndarray, limit: int, window: int) -> np.ndarray:
     return out
 
 
+def _stretches(attempts: DataFrame, window_ms: int) -> DataFrame:
+    """``attempts`` with ``stretch``: a key's attempts between pauses of ``window_ms`` or more.
+
+    A pause of that length resets either login rule, so stretches are folded one by one. Pauses are found among
+    (key, slot of window_ms) rows, at most one for each slot of time, so a busy key's attempts are not sorted together.
+    """
+    rows = attempts.withColumn("slot", F.floor(F.col("ms") / window_ms))
+    slots = rows.groupBy("key", "slot").agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    order = Window.partitionBy("key").orderBy("slot")
+    begins = F.coalesce(F.col("first") - F.lag("last").over(order) >= window_ms, F.lit(True))
+    slots = slots.withColumn("begins", begins.cast("int")).withColumn("stretch", F.sum("begins").over(order))
+    same = F.col("a.key").eqNullSafe(F.col("b.key")) & F.col("a.slot").eqNullSafe(F.col("b.slot"))
+    return rows.alias("a").join(slots.alias("b"), same).select("a.*", "b.stretch")
+
+
 def login_throttle(attempts: DataFrame, limit: int = 10, window_ms: int = 15 * 60 * 1000) -> DataFrame:
-    """ST4: attempts (event_id, key, ms) with ``allowed``; a key's window is anchored at its first attempt."""
+    """ST4: attempts (event_id, key, ms) with ``allowed``; a key's window is anchored at its first attempt.
+
+    Attempts without a key are one key; every attempt has a time. A stretch must fit a task.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ms", "event_id"])
         return pdf.assign(allowed=_throttle(pdf["ms"].to_numpy(), limit, window_ms))[["event_id", "key", "ms", "allowed"]]
 
-    return attempts.select("event_id", "key", "ms").groupBy("key").applyInPandas(fold, "event_id long, key string, ms long, allowed boolean")
+    rows = _stretches(attempts.select("event_id", "key", "ms"), window_ms)
+    return rows.groupBy("key", "stretch").applyInPandas(fold, "event_id long, key string, ms long, allowed boolean")
 
 
 def failed_login_burst(attempts: DataFrame, limit: int = 8, window_ms: int = 60_000) -> DataFrame:
@@ -66,11 +85,12 @@ def failed_login_burst(attempts: DataFrame, limit: int = 8, window_ms: int = 60_
                 recent = [] if success else [*recent, at]
         return pdf.assign(refused=refused)[["event_id", "key", "ms", "refused"]]
 
-    return attempts.select("event_id", "key", "ms", "success").groupBy("key").applyInPandas(fold, "event_id long, key string, ms long, refused boolean")
+    rows = _stretches(attempts.select("event_id", "key", "ms", "success"), window_ms)
+    return rows.groupBy("key", "stretch").applyInPandas(fold, "event_id long, key string, ms long, refused boolean")
 
 
 def idle_sessions(activity: DataFrame) -> DataFrame:
-    """ST6: sessions of activity (key, ms, event_id): (key, session, start, end, n, end_reason).
+    """ST6: sessions of activity (key, ms, event_id): (key, session, started, ended, n).
 
     A gap of 15 minutes or more ends a session; so do seven days after its first activity.
     """

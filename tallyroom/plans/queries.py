@@ -1259,12 +1259,28 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_add("st4_login_throttle")
+_ATTEMPTS = "a AS (SELECT event_id, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 3 AS VARCHAR) AS key, (event_id * 7919) % 3600000 AS ms, event_id % 13 = 0 AS success FROM events)"
+
+
+@_add(
+    "st4_login_throttle",
+    f"""WITH RECURSIVE {_ATTEMPTS}, windows AS (SELECT key, min(ms) AS begun FROM a GROUP BY key UNION ALL SELECT w.key, min(a.ms) FROM windows w JOIN a ON a.key = w.key AND a.ms >= w.begun + 900000 GROUP BY w.key),
+ placed AS (SELECT a.event_id, a.key, a.ms, max(begun) AS begun FROM a JOIN windows w ON w.key = a.key AND w.begun <= a.ms GROUP BY a.event_id, a.key, a.ms)
+ SELECT event_id, key, ms, row_number() OVER (PARTITION BY key, begun ORDER BY ms, event_id) <= 2 AS allowed FROM placed""",
+    long=False,
+)
 def login_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.login_throttle(_attempts(spark, sf_dir), limit=2)
 
 
-@_add("st5_failed_login_burst")
+@_add(
+    "st5_failed_login_burst",
+    f"""WITH RECURSIVE {_ATTEMPTS}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, event_id) AS i FROM a),
+ f AS (SELECT event_id, key, ms, i, false AS refused, CASE WHEN success THEN CAST([] AS BIGINT[]) ELSE [CAST(ms AS BIGINT)] END AS seen FROM n WHERE i = 1
+ UNION ALL SELECT event_id, key, ms, i, len(kept) >= 2, CASE WHEN len(kept) >= 2 THEN kept WHEN success THEN CAST([] AS BIGINT[]) ELSE list_append(kept, CAST(ms AS BIGINT)) END FROM (SELECT n.*, list_filter(f.seen, lambda t: t > n.ms - 600000) AS kept FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1))
+ SELECT event_id, key, ms, refused FROM f""",
+    long=False,
+)
 def failed_login_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.failed_login_burst(_attempts(spark, sf_dir), limit=2, window_ms=600_000)
 

@@ -1,10 +1,12 @@
 """Single rules on hand-written rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
-from tallyroom.operators import intake
+from tallyroom.operators import access, intake
 from tallyroom.streaming import jobs
 
 
@@ -34,3 +36,62 @@ def test_progress_counts_each_place_of_a_batch_once(spark):
     batches = spark.createDataFrame([(1, 2), (2, 2)], "batch_id long, total long")
     rows = jobs.stream_batch_progress(papers, batches).collect()
     assert {(r["batch_id"], r["stored"], r["ready"]) for r in rows} == {(1, 2, True), (2, 1, False)}
+
+
+def _attempts(seed):
+    rng = random.Random(seed)
+    rows, at = [], {k: 0 for k in ("a", "b", None)}
+    for i in range(400):
+        key = rng.choice(["a", "a", "b", None])
+        at[key] += rng.choice([0, 1, 3, 9, 10, 11, 40])
+        rows.append((i, key, at[key], rng.random() < 0.1))
+    return rows
+
+
+def test_login_rules_against_a_plain_walk(spark):
+    rows = _attempts(4)
+    df = spark.createDataFrame(rows, "event_id long, key string, ms long, success boolean").repartition(3)
+    allowed, refused, windows, records = {}, {}, {}, {}
+    for event, key, ms, success in sorted(rows, key=lambda r: (r[2], r[0])):
+        begun, n = windows.get(key, (None, 0))
+        begun, n = (ms, 1) if begun is None or ms >= begun + 10 else (begun, n + 1)
+        windows[key] = begun, n
+        allowed[event] = n <= 2
+        seen = [t for t in records.get(key, []) if t > ms - 10]
+        refused[event] = len(seen) >= 2
+        records[key] = seen if refused[event] else [] if success else [*seen, ms]
+    assert {r["event_id"]: r["allowed"] for r in access.login_throttle(df, 2, 10).collect()} == allowed
+    assert {r["event_id"]: r["refused"] for r in access.failed_login_burst(df, 2, 10).collect()} == refused
+    assert len(set(allowed.values())) == len(set(refused.values())) == 2
+
+
+def test_login_rules_without_attempts(spark):
+    df = spark.createDataFrame([], "event_id long, key string, ms long, success boolean")
+    assert access.login_throttle(df).count() == access.failed_login_burst(df).count() == 0
+
+
+def test_throttle_step_carries_its_window_over_batches():
+    import pandas as pd
+
+    rows = [r for r in _attempts(5) if r[1] == "a"]
+    frame = lambda part: pd.DataFrame({"event_id": [r[0] for r in part], "ms": [r[2] for r in part]})
+    whole, _ = access.throttle_states([frame(rows)], None, 2, 10)
+    pieces, state = [], None
+    for i in range(0, len(rows), 7):
+        out, state = access.throttle_states([frame(rows[i : i + 7])], state, 2, 10)
+        pieces += out
+    assert sorted(pieces) == sorted(whole)
+
+
+def test_a_session_ends_by_a_pause_or_by_age(spark):
+    day = 24 * 3600 * 1000
+    steps = range(0, 8 * day, access.IDLE_MS - 1)
+    rows = [("k", m, i) for i, m in enumerate(steps)] + [("k", 9 * day, 9_000), ("z", 5, 1), ("z", 5, 1)]
+    got = access.idle_sessions(spark.createDataFrame(rows, "key string, ms long, event_id long")).orderBy("key", "session").collect()
+    young = [m for m in steps if m < 7 * day]
+    assert [(r["key"], r["session"], r["started"], r["ended"], r["n"]) for r in got] == [
+        ("k", 1, 0, young[-1], len(young)),
+        ("k", 2, steps[len(young)], steps[-1], len(steps) - len(young)),
+        ("k", 3, 9 * day, 9 * day, 1),
+        ("z", 1, 5, 5, 2),
+    ]
