@@ -13,7 +13,8 @@ from tallyroom.functions import score as S
 from tallyroom.functions import text as T
 from tallyroom.operators import access, audit, changes, desk, forest, intake, readings, records, results
 from tallyroom.schemas import FIELDS
-from tallyroom.sources import readers
+from tallyroom.sources import readers, scratch
+from tallyroom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -692,7 +693,10 @@ good AS (SELECT p, p % 16 = 0 AS approve FROM papers JOIN x USING (p) WHERE NOT
  SELECT p AS paper_id, CASE WHEN good.p IS NULL THEN status WHEN approve THEN 'approved' ELSE 'review' END AS status, CASE WHEN good.p IS NULL THEN version ELSE version + 1 END AS version, answers, overrides, total, fields FROM papers JOIN a USING (p) JOIN fv USING (p) LEFT JOIN good USING (p)""",
 )
 def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, _, _ = changes.apply_reviews(_scored(spark, sf_dir), _edits(spark, sf_dir))
+    return _reviewed(changes.apply_reviews(_scored(spark, sf_dir), _edits(spark, sf_dir))[0])
+
+
+def _reviewed(state: DataFrame) -> DataFrame:
     fields = F.array_join(F.transform(F.array(*(F.lit(k) for k in FIELDS)), lambda k: F.try_element_at("fields", k)), "|").alias("fields")
     return state.select("paper_id", "status", "version", F.array_join("answers", "").alias("answers"), F.array_join(F.col("answer_overrides").cast("array<string>"), ",").alias("overrides"), "score.total", fields)
 
@@ -1294,3 +1298,57 @@ def failed_login_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return access.idle_sessions(_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", ((e * 7919) % 20_000_000).alias("ms")))
+
+
+# --- streams: run over all that has arrived, twice where a replay must change nothing -------------
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of the orders as they arrive; two come for most places of a batch."""
+    schema = _table(spark, sf_dir, "orders").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
+    return rows.selectExpr(f"CAST({X.BATCH} AS BIGINT) AS batch_id", "CAST(o_orderkey % 15 DIV 2 AS INT) AS idx", "o_orderkey AS paper_id", "o_orderstatus AS status")
+
+
+_ARRIVING = f"arriving AS (SELECT CAST({X.BATCH} AS BIGINT) AS batch_id, CAST(o_orderkey % 15 // 2 AS INT) AS idx, o_orderkey AS paper_id, o_orderstatus AS status FROM orders)"
+
+
+@_add("st1_stream_papers", f"WITH {_ARRIVING} SELECT * FROM arriving QUALIFY row_number() OVER (PARTITION BY batch_id, idx ORDER BY paper_id) = 1", long=False)
+def stream_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink = scratch.new_folder(spark, "papers")
+    for _ in range(2):
+        jobs.drained(jobs.stream_papers(_arriving(spark, sf_dir), sink, "paper_id"), scratch.new_folder(spark, "st1"))
+    return spark.read.parquet(sink).drop("part")
+
+
+@_add(
+    "st2_stream_batch_progress",
+    f"WITH {_ARRIVING}, c AS (SELECT batch_id, count(DISTINCT idx) AS stored FROM arriving GROUP BY batch_id) SELECT batch_id, stored, 7 + batch_id % 2 AS total, stored >= 7 + batch_id % 2 AS ready FROM c",
+    long=False,
+)
+def stream_batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch.new_folder(spark, "progress")
+    batches = _table(spark, sf_dir, "orders").selectExpr(f"CAST({X.BATCH} AS BIGINT) AS batch_id").distinct().selectExpr("batch_id", "7 + batch_id % 2 AS total")
+    progress = jobs.stream_batch_progress(_arriving(spark, sf_dir), batches)
+    writer = progress.writeStream.outputMode("complete").foreachBatch(lambda rows, _epoch: rows.write.mode("overwrite").parquet(out))
+    jobs.drained(writer, scratch.new_folder(spark, "st2"))
+    return spark.read.parquet(out)
+
+
+@_add("st3_stream_reviews")
+def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions, edits = [scratch.new_folder(spark, "reviewed")], scratch.new_folder(spark, "edits")
+    _scored(spark, sf_dir).write.parquet(versions[0])
+    _edits(spark, sf_dir).write.parquet(edits)
+
+    def save(state: DataFrame, _audit: DataFrame, _refused: DataFrame) -> None:
+        versions.append(scratch.new_folder(spark, "reviewed"))
+        state.write.parquet(versions[-1])
+
+    for _ in range(2):
+        arriving = spark.readStream.schema(spark.read.parquet(edits).schema).parquet(edits)
+        jobs.drained(jobs.stream_reviews(arriving, lambda: spark.read.parquet(versions[-1]), save), scratch.new_folder(spark, "st3"))
+    return _reviewed(spark.read.parquet(versions[-1]))
+
+
+ORACLE_SQL["st3_stream_reviews"] = ORACLE_SQL["chg1_apply_reviews"]
