@@ -986,7 +986,20 @@ def grouped_oof_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.grouped_oof_check(rows.select(F.col("paper_id").alias("student"), "q", "read.answer", "read.reason", "expected", "scores"))
 
 
-@_add("ev9_ev10_forest_scores")
+def _walk_sql() -> str:
+    """The example forest over relative features, a step of every tree at a time."""
+    r = lambda o: f"CAST((p * 7 + q * 13 + ({o} * {forest.RAW} + f % {forest.RAW}) * ({o} * {forest.RAW} + f % {forest.RAW})) % 23 AS DOUBLE) / 4"
+    steps = ["n0 AS MATERIALIZED (SELECT p, q, o, t, CAST(0 AS BIGINT) AS node FROM answers CROSS JOIN (SELECT range AS o FROM range(4)) CROSS JOIN (SELECT range AS t FROM range(20)) WHERE answer = '?')"]
+    for i in range(1, 5):
+        steps.append(
+            f"n{i} AS MATERIALIZED (SELECT p, q, o, t, CASE WHEN CAST(CASE f // {forest.RAW} WHEN 0 THEN own WHEN 1 THEN own / (four[4] + 1) ELSE own - four[3] END AS FLOAT) <= ((5 * t + 3 * node) % 17) / 2.0 - 1.0 THEN 2 * node + 1 ELSE 2 * node + 2 END AS node "
+            f"FROM (SELECT *, {r('o')} AS own, list_sort([{', '.join(r(x) for x in range(4))}]) AS four FROM (SELECT *, (7 * t + 11 * node) % {3 * forest.RAW} AS f FROM n{i - 1})))"
+        )
+    scores = ", ".join(f"round(sum(CASE WHEN o = {i} THEN ((3 * t + 5 * node) % 16) / 16.0 ELSE 0 END) / 20, 9) AS score_{x}" for i, x in enumerate("abcd"))
+    return f"WITH {', '.join(steps)} SELECT p AS paper_id, CAST(q AS INT) AS q, {scores} FROM n4 GROUP BY p, q"
+
+
+@_add("ev9_ev10_forest_scores", _walk_sql())
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.papers(spark, sf_dir).select("paper_id", F.posexplode("answers").alias("q", "answer")).filter("answer = '?'").withColumn("p", F.col("paper_id"))
     raw = F.expr(f"transform(sequence(0L, {4 * forest.RAW - 1}L), i -> CAST((p * 7 + q * 13 + i * i) % 23 AS DOUBLE) / 4)")

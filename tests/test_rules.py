@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
-from tallyroom.operators import access, intake
+from tallyroom.operators import access, forest, intake
 from tallyroom.streaming import jobs
 
 
@@ -95,3 +96,29 @@ def test_a_session_ends_by_a_pause_or_by_age(spark):
         ("k", 3, 9 * day, 9 * day, 1),
         ("z", 1, 5, 5, 2),
     ]
+
+
+def test_forest_against_a_plain_walk():
+    trees = forest.example_forest(6, 3)
+    features = np.random.default_rng(3).integers(-4, 16, (50, 3 * forest.RAW)) / 2.0
+
+    def leaf(row, tree):
+        at = 0
+        while tree["left"][at] != -1:
+            at = tree["left" if row[tree["feature"][at]] <= tree["threshold"][at] else "right"][at]
+        return tree["positive"][at]
+
+    want = [sum(leaf(row, t) for t in trees) / len(trees) for row in features.astype(np.float32)]
+    assert np.allclose(forest.forest_scores(features, trees), want)
+    assert len(forest.forest_scores(features[:0], trees)) == 0
+    with pytest.raises(ValueError, match="finite"):
+        forest.forest_scores(np.full((1, 3 * forest.RAW), np.nan), trees)
+
+
+def test_relative_features_of_one_row():
+    raw = np.zeros((1, 4, forest.RAW))
+    raw[0, :, 0] = [4, 1, 3, 3]
+    out = forest.relative_features(raw)
+    assert out.shape == (1, 4, 3 * forest.RAW)
+    assert out[0, :, forest.RAW].tolist() == [0.8, 0.2, 0.6, 0.6]
+    assert out[0, :, 2 * forest.RAW].tolist() == [1, -2, 0, 0]
