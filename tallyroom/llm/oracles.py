@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyroom.llm import linededup, ngram_lm, urlfilter
+from tallyroom.llm import divergence, lexical, linededup, ngram_lm, sharding, urlfilter
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -14,6 +14,17 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {bytes_}), lambda crc, b: {step}), CAST(4294967295 AS UBIGINT))"
 
 
+def crc32_bytes(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: one step for each byte, by the table of the 256 bytes' own steps."""
+    steps = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (b & 1) * 3988292384
+        steps.append(b)
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {bytes_}), lambda crc, b: xor(crc >> 8, CAST({steps} AS UBIGINT[])[CAST(1 + (xor(crc, b) & 255) AS BIGINT)])), CAST(4294967295 AS UBIGINT))"
+
+
 def _ascii_lower(text: str) -> str:
     return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,9 +94,53 @@ probs AS (SELECT *, (cghw + {k} * ((chw + {k} * base) / (ch + {k}))) / (cgh + {k
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10(base)), 6) AS base_score, round(sum(log10(p)), 6) AS score FROM probs GROUP BY doc_id, held_out"""
 
 
+def _source_divergence() -> str:
+    share = f"1 + (CAST({divergence.SCALE} AS HUGEINT) * ({{n}} + {divergence.ADDED})) // ({{total}} + {divergence.ADDED} * v)"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_ascii_lower("coalesce(text, '')")} AS text FROM documents),
+tokens AS MATERIALIZED (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= {divergence.MIN_DOCUMENTS}),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+cells AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total, coalesce(any_value(v), 0) AS v FROM groups g LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source LEFT JOIN sizes s ON s.lang = g.lang GROUP BY g.lang, g.source),
+p AS MATERIALIZED (SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, {share.format(n="coalesce(n, 0)", total="total")} AS p FROM totals t JOIN kept k ON k.lang = t.lang LEFT JOIN cells c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+q AS (SELECT lang, term, {share.format(n="n", total="total")} AS q FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term) JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM totals GROUP BY lang) USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p.p > q.q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+def _sharding() -> str:
+    seed, k = sharding.SEED, sharding.SHARDS
+    return f"""WITH docs AS (SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, {crc32_bytes("coalesce(text, '')")} AS text_crc32 FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('{seed}:' || doc_id), source, size, text_crc32) AS r, count(*) OVER (PARTITION BY source) AS n FROM docs),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / CAST(2 * n AS DOUBLE), md5('{seed}:' || coalesce(source, '')), source NULLS FIRST, r) - 1 AS place, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, CAST(place * {k} // total AS INT) AS shard FROM placed)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard, CAST(place - (shard * total + {k - 1}) // {k} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM cut"""
+
+
+def _lexical_search() -> str:
+    words = "regexp_extract_all({}, '" + lexical._TERM + "')"
+    return f"""WITH tokens AS MATERIALIZED (SELECT doc_id, unnest({words.format(_ascii_lower("coalesce(text, '')"))}) AS term FROM documents),
+lengths AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+asked AS MATERIALIZED (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest({words.format(_ascii_lower("coalesce(text, '')"))}) AS term FROM benchmark) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+gains AS MATERIALIZED (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))) AS gain FROM tf JOIN w USING (term) JOIN lengths USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(k * gain) AS BIGINT) AS score FROM asked JOIN gains USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= {lexical.TOP}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _url_filter(),
     "op2_line_dedup": _line_dedup(),
     "op4_tool_call_linking": _tool_calls(),
     "op10_backoff_lm": _backoff_lm(),
+    "op11_source_divergence": _source_divergence(),
+    "op12_sharding": _sharding(),
+    "op13_lexical_search": _lexical_search(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import decontaminate, langid, licenses, linededup, mixing, neardup, ngram_lm, quality, toolcalls, urlfilter
+from tallyroom.llm import decontaminate, divergence, langid, lexical, licenses, linededup, mixing, neardup, ngram_lm, quality, sharding, toolcalls, urlfilter
 from tallyroom.llm.common import table
 from tallyroom.llm.oracles import ORACLE_SQL
 
@@ -115,6 +115,22 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    digests = table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("size"), crc.alias("text_crc32"))
+    out = sharding.interleaved(digests)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -126,4 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_backoff_lm": op10_backoff_lm,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
