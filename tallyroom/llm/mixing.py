@@ -2,14 +2,21 @@
 
 A classifier trained on the labelled table gives each document posterior probabilities of the domains.
 Nonnegative document rates are fitted so that expected domain token totals, the sum over documents of
-rate * tokens * posterior, match the targets: distributed projected gradient on the squared misfit. Only
-the misfit of each domain, a few numbers, passes between steps; every step is one aggregation over a
-compact table of token counts and posteriors.
+rate * tokens * posterior, match the targets: distributed projected gradient on the squared misfit.
+
+A document's gradient is its posterior times the misfit of the domains (in the metric of its tokens). From one
+rate for all, rates take a projected gradient step whose gradient is that of its own end (an implicit step):
+rate = max(0, budget - length * posterior @ misfit), where misfit is what those rates leave. The misfit of a
+length is found by Newton's method on its few numbers, one aggregation over a compact table of token counts and
+posteriors for each iteration. Lengths grow until a bound says that no rates do much better; then the step has
+come to the least-squares rates that are nearest to the one rate. Targets that the posteriors can't reach leave a
+misfit, which is returned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +27,17 @@ from pyspark.sql import types as T
 from tallyroom.llm import common, langid
 
 PER_DOMAIN = 1500
+#: Domains differ by less than languages do, so the classifier keeps more of its weights.
+L1 = 1e-4
 BUDGET = 0.5
-STEPS = 30
+#: The fit ends when no rates can lessen the squared misfit by more than this share of it ...
+GAP = 0.01
+#: ... or when the misfit is this share of the budget at most.
 TOLERANCE = 1e-4
+#: Each step is so many times as long as the one before.
+GROWTH = 8.0
+#: Shares of a Newton step that are tried in one pass.
+SHARES = (1.0, 0.5, 0.25, 0.125, 0.06, 0.03, 0.015, 0.004)
 _TABLE = common.byte_table()
 
 
@@ -52,30 +67,23 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, domain: F.Column, p
 
 
 def domain_posteriors(documents: DataFrame, model: langid.Model) -> DataFrame:
-    """``documents`` with n_tokens (whole words) and posteriors (one per domain)."""
-    kept = [c for c in documents.columns if c not in ("n_tokens", "posteriors", "_lower")]
-    fields = documents.select(*kept).schema.fields
-    given = documents.select(*kept, F.coalesce(F.lower("text"), F.lit("")).alias("_lower"))
+    """row (all columns of ``documents``), n_tokens (whole words) and posteriors (one per domain)."""
+    given = documents.select(F.struct(*documents.columns).alias("row"), F.coalesce(F.lower("text"), F.lit("")).alias("lower"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lowered = batch.column("_lower")
+            lowered = batch.column("lower")
             n = np.diff(common.word_hashes(lowered, _TABLE)[1])
             p = [x.tolist() for x in langid.posteriors(model, lowered)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(n), pa.array(p, pa.list_(pa.float64()))], [*kept, "n_tokens", "posteriors"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), pa.array(p, pa.list_(pa.float64()))], ["row", "n_tokens", "posteriors"])
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))]
-    return given.mapInArrow(predict, T.StructType([*fields, *added]))
+    return given.mapInArrow(predict, T.StructType([given.schema["row"], *added]))
 
 
-def rates_of(posterior: np.ndarray, base: float, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given moves: each goes against the gradient and is projected to 0 and over."""
-    r = np.full(len(posterior), base)
-    for u in moves:
-        r = np.maximum(0.0, r - posterior @ u)
-    return r
+def stepped(posterior: np.ndarray, budget: float, length: float, misfit: np.ndarray) -> np.ndarray:
+    """Rates after a projected gradient step from ``budget``; a column for each column of ``misfit``."""
+    return np.maximum(0.0, budget - length * (posterior @ misfit))
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -83,79 +91,126 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return n, batch.column("posteriors").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
 
 
-def _totals(table: DataFrame, base: float, moves: list[np.ndarray], k: int) -> np.ndarray:
-    """Expected tokens of each domain at the present rates, then the Gram matrix of the posteriors of
-    documents whose rate is over 0."""
+def _summed(table: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all documents of ``of`` (tokens, posteriors); the last number is a minimum."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(k + k * k)
+        acc = np.append(np.zeros(size - 1), np.inf)
         for batch in batches:
             n, p = _matrix(batch)
             if len(n):
-                rate = rates_of(p, base, moves)
-                acc[:k] += (rate * n) @ p
-                acc[k:] += (p.T @ (p * (n * (rate > 0))[:, None])).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc))), pa.array(acc)], ["i", "x"])
+                got = of(n, p)
+                acc = np.append(acc[:-1] + got[:-1], min(acc[-1], got[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(acc)], ["i", "x"])
 
     rows = table.select("n_tokens", "posteriors").mapInArrow(partial, "i long, x double")
-    out = np.zeros(k + k * k)
-    for r in rows.groupBy("i").agg(F.sum("x").alias("x")).collect():
-        out[r["i"]] = r["x"]
+    found = rows.groupBy("i").agg(F.sum("x").alias("total"), F.min("x").alias("least")).collect()
+    out = np.zeros(size)
+    for r in found:
+        out[r["i"]] = r["total"] if r["i"] < size - 1 else r["least"]
     return out
 
 
-def fitted_moves(table: DataFrame, names: list[str], targets: dict[str, float], budget: float, steps: int = STEPS) -> tuple[float, list[np.ndarray]]:
-    """The base rate and the moves that fit expected domain totals to ``targets`` * budget * all tokens.
+class Trial(NamedTuple):
+    """Sums at one guess of the misfit: the dual value, the tokens reached, the Gram matrix of documents of a rate."""
 
-    The gradient of the squared misfit is scaled by the inverse of the damped Gram matrix of the
-    documents that still have a rate. A step that does not lessen the misfit is dropped and the damping
-    raised tenfold, towards a short plain gradient step; one that does lowers it.
+    misfit: np.ndarray
+    value: float
+    reached: np.ndarray
+    gram: np.ndarray
+
+
+def _trials(table: DataFrame, guesses: np.ndarray, budget: float, length: float, goal: np.ndarray, total: float) -> tuple[list[Trial], float]:
+    """A trial for each column of ``guesses`` (domains x guesses), and the least gradient at the first one."""
+    k, t = guesses.shape
+
+    def of(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        rate = stepped(p, budget, length, guesses)
+        weight = n[:, None] * rate
+        gram = (n[:, None] * (rate > 0)).T @ (p[:, :, None] * p[:, None, :]).reshape(len(n), k * k)
+        least = (p[n > 0] @ guesses[:, 0]).min(initial=np.inf)
+        return np.concatenate([(weight * rate).sum(axis=0), (weight.T @ p).ravel(), gram.ravel(), [least]])
+
+    sums = _summed(table, t * (1 + k + k * k) + 1, of)
+    square, reached, gram = sums[:t] / total, sums[t : t + t * k].reshape(t, k) / total, sums[t + t * k : -1].reshape(t, k, k) / total
+    value = (guesses**2).sum(axis=0) / 2 + goal @ guesses + square / (2 * length)
+    return [Trial(guesses[:, i], value[i], reached[i], gram[i]) for i in range(t)], sums[-1]
+
+
+def fitted(table: DataFrame, names: list[str], targets: dict[str, float], budget: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(length, misfit, goal, reached): the step whose rates fit the expected domain totals of ``table`` (n_tokens,
+    posteriors) to ``targets`` * ``budget``, and both totals as shares of all tokens.
+
+    The bound that ends it: the squared misfit is convex, so other rates lessen it by at most the gradient times
+    the difference. Better rates have at most ``most`` tokens, none of a gradient under the least one.
     """
     k = len(names)
-    total = float(table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
-    if not k or not total:
-        return budget, []
     share = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
     goal = share / share.sum() * budget if share.sum() else np.zeros(k)
-    moves: list[np.ndarray] = []
-    now = _totals(table, budget, moves, k) / total
-    miss, damping = now[:k] - goal, 1e-3
-    for _ in range(steps):
-        if np.abs(miss).sum() <= TOLERANCE * budget:
-            break
-        gram = now[k:].reshape(k, k)
-        trial = [*moves, np.linalg.solve(gram + damping * np.trace(gram) / k * np.eye(k), miss)]
-        then = _totals(table, budget, trial, k) / total
-        if np.linalg.norm(then[:k] - goal) < np.linalg.norm(miss):
-            moves, now, miss, damping = trial, then, then[:k] - goal, max(damping / 5, 1e-9)
-        else:
-            damping *= 10
-    return budget, moves
-
-
-def mixed(documents: DataFrame, labels: DataFrame, domain: F.Column, targets: dict[str, float], budget: float = BUDGET) -> DataFrame:
-    """``documents`` with n_tokens, posteriors, domain (the likeliest) and rate (0 or more).
-
-    ``labels`` has doc_id and what ``domain`` needs; rows with a null doc_id or domain are ignored and
-    of several labels of one document the least counts. ``targets`` are relative token weights by domain
-    name, 0 for names left out; ``budget`` is the wanted share of all tokens. A null text has no tokens;
-    it gets a rate like any other. Without labels all rates are ``budget`` and the domain is null.
-    Repeated rows are separate documents. Columns of the added names are replaced, others pass through.
+    total = float(table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
+    if not k or not total:
+        return 1.0, np.zeros(k), goal, np.zeros(k)
+    length, guess = 1.0, np.zeros((k, 1))
+    while True:
+        now = min(_trials(table, guess, budget, length, goal, total)[0], key=lambda x: x.value)
+        while True:
+            slope = now.misfit + goal - now.reached
+            if np.linalg.norm(slope) <= 1e-3 * np.linalg.norm(now.reached - goal) + 1e-12:
+                break
+            step = -np.linalg.solve(np.eye(k) + length * now.gram, slope)
+            safe = -slope / (1.0 + length)  # lowers the dual value wherever the slope isn't 0
+            guesses = np.stack([*(step * x for x in SHARES), safe, 8 * safe], axis=1)
+            tried, _ = _trials(table, now.misfit[:, None] + guesses, budget, length, goal, total)
+            best = min(tried, key=lambda x: x.value)
+            if best.value >= now.value:
+                break  # nothing is gained in double precision any more
+            now = best
+        miss = now.reached - goal
+        least = _trials(table, miss[:, None], budget, length, goal, total)[1]
+        most = goal.sum() + np.sqrt(k) * np.linalg.norm(miss)
+        gain = miss @ now.reached + most * max(0.0, -least)
+        if np.abs(miss).sum() <= TOLERANCE * budget or gain <= GAP * (miss @ miss) / 2:
+            return length, now.misfit, goal, now.reached
+        if length > 1e15:
+            raise ArithmeticError(f"no rates fit: misfit {np.linalg.norm(miss)} after a step of length {length}")
+        # with the misfit kept, or with the rates kept
+        length, guess = length * GROWTH, np.stack([now.misfit, now.misfit / GROWTH], axis=1)
+
+
+def mixture(documents: DataFrame, labels: DataFrame, domain: F.Column, targets: dict[str, float], budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(``documents`` with n_tokens, posteriors, domain (the likeliest) and rate (0 or more); the fit).
+
+    The fit has a row for each domain: domain, target and reached share of all tokens, and misfit, their
+    difference. ``labels`` has doc_id and what ``domain`` needs; rows with a null doc_id or domain are ignored
+    and of several labels of one document the least counts. ``targets`` are relative token weights by domain
+    name, 0 for names left out; ``budget`` is the wanted share of all tokens. A null text has no tokens; it gets
+    a rate like any other. A very long text is one row of a task. Of equally likely domains the first by name is
+    the likeliest. Without labels all rates are ``budget`` and the domain is null; an empty table gives no rows.
+    Repeated rows are separate documents. Columns of the added names are replaced, others pass through whatever
+    their names.
     """
-    kept = [c for c in documents.columns if c not in ("n_tokens", "posteriors", "domain", "rate", "_lower")]
-    sample, names = labelled_sample(documents, labels, domain)
+    kept = [c for c in documents.columns if c not in ("n_tokens", "posteriors", "domain", "rate")]
+    sample, names = labelled_sample(documents.select("doc_id", "text"), labels, domain)
     idf = langid.inverse_frequencies(documents.select(F.coalesce(F.lower("text"), F.lit("")).alias("_lower")))
-    model = langid.fit(sample, names, idf)
+    model = langid.fit(sample, names, idf, L1)
+    common.discard(sample)
     table = common.stored(domain_posteriors(documents.select(*kept), model), "mx-posteriors")
-    base, moves = fitted_moves(table, names, targets, budget)
+    length, misfit, goal, reached = fitted(table, names, targets, budget)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = _matrix(batch) if names else (None, np.zeros((batch.num_rows, 0)))
+            _, p = _matrix(batch) if names and batch.num_rows else (None, np.zeros((batch.num_rows, 0)))
             best = [names[i] for i in p.argmax(axis=1)] if names and batch.num_rows else [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(best, pa.string()), pa.array(rates_of(p, base, moves))], [*batch.schema.names, "domain", "rate"]
-            )
+            rates = stepped(p, budget, length, misfit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(rates)], [*batch.schema.names, "domain", "rate"])
 
     added = [T.StructField("domain", T.StringType()), T.StructField("rate", T.DoubleType())]
-    return table.mapInArrow(rate, T.StructType([*table.schema.fields, *added]))
+    rated = table.mapInArrow(rate, T.StructType([*table.schema.fields, *added]))
+    fit = [(x, float(a), float(b), float(b - a)) for x, a, b in zip(names, goal, reached, strict=True)]
+    report = documents.sparkSession.createDataFrame(fit, "domain string, target double, reached double, misfit double")
+    return rated.select(*(F.col("row").getField(c).alias(c) for c in kept), "n_tokens", "posteriors", "domain", "rate"), report
+
+
+def mixed(documents: DataFrame, labels: DataFrame, domain: F.Column, targets: dict[str, float], budget: float = BUDGET) -> DataFrame:
+    """The documents of ``mixture``."""
+    return mixture(documents, labels, domain, targets, budget)[0]

@@ -103,7 +103,10 @@ def label_domain() -> F.Column:
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), label_domain(), TARGETS).drop("text")
+    out, fit = mixing.mixture(docs, table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+    # a row for each of at most langid.MAX_LABELS domains
+    fit = fit.select("domain", F.col("target").alias("domain_target"), F.col("reached").alias("domain_reached"))
+    return out.drop("text").join(F.broadcast(fit), "domain", "left")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

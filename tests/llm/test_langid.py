@@ -62,3 +62,55 @@ def test_temperature_finds_the_scale():
 def test_l1_leaves_unused_weights_at_zero():
     w = langid.ftrl([(np.array([1, 2]), np.array([0.6, 0.8])), (np.array([3]), np.array([1.0]))], np.array([0, 1]), 2)
     assert np.count_nonzero(w[:, [0, 5, 100]]) == 0 and w[0, 1] > w[1, 1] and w[1, 3] > w[0, 3]
+
+
+def test_ftrl_equals_a_plain_one_and_l1_makes_it_sparse():
+    import math
+    import random
+
+    rng = random.Random(2)
+    examples, labels = [], []
+    for _ in range(60):
+        k = rng.randrange(3)
+        at = sorted({k * 5 + rng.randrange(5) for _ in range(4)} | {rng.randrange(100, 140) for _ in range(3)})
+        x = [rng.random() for _ in at]
+        norm = math.sqrt(sum(v * v for v in x))
+        examples.append((np.array(at), np.array(x) / norm))
+        labels.append(k)
+    shares = []
+    for l1 in (0.0, 0.3):
+        z, n = {}, {}  # by (class, feature), one weight at a time
+
+        def weight(key):
+            zi, ni = z.get(key, 0.0), n.get(key, 0.0)
+            return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((langid.BETA + math.sqrt(ni)) / langid.ALPHA + langid.L2)
+
+        order = np.random.default_rng(7)
+        for _ in range(langid.EPOCHS):
+            for e in order.permutation(len(examples)):
+                at, x = examples[e]
+                logits = [sum(weight((k, i)) * v for i, v in zip(at.tolist(), x.tolist())) for k in range(3)]
+                total = sum(math.exp(v - max(logits)) for v in logits)
+                before = {(k, i): weight((k, i)) for k in range(3) for i in at.tolist()}
+                for k in range(3):
+                    p = math.exp(logits[k] - max(logits)) / total - (labels[e] == k)
+                    for i, v in zip(at.tolist(), x.tolist()):
+                        g, old = p * v, n.get((k, i), 0.0)
+                        z[k, i] = z.get((k, i), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * before[k, i]
+                        n[k, i] = old + g * g
+        got = langid.ftrl(examples, np.array(labels), 3, l1)
+        want = np.zeros((3, langid.DIM))
+        for k, i in z:
+            want[k, i] = weight((k, i))
+        assert np.allclose(got, want, atol=1e-9)
+        shares.append(np.count_nonzero(got) / len(z))
+        assert np.mean([(got[:, at] @ x).argmax() == k for (at, x), k in zip(examples, labels)]) > 0.95
+    assert shares[0] > 0.99 and shares[1] < 0.85
+
+
+def test_clashing_names_pass(spark):
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en", 1, 2, 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lower int, letter int, row int")
+    out = langid.identify(df, F.lit(True))
+    assert out.columns == [*df.columns, "lang_pred", "score"]
+    assert {(r["_lower"], r["letter"], r["row"]) for r in out.collect()} == {(1, 2, 3)}
