@@ -91,22 +91,33 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return n, batch.column("posteriors").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
 
 
-def _summed(table: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def _packed(table: DataFrame) -> DataFrame:
+    """Tokens and posteriors of a batch of documents in one row, so that a pass over them is a pass over few rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, p = _matrix(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (n, p)], ["n", "p"])
+
+    return table.select("n_tokens", "posteriors").mapInArrow(pack, "n binary, p binary")
+
+
+def _summed(packed: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Sums over all documents of ``of`` (tokens, posteriors); the last number is a minimum."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.append(np.zeros(size - 1), np.inf)
         for batch in batches:
-            n, p = _matrix(batch)
-            if len(n):
-                got = of(n, p)
+            for n, p in zip(batch.column("n"), batch.column("p"), strict=True):
+                n = np.frombuffer(n.as_buffer())
+                got = of(n, np.frombuffer(p.as_buffer()).reshape(len(n), -1))
                 acc = np.append(acc[:-1] + got[:-1], min(acc[-1], got[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(acc)], ["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([acc.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    rows = table.select("n_tokens", "posteriors").mapInArrow(partial, "i long, x double")
-    found = rows.groupBy("i").agg(F.sum("x").alias("total"), F.min("x").alias("least")).collect()
-    out = np.zeros(size)
-    for r in found:
+    out = np.append(np.zeros(size - 1), np.inf)
+    # a row for each task
+    for r in packed.mapInArrow(partial, "sums array<double>").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("total"), F.min("x").alias("least")).collect():
         out[r["i"]] = r["total"] if r["i"] < size - 1 else r["least"]
     return out
 
@@ -120,7 +131,7 @@ class Trial(NamedTuple):
     gram: np.ndarray
 
 
-def _trials(table: DataFrame, guesses: np.ndarray, budget: float, length: float, goal: np.ndarray, total: float) -> tuple[list[Trial], float]:
+def _trials(packed: DataFrame, guesses: np.ndarray, budget: float, length: float, goal: np.ndarray, total: float) -> tuple[list[Trial], float]:
     """A trial for each column of ``guesses`` (domains x guesses), and the least gradient at the first one."""
     k, t = guesses.shape
 
@@ -131,7 +142,7 @@ def _trials(table: DataFrame, guesses: np.ndarray, budget: float, length: float,
         least = (p[n > 0] @ guesses[:, 0]).min(initial=np.inf)
         return np.concatenate([(weight * rate).sum(axis=0), (weight.T @ p).ravel(), gram.ravel(), [least]])
 
-    sums = _summed(table, t * (1 + k + k * k) + 1, of)
+    sums = _summed(packed, t * (1 + k + k * k) + 1, of)
     square, reached, gram = sums[:t] / total, sums[t : t + t * k].reshape(t, k) / total, sums[t + t * k : -1].reshape(t, k, k) / total
     value = (guesses**2).sum(axis=0) / 2 + goal @ guesses + square / (2 * length)
     return [Trial(guesses[:, i], value[i], reached[i], gram[i]) for i in range(t)], sums[-1]
@@ -150,9 +161,10 @@ def fitted(table: DataFrame, names: list[str], targets: dict[str, float], budget
     total = float(table.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
     if not k or not total:
         return 1.0, np.zeros(k), goal, np.zeros(k)
+    packed = common.stored(_packed(table), "mx-packed")
     length, guess = 1.0, np.zeros((k, 1))
     while True:
-        now = min(_trials(table, guess, budget, length, goal, total)[0], key=lambda x: x.value)
+        now = min(_trials(packed, guess, budget, length, goal, total)[0], key=lambda x: x.value)
         while True:
             slope = now.misfit + goal - now.reached
             if np.linalg.norm(slope) <= 1e-3 * np.linalg.norm(now.reached - goal) + 1e-12:
@@ -160,16 +172,17 @@ def fitted(table: DataFrame, names: list[str], targets: dict[str, float], budget
             step = -np.linalg.solve(np.eye(k) + length * now.gram, slope)
             safe = -slope / (1.0 + length)  # lowers the dual value wherever the slope isn't 0
             guesses = np.stack([*(step * x for x in SHARES), safe, 8 * safe], axis=1)
-            tried, _ = _trials(table, now.misfit[:, None] + guesses, budget, length, goal, total)
+            tried, _ = _trials(packed, now.misfit[:, None] + guesses, budget, length, goal, total)
             best = min(tried, key=lambda x: x.value)
             if best.value >= now.value:
                 break  # nothing is gained in double precision any more
             now = best
         miss = now.reached - goal
-        least = _trials(table, miss[:, None], budget, length, goal, total)[1]
+        least = _trials(packed, miss[:, None], budget, length, goal, total)[1]
         most = goal.sum() + np.sqrt(k) * np.linalg.norm(miss)
         gain = miss @ now.reached + most * max(0.0, -least)
         if np.abs(miss).sum() <= TOLERANCE * budget or gain <= GAP * (miss @ miss) / 2:
+            common.discard(packed)
             return length, now.misfit, goal, now.reached
         if length > 1e15:
             raise ArithmeticError(f"no rates fit: misfit {np.linalg.norm(miss)} after a step of length {length}")

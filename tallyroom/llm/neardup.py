@@ -7,9 +7,11 @@ documents of one key form a bucket.
 
 Candidates are stars: a bucket's members are paired with its centre only, so a bucket adds no more pairs
 than it has members. Pairs are confirmed on full sets and linked documents become one component. A bucket
-that still holds several components is finished exactly: its members' parity sketches meet block by block
-in numpy, and of the pairs between components only those leave a task whose sizes and sketches allow a
-link (both are bounds, not estimates); they are confirmed like the others. So every link of a bucket counts.
+that still holds several components is finished exactly: the members outside its largest component meet each
+other and that component, block by block in numpy, by their parity sketches, and of the pairs between components
+only those leave a task whose sizes and sketches allow a link (both are bounds, not estimates); they are confirmed
+like the others. So every link of a bucket counts, and members of the largest component never meet each other: a
+few strays in a bucket of a million cost a few million comparisons.
 
 With 32 bands of 4 bins two sets that are 3/4 alike miss each other with a chance of 6 in a million.
 """
@@ -233,19 +235,30 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held))
 
 
-def _remaining(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v) pairs of different components that share a bucket and may link by their sizes and sketches.
+def _blocks(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of every meeting (key, i, j) of two blocks of a bucket.
 
-    ``members``: doc_id, key, component; ``sets``: doc_id, size, sketch. A bucket's members are dealt to
-    blocks of about ``block``, every two of which meet, so a bucket of any size is spread over tasks.
+    ``members``: doc_id, key, component; ``sets``: doc_id, size, sketch. A bucket's largest component and its other
+    members are dealt to blocks of about ``block`` (of the component they have numbers under 0). Blocks of others
+    meet each other and those of the component, so a bucket of any size is spread over tasks.
     """
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("large"), F.max_by("component", F.struct("n", "component")).alias("largest"))
     # of two members one is the other's centre
-    buckets = buckets.filter("a <> b AND n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    buckets = buckets.filter("large < n AND n > 2")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    buckets = buckets.select("key", "largest", blocks(F.col("n") - F.col("large")).alias("blocks"), blocks(F.col("large")).alias("chunks"))
     rows = members.select("doc_id", "key", "component").join(buckets, "key").join(sets.select("doc_id", "size", "sketch"), "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(-1)), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "size", "component", "sketch")
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(-1)), n).cast("int")
+    inside = F.col("component") == F.col("largest")
+    rows = rows.withColumn("block", F.when(inside, -1 - dealt(F.col("chunks"))).otherwise(dealt(F.col("blocks"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("chunks")), F.col("blocks") - 1)))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "size", "component", "sketch")
+
+
+def _remaining(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v) pairs of different components that share a bucket and may link by their sizes and sketches."""
+    rows = _blocks(members, sets, block)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_meetings, "u long, v long")
 
@@ -316,5 +329,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     again = common.stored(again, "nd-again")
     if again.isEmpty():
         return documents.join(gone.hint("merge"), "doc_id", "left_anti").select(*documents.columns)
-    once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the row of the least text, which stood for the id in confirmations
+    once = documents.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.struct(F.col("text").isNull(), "text")).alias("row"))
+    once = once.select("row.*")
     return documents.join(gone.unionAll(again).hint("merge"), "doc_id", "left_anti").unionByName(once).select(*documents.columns)

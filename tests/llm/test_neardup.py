@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyroom.llm import neardup
 
@@ -113,3 +114,35 @@ def test_bounds_drop_no_link():
         if 100 * both >= 75 * (len(sets[u]) + len(sets[v]) - both):
             alike.add((u, v))
     assert alike and alike <= set(found) and len(found) == len(set(found))
+
+
+def test_members_of_a_large_component_do_not_meet(spark):
+    """Rows that meet and pairs that are looked at: strays meet the component, its members not each other."""
+    members = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("key"), F.when(F.col("id") < 1995, 0).otherwise(F.col("id")).alias("component"))
+    sketch = F.lit(bytes(8 * (1 << (neardup.SKETCH_BITS - 6)) + 8 * neardup.BINS // neardup.ROWS))
+    sets = members.select("doc_id", F.lit(40).cast("long").alias("size"), sketch.alias("sketch"))
+    n = neardup._blocks(members, sets, block=100).groupBy("key", "i", "j")
+    n = n.agg(F.count(F.when(F.col("block") == F.col("i"), 1)).alias("a"), F.count(F.when(F.col("block") != F.col("i"), 1)).alias("b")).collect()
+    assert sum(r["a"] + r["b"] for r in n) == 1995 + 5 * 21  # each member once, each stray with 20 chunks and its own block
+    assert sum(r["a"] * (r["b"] or r["a"]) for r in n) == 1995 * 5 + 25
+
+
+def test_all_links_of_a_bucket_with_a_large_component_are_found(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:59] + [f"t{i % 40}"])) for i in range(400)]  # one component of near copies
+    rows += [(1000 + i, " ".join(base[: 52 - i] + [f"u{i}x{k}" for k in range(8)])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if v == b else v for k, v in group.items()}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == group
+
+
+def test_the_row_of_the_least_text_stays_of_a_repeated_id(spark):
+    rows = [(1, "b b b", "x"), (1, "a a a", "y"), (1, None, "z"), (2, "c c c", "x")]
+    out = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    assert {(r["doc_id"], r["row"]) for r in out} == {(1, "y"), (2, "x")} and len(out) == 2
