@@ -151,6 +151,12 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("batch_no").alias("batch_id"), "exam_id", "total", "done", F.expr(BATCH_STATUS).alias("status"), "import_id", "start_page")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of imports: (import_id, batch_id, start_page), one for each batch that came with an import."""
+    rows = base(spark, sf_dir).filter("start_page IS NOT NULL")
+    return rows.groupBy(F.col("batch_no").alias("batch_id")).agg(F.min("import_no").alias("import_id"), F.min("start_page").alias("start_page"))
+
+
 #: Names of the five exams.
 EXAM_NAMES = ("Scholarship", "Olympiad", "Aptitude", "Entrance", "Merit")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -103,14 +101,3 @@ def idle_sessions(activity: DataFrame) -> DataFrame:
     out = rows.groupBy("key", "_idle", "_age").agg(F.min("ms").alias("started"), F.max("ms").alias("ended"), F.count("*").alias("n"))
     number = F.row_number().over(Window.partitionBy("key").orderBy("_idle", "_age"))
     return out.select("key", number.alias("session"), "started", "ended", "n")
-
-
-def throttle_states(batches: Iterator[pd.DataFrame], state: tuple[int, int] | None, limit: int, window_ms: int) -> tuple[list[tuple], tuple[int, int] | None]:
-    """The stream's step of ST4: (event_id, ms, allowed) rows and the new state (count, reset_at)."""
-    rows = []
-    for pdf in batches:
-        for event, at in sorted(zip(pdf["event_id"].tolist(), pdf["ms"].tolist(), strict=True), key=lambda x: (x[1], x[0])):
-            count, reset = state if state and state[1] > at else (0, at + window_ms)
-            state = (count + 1, reset)
-            rows.append((event, at, count + 1 <= limit))
-    return rows, state

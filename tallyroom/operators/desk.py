@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions import score as S
+from tallyroom.operators.results import with_parts
 
 MIB = 1 << 20
 RESERVED = 3 * MIB
@@ -43,10 +44,11 @@ def pending_items(papers: DataFrame) -> DataFrame:
     )
 
 
-def review_queue(papers: DataFrame, batches: DataFrame, exams: DataFrame, offset: int, limit: int) -> DataFrame:
+def review_queue(papers: DataFrame, batches: DataFrame, exams: DataFrame, parts: DataFrame, offset: int, limit: int) -> DataFrame:
     """JN1 and TOP3: one page of papers that are not approved, in order of the batch's creation and the place in it; next_offset is null on the last page.
 
-    The page is cut before anything is derived from the documents.
+    The page is cut before anything is derived from the documents or looked up in ``parts``; a paper of no part
+    has its place from the first page on.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be 1 to 50")
@@ -54,7 +56,7 @@ def review_queue(papers: DataFrame, batches: DataFrame, exams: DataFrame, offset
     page = rows.orderBy("created", "batch_id", "idx", "paper_id").offset(offset).limit(limit + 1)
     order = Window.orderBy("created", "batch_id", "idx", "paper_id")  # over at most 51 rows
     page = page.withColumn("_n", F.row_number().over(order)).withColumn("_all", F.max("_n").over(Window.partitionBy()))
-    page = page.filter(F.col("_n") <= limit)
+    page = with_parts(page.filter(F.col("_n") <= limit), parts, how="left")
     items = pending_items(page).join(page.select("paper_id", "batch_id", "exam_name", "_all"), "paper_id")
     return items.withColumn("next_offset", F.when(F.col("_all") > limit, F.lit(offset + limit))).drop("_all")
 
@@ -80,8 +82,9 @@ def unprocessed(batches: DataFrame, papers: DataFrame) -> DataFrame:
     return slots.join(papers.select("batch_id", "idx"), ["batch_id", "idx"], "left_anti")
 
 
-def paper_context(papers: DataFrame, batches: DataFrame, exams: DataFrame) -> DataFrame:
-    """JN8: a paper with its batch, exam and place in the source."""
+def paper_context(papers: DataFrame, batches: DataFrame, exams: DataFrame, parts: DataFrame) -> DataFrame:
+    """JN8: a paper with its batch, exam and place in the source; without a part the place counts from the first page."""
+    papers = with_parts(papers, parts, how="left")
     student, first, second = S.source_position(F.col("start_page"), F.col("idx"))
     rows = papers.join(batches.select("batch_id", "total", F.col("status").alias("batch_status")), "batch_id").join(exams, "exam_id")
     return rows.select("paper_id", "batch_id", "exam_name", "batch_status", "total", student.alias("student"), first.alias("first_page"), second.alias("second_page"))

@@ -25,8 +25,24 @@ def outcomes(papers: DataFrame) -> DataFrame:
     return rows.select("paper_id", (F.col("q") + 1).alias("question"), F.col("x.answers").alias("answer"), S.question_outcome(F.col("x.answers"), F.col("x.key")).alias("outcome"))
 
 
+def with_parts(papers: DataFrame, parts: DataFrame, import_id: int | None = None, how: str = "inner") -> DataFrame:
+    """``papers`` with import_id and start_page of their batch's part (import_id, batch_id, start_page).
+
+    A batch is in one part at most. ``import_id`` cuts the parts before they are joined. Where both tables are
+    bucketed by batch_id (``sources.layout``) neither side moves.
+    """
+    chosen = parts if import_id is None else parts.filter(F.col("import_id") == import_id)
+    bare = papers.drop("import_id", "start_page")
+    return bare.join(chosen.select("batch_id", "import_id", "start_page"), "batch_id", how)
+
+
+def bulk_results(papers: DataFrame, parts: DataFrame, import_id: int | None = None) -> DataFrame:
+    """JN2: the students of one import, or of all, with PRJ7, in the order of their pages."""
+    return result_rows(with_parts(papers, parts, import_id)).orderBy("import_id", "start_page", "idx")
+
+
 def result_rows(papers: DataFrame) -> DataFrame:
-    """PRJ7 and JN2: students of imports with marks, grace and states; papers outside an import are left out."""
+    """PRJ7: marks, grace and states of papers that carry import_id and start_page; papers outside an import are left out."""
     rows = with_score(papers.filter("start_page IS NOT NULL"))
     marks, grace = S.result_marks(F.col("score.total"), S.needs_grace(F.col("answers"), F.col("details")))
     text = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit("")).alias(k)
@@ -77,8 +93,8 @@ def released_details(papers: DataFrame) -> DataFrame:
     )
 
 
-def bulk_draft(papers: DataFrame) -> DataFrame:
-    """SNK3: all processed students of imports without ids or answers, provisional ones included."""
-    rows = result_rows(papers)
+def bulk_draft(papers: DataFrame, parts: DataFrame, import_id: int | None = None) -> DataFrame:
+    """SNK3: all processed students of one import, or of all, without ids or answers, provisional ones included."""
+    rows = bulk_results(papers, parts, import_id)
     safe = [spreadsheet_safe(F.col(k)).alias(k) for k in ("name", "school", "father_mobile", "mother_mobile")]
     return rows.select("import_id", *safe, "marks", "grace", "details_status", "result_status")

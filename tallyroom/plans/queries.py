@@ -57,7 +57,7 @@ results AS (SELECT papers.import_no AS import_id, papers.start_page, papers.batc
 
 @_add("jn2_bulk_results", _RESULT + " SELECT * FROM results")
 def bulk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.result_rows(X.papers(spark, sf_dir))
+    return results.bulk_results(X.papers(spark, sf_dir), X.parts(spark, sf_dir))
 
 
 @_add("prj7_result_row", _RESULT + " SELECT paper_id, marks, grace, details_status, result_status FROM results")
@@ -123,7 +123,7 @@ def _created(batches: DataFrame) -> DataFrame:
     f"{_PENDING}, {X.EXAMS_SQL} SELECT {_PENDING_COLUMNS}, batch_no AS batch_id, exam_name, CAST(70 AS INT) AS next_offset FROM (SELECT * FROM pending WHERE status <> 'approved' ORDER BY (batch_no * 7919) % 100003, batch_no, idx LIMIT 50 OFFSET 20) JOIN exams USING (exam_no)",
 )
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(desk.review_queue(X.papers(spark, sf_dir), _created(X.batches(spark, sf_dir)), X.exams(spark, sf_dir), 20, 50))
+    return _flat(desk.review_queue(X.papers(spark, sf_dir), _created(X.batches(spark, sf_dir)), X.exams(spark, sf_dir), X.parts(spark, sf_dir), 20, 50))
 
 
 @_add("top3_page_of", "SELECT p AS paper_id, batch_no AS batch_id, idx FROM papers WHERE status <> 'approved' AND (batch_no > 3 OR (batch_no = 3 AND idx > 4)) ORDER BY batch_no, idx LIMIT 50")
@@ -181,7 +181,7 @@ def export_student_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("snk3_export_bulk_draft", _RESULT + " SELECT import_id, name, school, father_mobile, mother_mobile, marks, grace, details_status, result_status FROM results")
 def export_bulk_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.bulk_draft(X.papers(spark, sf_dir))
+    return results.bulk_draft(X.papers(spark, sf_dir), X.parts(spark, sf_dir))
 
 
 # --- desk ----------------------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def unprocessed_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(papers.start_page, 0) + 2 * idx + 1 AS first_page, coalesce(papers.start_page, 0) + 2 * idx + 2 AS second_page FROM papers JOIN batches USING (batch_no) JOIN exams ON exams.exam_no = papers.exam_no",
 )
 def paper_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return desk.paper_context(X.papers(spark, sf_dir), X.batches(spark, sf_dir), X.exams(spark, sf_dir))
+    return desk.paper_context(X.papers(spark, sf_dir), X.batches(spark, sf_dir), X.exams(spark, sf_dir), X.parts(spark, sf_dir))
 
 
 _WAITING = "CAST(sum(CASE WHEN status IN ('queued', 'processing', 'failed') THEN greatest(0, total - done) ELSE 0 END) AS BIGINT)"
@@ -745,7 +745,7 @@ _REFINABLE = f"refinable AS (SELECT p, val FROM fields WHERE f = 0 AND status <>
 
 @_add("flt3_refinable_names", f"WITH {_REFINABLE} SELECT p AS paper_id FROM refinable")
 def refinable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.refinable_names(_marked(spark, sf_dir)).select("paper_id")
+    return changes.refinable_names(_marked(spark, sf_dir), X.parts(spark, sf_dir)).select("paper_id")
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -760,7 +760,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_name_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _marked(spark, sf_dir)
     texts = papers.filter("paper_id % 2 = 0").select("paper_id", (F.col("version") + F.when(F.col("paper_id") % 6 == 0, 1).otherwise(0)).alias("version"), F.concat(F.try_element_at("fields", F.lit("name")), F.lit("   Jr ")).alias("text"))
-    state, _ = changes.apply_name_refinement(papers, texts)
+    state, _ = changes.apply_name_refinement(papers, texts, X.parts(spark, sf_dir))
     return state.select("paper_id", "version", F.try_element_at("fields", F.lit("name")).alias("name"), F.try_element_at("field_ocr", F.lit("name"))["suggested"].alias("suggested"))
 
 
@@ -829,11 +829,9 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIT = 1.0
 _PICK = "SUBSTR('ABCD', CAST({} AS INT) + 1, 1)"
 _INK = f"""ink0 AS (SELECT p, q, count(*) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS n, min(o) FILTER (ratio >= 0.018 AND pixels >= 7 AND inside >= 3) AS first,
- count(*) FILTER (ratio >= 0.009 AND pixels >= 4 AND inside >= 2) AS m, count(*) FILTER (pixels >= 4) AS faint FROM ev GROUP BY p, q),
-comp AS (SELECT ev.p, ev.q, bool_and(ev.o = first) AS alone FROM ev JOIN ink0 USING (p, q) WHERE ratio >= 0.009 AND pixels >= 4 AND inside >= 2 GROUP BY ev.p, ev.q),
-ink AS (SELECT ink0.p, ink0.q, CASE WHEN n = 1 AND coalesce(alone, true) THEN {_PICK.format('first')} ELSE '?' END AS answer,
- CASE WHEN n = 1 AND coalesce(alone, true) THEN 'Single mark after brightness and local alignment correction; verify scan.' WHEN n > 1 THEN 'Multiple marks or correction; review the scan.'
- WHEN faint > 0 THEN 'Faint, off-box or conflicting ink; review before scoring.' ELSE 'No reliable mark found; confirm a blank from the scan.' END AS reason FROM ink0 LEFT JOIN comp USING (p, q))"""
+ min(o) FILTER (ratio >= 0.009 AND pixels >= 4 AND inside >= 2) AS low, max(o) FILTER (ratio >= 0.009 AND pixels >= 4 AND inside >= 2) AS high, count(*) FILTER (pixels >= 4) AS faint FROM ev GROUP BY p, q),
+ink1 AS (SELECT *, n = 1 AND coalesce(low = first AND high = first, true) AS single FROM ink0),
+ink AS (SELECT p, q, CASE WHEN single THEN {_PICK.format('first')} ELSE '?' END AS answer, CASE WHEN single THEN '{E.SINGLE}' WHEN n > 1 THEN '{E.SEVERAL}' WHEN faint > 0 THEN '{E.FAINT}' ELSE '{E.NO_MARK}' END AS reason FROM ink1)"""
 _BOX = f"""box0 AS (SELECT p, q, bool_and(cost < 1.25 AND shift < 6) AS valid, count(*) FILTER (v1 >= 10 AND v2 >= 5 AND cost < 0.9) AS n, min(o) FILTER (v1 >= 10 AND v2 >= 5 AND cost < 0.9) AS sel FROM ev GROUP BY p, q),
 box1 AS (SELECT b.p, b.q, valid AND n = 1 AND count(*) FILTER (ev.o <> sel AND v0 >= 5) = 0 AS clear, any_value({_PICK.format('sel')}) AS letter FROM box0 b JOIN ev USING (p, q) GROUP BY b.p, b.q, valid, n),
 box AS (SELECT p, q, CASE WHEN clear AND ink.answer IN ('?', letter) THEN letter ELSE ink.answer END AS answer, CASE WHEN clear AND ink.answer IN ('?', letter) THEN 'strong' ELSE 'review' END AS confidence,
@@ -850,13 +848,14 @@ def read_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumn("i", E.read_ink(F.col("ink"), F.lit(_UNIT)))
-    return rows.withColumn("b", E.read_checkbox(F.col("i"), F.col("boxes"), F.lit(_UNIT)))
+    rows = E.staged(_evidence(spark, sf_dir), "i", E.read_ink(F.col("ink"), F.lit(_UNIT)), "answer", "reason")
+    read = E.read_checkbox(E.read_of("i", "answer", "reason"), F.col("boxes"), F.lit(_UNIT))
+    return E.staged(rows, "b", read, "answer", "confidence", "reason")
 
 
 @_add("ev2_read_checkbox", f"WITH {_EV_LONG}, {_INK}, {_BOX} SELECT p AS paper_id, q, answer, confidence, reason FROM box")
 def read_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checkbox(spark, sf_dir).select("paper_id", "q", *_shown("b"))
+    return _checkbox(spark, sf_dir).select("paper_id", "q", E.read_of("b", "answer", "confidence", "reason").alias("b")).select("paper_id", "q", "b.*")
 
 
 _OPTION = f"""opt0 AS (SELECT p, q, bool_and(ocost < 0.6 AND shift < 6) AS valid, count(*) FILTER (v1 >= 7 AND v2 >= 4) AS comps, count(*) FILTER (v1 >= 15 AND v2 >= 7.5) AS n, min(o) FILTER (v1 >= 15 AND v2 >= 7.5) AS sel FROM ev GROUP BY p, q),
@@ -873,7 +872,7 @@ opt3 AS (SELECT *, usable AND answer NOT IN ('?', choice) AS clash, usable AND a
 )
 def read_option_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checkbox(spark, sf_dir)
-    rows = rows.withColumn("r", E.read_option_text(F.col("b"), F.col("options"), F.col("box_x"), F.lit(1100), F.lit(_UNIT)))
+    rows = rows.withColumn("r", E.read_option_text(E.read_of("b", "answer", "confidence", "reason"), F.col("options"), F.col("box_x"), F.lit(1100), F.lit(_UNIT)))
     return rows.select("paper_id", "q", *_shown("r"), "r.suggested_answer")
 
 

@@ -72,16 +72,18 @@ def test_login_rules_without_attempts(spark):
 
 
 def test_throttle_step_carries_its_window_over_batches():
-    import pandas as pd
-
-    rows = [r for r in _attempts(5) if r[1] == "a"]
-    frame = lambda part: pd.DataFrame({"event_id": [r[0] for r in part], "ms": [r[2] for r in part]})
-    whole, _ = access.throttle_states([frame(rows)], None, 2, 10)
-    pieces, state = [], None
-    for i in range(0, len(rows), 7):
-        out, state = access.throttle_states([frame(rows[i : i + 7])], state, 2, 10)
-        pieces += out
-    assert sorted(pieces) == sorted(whole)
+    import numpy as np
+
+    from tallyroom.streaming import logins
+
+    ms = np.array(sorted(r[2] for r in _attempts(5) if r[1] == "a"))
+    whole, _, _ = logins.throttled(ms, 0, 0, 2, 10)
+    assert whole.tolist() == access._throttle(ms, 2, 10).tolist()
+    pieces, count, reset_at = [], 0, 0
+    for i in range(0, len(ms), 7):
+        out, count, reset_at = logins.throttled(ms[i : i + 7], count, reset_at, 2, 10)
+        pieces += out.tolist()
+    assert pieces == whole.tolist()
 
 
 def test_a_session_ends_by_a_pause_or_by_age(spark):
