@@ -168,23 +168,43 @@ def identity_report(references: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.select("*", rate("exact", "evaluated", "exact_rate"), rate("filled_exact", "filled", "filled_exact_rate"))
 
 
-def mark_benchmark(reads: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """AGG10: fresh reads (details of 25) against complete approved answers, one row of totals."""
-    whole = F.forall("answers", lambda a: a != "?") & (F.size("answers") == QUESTIONS)
-    rows = reads.select("paper_id", "details").join(reviewed.filter("status = 'approved'").filter(whole).select("paper_id", "answers"), "paper_id")
-    rows = rows.select("details", F.posexplode("answers").alias("q", "expected"))
+def benchmark_answers(reads: DataFrame, reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """AGG10's rows, one for each answer of fresh reads (details of 25) that has a reviewed one, and refused references.
+
+    A reference is refused if it isn't approved, hasn't 25 decided answers, or its paper has another one too; then
+    none of the paper's references counts.
+    """
+    known = reviewed.groupBy("paper_id").agg(F.count("*").alias("times"), F.first("status").alias("status"), F.first("answers").alias("answers"))
+    whole = F.coalesce(F.forall("answers", lambda a: F.coalesce(a != "?", F.lit(False))) & (F.size("answers") == QUESTIONS), F.lit(False))
+    problem = F.when(F.col("times") > 1, "reviewed more than once").when(~F.coalesce(F.col("status") == "approved", F.lit(False)), "not approved").when(~whole, "not fully reviewed")
+    known = known.withColumn("problem", problem)
+    rows = reads.select("paper_id", "details").join(known.filter("problem IS NULL").select("paper_id", "answers"), "paper_id")
+    rows = rows.select("paper_id", "details", F.posexplode("answers").alias("q", "reviewed"))
     detail = F.get("details", F.col("q"))
+    detected = F.coalesce(detail["answer"], F.lit("?"))
     rows = rows.select(
-        F.coalesce(detail["answer"], F.lit("?")).alias("actual"), "expected", detail["confidence"].alias("confidence"), detail["suggested_answer"].alias("suggested")
+        "paper_id",
+        (F.col("q") + 1).alias("question"),
+        detected.alias("detected"),
+        "reviewed",
+        _state(detected, F.col("reviewed")).alias("state"),
+        detail["confidence"].alias("confidence"),
+        detail["reason"].alias("reason"),
+        detail["suggested_answer"].alias("suggestion"),
     )
+    return rows, known.filter("problem IS NOT NULL").select("paper_id", "problem")
+
+
+def mark_benchmark(reads: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """AGG10: one row of totals over ``benchmark_answers``."""
+    rows, _ = benchmark_answers(reads, reviewed)
     strong = F.coalesce(F.col("confidence") == "strong", F.lit(False))
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    state = _state(F.col("actual"), F.col("expected"))
     return rows.agg(
         F.count("*").alias("questions"),
-        *(count(state == s, s) for s in ("matched", "unresolved", "different")),
+        *(count(F.col("state") == s, s) for s in ("matched", "unresolved", "different")),
         count(strong, "strong"),
-        count(strong & (F.col("actual") != F.col("expected")), "strong_different"),
-        count(F.coalesce(F.col("suggested"), F.lit("")) != "", "suggestions"),
-        count(F.col("suggested") == F.col("expected"), "suggestion_matches"),
+        count(strong & (F.col("detected") != F.col("reviewed")), "strong_different"),
+        count(F.coalesce(F.col("suggestion"), F.lit("")) != "", "suggestions"),
+        count(F.col("suggestion") == F.col("reviewed"), "suggestion_matches"),
     )

@@ -85,12 +85,17 @@ def record_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def upserted(stored: DataFrame, incoming: DataFrame, schools: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """CHG5: (new state, rejected rows with a reason).
+#: What the activity log calls a saved new record, a changed one, and a refused change.
+SUBMITTED, UPDATED, BLOCKED_EDIT = "Submitted student record", "Updated student record", "Blocked submitted-record edit"
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, schools: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CHG5: (new state, rejected rows with a reason, activity events).
 
     New ids are inserted as New. Existing ids may be changed by owners only, go back to New and keep who
     created them and when. Invalid rows are refused; of several rows for one id the first by edit_id counts.
-    ``incoming`` has the record's columns, role and edit_id.
+    ``incoming`` has the record's columns, role and edit_id. An event (id, edit_id, actor_id, event) stands for
+    each saved row and each change that only the owner might make; invalid rows leave none.
     """
     checked = validated(incoming)
     old = stored.select("id", F.col("created_at").alias("_created"), F.col("submitter_id").alias("_submitter"), F.lit(True).alias("_old"))
@@ -101,6 +106,9 @@ def upserted(stored: DataFrame, incoming: DataFrame, schools: DataFrame) -> tupl
     rows = rows.withColumn("reason", reason)
     rank = F.when(F.col("reason").isNull(), F.row_number().over(Window.partitionBy("id", F.col("reason").isNull()).orderBy("edit_id")))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(rank > 1, F.lit("an earlier edit counts"))))
+    blocked = F.col("reason") == "only the owner may change it"
+    event = F.when(blocked, BLOCKED_EDIT).when(F.col("reason").isNull(), F.when(F.col("_old"), UPDATED).otherwise(SUBMITTED))
+    events = rows.select("id", "edit_id", F.col("submitter_id").alias("actor_id"), event.alias("event")).filter("event IS NOT NULL")
     good = rows.filter("reason IS NULL").withColumn("name_key", school_key(F.col("school")))
     canonical = schools.select("name_key", F.col("name").alias("_school"))
     good = good.join(canonical, "name_key", "left").select(
@@ -116,7 +124,7 @@ def upserted(stored: DataFrame, incoming: DataFrame, schools: DataFrame) -> tupl
         F.coalesce("_created", "created_at").alias("created_at"),
     )
     state = stored.join(good.select("id"), "id", "left_anti").unionByName(good)
-    return state, rows.filter("reason IS NOT NULL").select("id", "edit_id", "reason")
+    return state, rows.filter("reason IS NOT NULL").select("id", "edit_id", "reason"), events
 
 
 def reviewed(records: DataFrame, decisions: DataFrame, role: str) -> DataFrame:

@@ -400,6 +400,30 @@ def mark_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.mark_benchmark(papers, papers)
 
 
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed papers, every tenth of them twice."""
+    rows = X.papers(spark, sf_dir).select("paper_id", "status", "answers")
+    return rows.unionAll(rows.filter("paper_id % 10 = 0"))
+
+
+@_add(
+    "agg10_benchmark_answers",
+    """WITH whole AS (SELECT p FROM answers WHERE status = 'approved' AND p % 10 <> 0 GROUP BY p HAVING count(*) FILTER (answer = '?') = 0)
+ SELECT p AS paper_id, CAST(q + 1 AS INT) AS question, coalesce(d_answer, '?') AS detected, answer AS reviewed, CASE WHEN coalesce(d_answer, '?') = '?' THEN 'unresolved' WHEN d_answer = answer THEN 'matched' ELSE 'different' END AS state, confidence, reason, suggested AS suggestion FROM answers JOIN whole USING (p)""",
+)
+def benchmark_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.benchmark_answers(X.papers(spark, sf_dir), _references(spark, sf_dir))[0]
+
+
+@_add(
+    "agg10_refused_references",
+    """WITH r AS (SELECT p, status, count(*) FILTER (answer = '?') AS open FROM answers GROUP BY p, status)
+ SELECT p AS paper_id, CASE WHEN p % 10 = 0 THEN 'reviewed more than once' WHEN status <> 'approved' THEN 'not approved' ELSE 'not fully reviewed' END AS problem FROM r WHERE p % 10 = 0 OR status <> 'approved' OR open > 0""",
+)
+def refused_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.benchmark_answers(X.papers(spark, sf_dir), _references(spark, sf_dir))[1]
+
+
 # --- student records -----------------------------------------------------------------------------
 
 _RECORD_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 1 THEN '  ' ELSE c_name END AS name,
@@ -536,10 +560,25 @@ won AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY edi
 )
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = records.validated(_records(spark, sf_dir)).drop("violations")
-    state, _ = records.upserted(stored, _incoming(spark, sf_dir), _schools(spark, sf_dir))
+    state, _, _ = records.upserted(stored, _incoming(spark, sf_dir), _schools(spark, sf_dir))
     return state.select("id", "name", "school", "status", "submitter_id", "created_at")
 
 
+@_add(
+    "chg5_refused_and_events",
+    f"""{_UPSERT}, judged AS (SELECT inc.*, r.id IS NOT NULL AS old, CASE WHEN bad <> '' THEN 'invalid: ' || bad WHEN r.id IS NOT NULL AND NOT owner THEN 'only the owner may change it' END AS why FROM inc LEFT JOIN records r USING (id)),
+ placed AS (SELECT *, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY id, why IS NULL ORDER BY edit_id) > 1 THEN 'an earlier edit counts' END) AS reason FROM judged)
+ SELECT 'refused' AS kind, id, edit_id, reason AS what FROM placed WHERE reason IS NOT NULL UNION ALL
+ SELECT 'event', id, edit_id, CASE WHEN reason IS NOT NULL THEN 'Blocked submitted-record edit' WHEN old THEN 'Updated student record' ELSE 'Submitted student record' END FROM placed WHERE reason IS NULL OR reason = 'only the owner may change it'""",
+    long=False,
+)
+def refused_and_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = records.validated(_records(spark, sf_dir)).drop("violations")
+    _, refused, events = records.upserted(stored, _incoming(spark, sf_dir), _schools(spark, sf_dir))
+    kept = refused.select(F.lit("refused").alias("kind"), "id", "edit_id", F.col("reason").alias("what"))
+    return kept.unionAll(events.select(F.lit("event"), "id", "edit_id", "event"))
+
+
 @_add("chg6_review_records", f"WITH {_RECORDS} SELECT id, CASE WHEN id % 4 = 0 THEN 'Reviewed' WHEN id % 4 = 1 THEN 'New' ELSE status END AS status FROM records", long=False)
 def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir)
