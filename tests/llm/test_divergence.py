@@ -71,7 +71,7 @@ def test_small_blocks_ranges_and_passes_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 4)
     monkeypatch.setattr(divergence, "PASS_BYTES", 1)
     one = divergence.vocabulary
-    monkeypatch.setattr(divergence, "vocabulary", lambda k: one(k, range_terms=7))
+    monkeypatch.setattr(divergence, "vocabulary", lambda k: one(k, range_terms=40))
     monkeypatch.setattr(divergence, "passes", lambda v, f=divergence.passes: f(v, 1))
     assert set(_got(df, min_documents=5)) == _brute(rows, 5, 50)
 

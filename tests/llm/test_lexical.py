@@ -57,7 +57,7 @@ def test_equals_brute_force(spark):
 
 def test_passes_dags_and_blocks_change_nothing(spark, monkeypatch):
     docs, items = _made(2)
-    for name, value in (("PASS_TERMS", 100), ("DAG_ITEMS", 5), ("CELLS", 300)):
+    for name, value in (("PASS_TERMS", 250), ("DAG_ITEMS", 5), ("CELLS", 300)):
         monkeypatch.setattr(lexical, name, value)
     assert set(_got(spark, docs, items, top=7)) == _brute(docs, items, 7)
 
