@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 TF-IDF vectors over hashed words are projected on the leading right singular vectors of a passage matrix,
-found by distributed randomised SVD on a bounded sample of passages and all items, and scaled by their
-damped inverse singular values. Of every text, windows of about an item's own length whose cosine with the
+found by distributed randomised SVD on every passage of all texts and items, and scaled by their damped
+inverse singular values. Of every text, windows of about an item's own length whose cosine with the
 item reaches MIN_COSINE are candidates; a candidate is a hit if the longest common subsequence of words and
 the item's answer words confirm it. Retrieval is the index below together with the cosine: the index names the
 stretches, the cosine takes away those of them that are far from the item in the latent space.
@@ -38,7 +38,12 @@ MET = 4
 MIN_COMMON = 0.6
 SURE_COMMON = 0.85
 ANSWER_WORDS = 5
-SAMPLE_PASSAGES = 20_000
+#: Passages whose products are summed together, and those of them that are a matrix of the HEAD most frequent buckets.
+GROUP = 16_384
+BLOCK = 256
+HEAD = 512
+#: Cells that are looked up together.
+CELLS = 2048
 ITEM_BLOCK = 65_536
 #: Windows of a stretch that are looked at together.
 CHUNK = 32
@@ -52,119 +57,171 @@ def _bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - DIM_BITS)).astype(np.int64)
 
 
-def _scan(share: float):
-    """Document frequencies of a task (kind 0) and sampled passages as words (kind 1)."""
-    limit = np.uint64(min(share, 1.0) * float(0xFFFFFFFFFFFFF000))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(DIM + 1, np.int64), []
-        last, text = np.zeros(DIM, np.int32), 0
-        for batch in batches:
-            words, at = common.word_hashes(batch.column("_lower"), _TABLE)
-            bucket = _bucket(words)
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                text += 1
-                last[bucket[a:b]] = text
-                df[:DIM] += last == text
-                starts = np.arange(a, b, PASSAGE)
-                if len(starts):
-                    draw = common.mix64(words[starts] + starts.astype(np.uint64) - np.uint64(a))
-                    rows += [words[i : min(i + PASSAGE, b)].tobytes() for i in starts[draw <= limit].tolist()]
-            df[DIM] += batch.num_rows
-            if len(rows) > 1000:
-                yield _passages(rows)
-                rows = []
-        yield _passages(rows)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.nulls(len(some), pa.binary())], ["bucket", "df", "words"])
-
-    return scan
-
-
-def _passages(rows: list[bytes]) -> pa.RecordBatch:
-    none = pa.nulls(len(rows), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(rows, pa.binary())], ["bucket", "df", "words"])
-
-
-def _half_step(basis: np.ndarray, idf: np.ndarray):
-    """A task's part of A^T (A basis), A the TF-IDF rows of its passages, in pieces of _ROWS features."""
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word buckets of each text, two bytes each, and the document frequencies of a task."""
+    df = np.zeros(DIM + 1, np.int64)
+    for batch in batches:
+        words, at = common.word_hashes(batch.column("_lower"), _TABLE)
+        bucket = _bucket(words)
+        own = np.sort(np.repeat(np.arange(batch.num_rows), np.diff(at)) << DIM_BITS | bucket)
+        df[:DIM] += np.bincount(own[_begins(own)] & (DIM - 1), minlength=DIM)
+        df[DIM] += batch.num_rows
+        buffers = [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(bucket.astype(np.uint16))]
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)], ["bucket", "df", "words"])
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.nulls(len(some), pa.binary())], ["bucket", "df", "words"])
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Places where a sorted array has another value than before."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
+def _cells(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages, row, column, value) of groups of passages: their TF-IDF rows of length 1, without zeros, by row."""
+    texts = batch.column("words").to_pylist()
+    buckets, at = np.frombuffer(b"".join(texts), np.uint16), np.cumsum([0] + [len(x) // 2 for x in texts])
+    n = -(-np.diff(at) // PASSAGE)
+    begin = np.repeat(at[:-1], n) + PASSAGE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    end = np.minimum(begin + PASSAGE, np.repeat(at[1:], n))
+    for i in range(0, len(begin), GROUP):
+        size = end[i : i + GROUP] - begin[i : i + GROUP]
+        own = np.repeat(np.arange(len(size)), size) << DIM_BITS | buckets[begin[i] : begin[i] + size.sum()]
+        own = own[idf[own & (DIM - 1)] > 0]
+        own.sort()
+        at_cell = _begins(own)
+        tf, own = np.diff(np.append(at_cell, len(own))), own[at_cell]
+        row, column = own >> DIM_BITS, own & (DIM - 1)
+        x = tf * idf[column]
+        norm = np.sqrt(np.bincount(row, x * x, minlength=len(size)))
+        yield len(size), row, column, (x / norm[row]).astype(np.float32)
+
+
+def _sum_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+    """Add to row to[i] of ``out``, ``to`` being sorted, value[i] times row at[i] of ``rows``."""
+    for i in range(0, len(to), CELLS):
+        part = np.take(rows, at[i : i + CELLS], axis=0)
+        part *= value[i : i + CELLS, None]
+        first = _begins(to[i : i + CELLS])
+        out[to[i : i + CELLS][first]] += np.add.reduceat(part, first, axis=0)
+
+
+class _Product:
+    """Products with A, the TF-IDF rows of passages: dense for the most frequent buckets, by cells for the others."""
+
+    def __init__(self, basis: np.ndarray, idf: np.ndarray, df: np.ndarray) -> None:
+        self.basis, self.idf = basis.astype(np.float32), idf
+        self.head = np.argsort(np.where(idf > 0, -df, 1), kind="stable")[:HEAD]
+        self.place = np.full(DIM, -1)
+        self.place[self.head] = np.arange(HEAD)
+
+    def rows(self, batch: pa.RecordBatch, back: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """A basis, for groups of passages; A^T (A basis) is added to ``back``."""
+        top = self.basis[self.head]
+        for n, row, column, value in _cells(batch, self.idf):
+            out = np.zeros((n, self.basis.shape[1]), np.float32)
+            place = self.place[column]
+            rest = place < 0
+            cuts = np.searchsorted(row, np.arange(0, n + BLOCK, BLOCK))
+            for k in range(len(cuts) - 1):
+                part = slice(int(cuts[k]), int(cuts[k + 1]))
+                some, own = rest[part], out[k * BLOCK : (k + 1) * BLOCK]
+                dense = np.zeros((len(own), len(top)), np.float32)
+                dense[row[part][~some] - k * BLOCK, place[part][~some]] = value[part][~some]
+                np.matmul(dense, top, out=own)
+                _sum_rows(own, row[part][some] - k * BLOCK, self.basis, column[part][some], value[part][some])
+                if back is not None:
+                    back[self.head] += dense.T @ own
+            if back is not None:
+                row, column, value = row[rest], column[rest].astype(np.uint16), value[rest]
+                order = np.argsort(column, kind="stable")
+                _sum_rows(back, column[order], out, row[order], value[order])
+            yield out
+
+
+def _half_step(product: _Product):
+    """A task's part of A^T (A basis), in pieces of _ROWS features."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = np.zeros(basis.shape)
+        z = np.zeros(product.basis.shape)
         for batch in batches:
-            for raw in batch.column("words").to_pylist():
-                at, tf = np.unique(_bucket(np.frombuffer(raw, np.uint64)), return_counts=True)
-                x = tf * idf[at]
-                x /= np.linalg.norm(x) or 1.0
-                z[at] += x[:, None] * (x @ basis[at])
+            for _ in product.rows(batch, z):
+                pass
         pieces = [z[i : i + _ROWS].tobytes() for i in range(0, DIM, _ROWS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "part"])
 
     return step
 
 
-def _add_parts(key, table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x) for x in table.column("part").to_pylist()]
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
-
+def _square(product: _Product):
+    """A task's part of (A basis)^T (A basis)."""
 
-def _gram_times(passages: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A basis, of a size that DIM and RANK set; summed piece by piece in Spark."""
-    parts = passages.mapInArrow(_half_step(basis, idf), "piece int, part binary")
-    rows = parts.groupBy("piece").applyInArrow(lambda key, t: _add_parts(key, t), "piece int, part binary").collect()
-    out = np.zeros(basis.shape)
-    for r in rows:
-        out[r["piece"] * _ROWS : (r["piece"] + 1) * _ROWS] = np.frombuffer(r["part"]).reshape(-1, basis.shape[1])
+    def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = np.zeros((product.basis.shape[1],) * 2)
+        for batch in batches:
+            for rows in product.rows(batch):
+                z += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([z.tobytes()], pa.binary())], ["piece", "part"])
+
+    return square
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts of each piece; a piece's parts are all in one task and never held together."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, part in zip(batch.column("piece").to_pylist(), batch.column("part"), strict=True):
+            part = np.frombuffer(part.as_buffer())
+            sums[piece] = sums[piece] + part if piece in sums else part
+    pieces = [x.tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "part"])
+
+
+def _summed(passages: DataFrame, parts, size: int) -> np.ndarray:
+    """The tasks' parts summed piece by piece in Spark: ``size`` rows, a number that DIM and RANK set."""
+    kind, out = "piece int, part binary", np.zeros((size, RANK + EXTRA))
+    for r in passages.mapInArrow(parts, kind).repartition("piece").mapInArrow(_add_parts, kind).collect():
+        part = np.frombuffer(r["part"]).reshape(-1, RANK + EXTRA)
+        out[r["piece"] * _ROWS :][: len(part)] = part
     return out
 
 
-def _counts_of(vocabulary: np.ndarray):
-    """How often a task's passages hold each word of a sorted vocabulary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64)
-            place = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
-            if len(vocabulary):
-                n += np.bincount(place[vocabulary[place] == words], minlength=len(n))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["place", "n"])
-
-    return count
+def _frequencies(seen: DataFrame) -> np.ndarray:
+    """Of how many texts each bucket has a word; and last how many texts there are."""
+    df = np.zeros(DIM + 1)
+    for r in seen.filter("words IS NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+        df[r["bucket"]] = r["df"]
+    return df
 
 
-def latent_map(documents: DataFrame, items: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """(DIM x rank) map from word buckets to whitened latent space, idf included; and the sampled passages.
+def latent_map(documents: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(DIM x rank) map from word buckets to whitened latent space, idf included; and the buckets' document frequencies.
 
-    Document frequencies are of all documents; the SVD is fitted on about SAMPLE_PASSAGES passages
-    drawn from all documents by hash, and on every item.
+    Both are of all documents: the SVD is fitted on every passage of PASSAGE words of every document and
+    item. Products of passages are of single precision, their sums of double.
     """
-    docs = documents.select(F.lower("text").alias("_lower")).filter("_lower IS NOT NULL")
-    share = SAMPLE_PASSAGES * PASSAGE * 6.0 / max(common.text_bytes(docs, "_lower"), 1)
-    seen = common.stored(docs.mapInArrow(_scan(share), "bucket long, df long, words binary"), "dc-scan")
-    df = np.zeros(DIM + 1)
-    for r in seen.filter("words IS NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
-        df[r["bucket"]] = r["df"]
-    own = common.stored(items.select(F.lower("text").alias("_lower")).mapInArrow(_scan(1.0), "bucket long, df long, words binary"), "dc-items")
-    in_items = np.zeros(DIM + 1)
-    for r in own.filter("words IS NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
-        in_items[r["bucket"]] = r["df"]
+    kind = "bucket long, df long, words binary"
+    texts = [x.select(F.lower("text").alias("_lower")).filter("_lower IS NOT NULL") for x in (documents, items)]
+    seen, own = (common.stored(x.mapInArrow(_scan, kind), tag) for x, tag in zip(texts, ("dc-scan", "dc-items"), strict=True))
+    df, in_items = _frequencies(seen), _frequencies(own)
     # what every fifth document and every fifth of at least five items has says nothing; an item that many
     # documents copied keeps its words
     empty = (df[:DIM] > 0.2 * df[DIM]) & (in_items[:DIM] > max(0.2 * in_items[DIM], 4))
     idf = np.where(empty, 0.0, np.maximum(np.log((1.0 + df[DIM]) / (1.0 + df[:DIM])), 0.1))
-    passages = common.stored(seen.unionAll(own).filter("words IS NOT NULL").select("words"), "dc-passages")
+    passages = seen.unionAll(own).filter("words IS NOT NULL").select("words")
     rng = np.random.default_rng(5)
-    basis = np.linalg.qr(_gram_times(passages, rng.standard_normal((DIM, RANK + EXTRA)), idf))[0]
-    inner = basis.T @ _gram_times(passages, basis, idf)
+    start = rng.standard_normal((DIM, RANK + EXTRA))
+    basis = np.linalg.qr(_summed(passages, _half_step(_Product(start, idf, df[:DIM])), DIM))[0]
+    inner = _summed(passages, _square(_Product(basis, idf, df[:DIM])), RANK + EXTRA)
+    common.discard(seen, own)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(values)[::-1][:RANK]
     order = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
     if not len(order):
-        return np.zeros((DIM, 0), np.float32), passages
+        return np.zeros((DIM, 0), np.float32), df[:DIM]
     scale = np.sqrt(values[order] + np.median(values[order]))  # damped, so that rare directions don't drown the others
-    return (idf[:, None] * (basis @ vectors[:, order]) / scale).astype(np.float32), passages
+    return (idf[:, None] * (basis @ vectors[:, order]) / scale).astype(np.float32), df[:DIM]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -371,7 +428,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float =
     answer = F.lower("answer") if "answer" in benchmark.columns else F.lit("")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"), F.coalesce(answer, F.lit("")).alias("answer"))
     blocks = -(-max(items.count(), 1) // ITEM_BLOCK)
-    latent, passages = latent_map(docs.select(F.col("_lower").alias("text")), items)
+    latent, df = latent_map(docs.select(F.col("_lower").alias("text")), items)
     numbered = items.select("*", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     out = None
     for block in range(blocks):
@@ -379,14 +436,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float =
         words, at = common.word_hashes(pa.array([r["text"] for r in rows], pa.string()), _TABLE)
         answers, answer_at = common.word_hashes(pa.array([r["answer"] for r in rows], pa.string()), _TABLE)
         vocabulary = np.unique(words)
-        counts = np.zeros(len(vocabulary), np.int64)
-        seen = passages.mapInArrow(_counts_of(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-        for r in seen.collect():  # at most the words of one block
-            counts[r["place"]] = r["n"]
         known = [i for i in range(len(rows)) if at[i + 1] > at[i]]
         own = [words[at[i] : at[i + 1]] for i in known]
         vectors = _unit(np.array([latent[_bucket(w)].sum(axis=0) for w in own], np.float32).reshape(len(own), latent.shape[1]))
-        index = _Index([rows[i]["item_id"] for i in known], own, [answers[answer_at[i] : answer_at[i + 1]] for i in known], vectors, vocabulary, counts)
+        index = _Index([rows[i]["item_id"] for i in known], own, [answers[answer_at[i] : answer_at[i + 1]] for i in known], vectors, vocabulary, df[_bucket(vocabulary)])
         found = docs.mapInArrow(
             _search(latent, index, min_cosine),
             "doc_id long, item_id long, n_common int, item_words int, answered boolean, first_word int, last_word int",

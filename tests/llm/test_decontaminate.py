@@ -118,3 +118,66 @@ def test_counts_of_a_long_item_are_those_of_the_table(monkeypatch):
     want = item.held(words, start, start + 90)
     monkeypatch.setattr(D, "HELD_CELLS", 1)
     assert np.array_equal(item.held(words, start, start + 90), want)
+
+
+def _plain_map(texts, items):
+    """The latent map by dense products over every passage of all texts and items."""
+    from collections import Counter
+
+    hashed = [D._bucket(common.word_hashes(pa.array([t.lower()]), D._TABLE)[0]).tolist() for t in texts + items]
+    df = Counter(b for h in hashed[: len(texts)] for b in set(h))
+    in_items = Counter(b for h in hashed[len(texts) :] for b in set(h))
+    idf = np.zeros(D.DIM)
+    for b in range(D.DIM):
+        if not (df[b] > 0.2 * len(texts) and in_items[b] > max(0.2 * len(items), 4)):
+            idf[b] = max(np.log((1 + len(texts)) / (1 + df[b])), 0.1)
+    rows = []
+    for h in hashed:
+        for i in range(0, len(h), D.PASSAGE):
+            x = np.bincount(h[i : i + D.PASSAGE], minlength=D.DIM) * idf
+            rows.append(x / (np.linalg.norm(x) or 1))
+    some = np.flatnonzero(np.any(rows, axis=0))
+    a = np.array(rows)[:, some]
+    values, vectors = np.linalg.eigh(a.T @ a)
+    values, vectors = values[::-1][: D.RANK], vectors[:, ::-1][:, : D.RANK]
+    keep = values > 1e-9 * values[0]
+    out = np.zeros((D.DIM, keep.sum()))
+    out[some] = idf[some, None] * vectors[:, keep] / np.sqrt(values[keep] + np.median(values[keep]))
+    return out, some, df
+
+
+def _few_words(seed=6, n=130):
+    """Texts of 90 words in all, so that the map has no more directions than it keeps."""
+    rng = random.Random(seed)
+    words = [f"{c}{i}" for i, c in enumerate("abcdefghij" * 9)]
+    texts = [" ".join(rng.choice(words[i % 7 * 10 :]) for _ in range(rng.choice((0, 1, 47, 48, 49, 300, 700)))) for i in range(n)]
+    return texts, [" ".join(rng.sample(words, 30)) for _ in range(8)]
+
+
+def test_map_and_counts_are_those_of_every_passage(spark, monkeypatch):
+    monkeypatch.setattr(D, "SAMPLE_PASSAGES", 50, raising=False)  # a bound that must not be heeded
+    monkeypatch.setattr(D, "HEAD", 16, raising=False)
+    texts, items = _few_words()
+    want, some, counts = _plain_map(texts, items)
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    latent, df = D.latent_map(d, spark.createDataFrame([(t,) for t in items], "text string"))
+    want, got = want[some] @ want[some].T, latent[some] @ latent[some].T
+    assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+    assert [int(n) for n in df] == [counts[b] for b in range(D.DIM)]
+
+
+def test_products_are_the_dense_ones_however_passages_are_grouped(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.zipf(1.3, n).astype(np.uint64) % D.DIM for n in (0, 5, 48, 49, 2000, 0, 731)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in texts], pa.binary())], ["words"]).slice(1)
+    idf, basis = rng.random(D.DIM) * (rng.random(D.DIM) < 0.9), rng.standard_normal((D.DIM, 7))
+    rows = [np.bincount(t[i : i + D.PASSAGE].astype(int), minlength=D.DIM) * idf for t in texts for i in range(0, len(t), D.PASSAGE)]
+    a = np.array([x / np.linalg.norm(x) for x in rows])
+    for sizes in ({}, {"HEAD": 9, "BLOCK": 4, "GROUP": 10, "CELLS": 6}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(D, name, size)
+        product = D._Product(basis, idf, a.sum(axis=0))
+        for step, want in ((D._half_step, a.T @ (a @ basis)), (D._square, (a @ basis).T @ (a @ basis))):
+            (out,) = step(product)(iter([batch]))
+            got = np.concatenate([np.frombuffer(x).reshape(-1, 7) for x in out["part"].to_pylist()])
+            assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
