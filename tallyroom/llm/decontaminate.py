@@ -43,7 +43,9 @@ GROUP = 16_384
 BLOCK = 256
 HEAD = 512
 #: Cells that are looked up together.
-CELLS = 2048
+CELLS = 128
+#: Bits of the buckets that words are counted in.
+COUNT_BITS = 20
 ITEM_BLOCK = 65_536
 #: Windows of a stretch that are looked at together.
 CHUNK = 32
@@ -57,20 +59,32 @@ def _bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - DIM_BITS)).astype(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word buckets of each text, two bytes each, and the document frequencies of a task."""
-    df = np.zeros(DIM + 1, np.int64)
-    for batch in batches:
-        words, at = common.word_hashes(batch.column("_lower"), _TABLE)
-        bucket = _bucket(words)
-        own = np.sort(np.repeat(np.arange(batch.num_rows), np.diff(at)) << DIM_BITS | bucket)
-        df[:DIM] += np.bincount(own[_begins(own)] & (DIM - 1), minlength=DIM)
-        df[DIM] += batch.num_rows
-        buffers = [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(bucket.astype(np.uint16))]
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)], ["bucket", "df", "words"])
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.nulls(len(some), pa.binary())], ["bucket", "df", "words"])
+def _counted(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _scan(wanted: np.ndarray | None = None):
+    """The word buckets of each text, two bytes each; of a task, the document frequencies of buckets, after
+    them the number of texts, and then how often the (wanted) finer buckets have a word."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(DIM + 1 + (1 << COUNT_BITS), np.int64)
+        for batch in batches:
+            words, at = common.word_hashes(batch.column("_lower"), _TABLE)
+            bucket = _bucket(words)
+            own = np.sort(np.repeat(np.arange(batch.num_rows), np.diff(at)) << DIM_BITS | bucket)
+            df[:DIM] += np.bincount(own[_begins(own)] & (DIM - 1), minlength=DIM)
+            df[DIM] += batch.num_rows
+            df[DIM + 1 :] += np.bincount(_counted(words), minlength=1 << COUNT_BITS)
+            buffers = [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(bucket.astype(np.uint16))]
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)], ["bucket", "df", "words"])
+        if wanted is not None:
+            df[DIM + 1 :] *= wanted
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.nulls(len(some), pa.binary())], ["bucket", "df", "words"])
+
+    return scan
 
 
 def _begins(x: np.ndarray) -> np.ndarray:
@@ -101,10 +115,11 @@ def _cells(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[int, np.nda
 def _sum_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
     """Add to row to[i] of ``out``, ``to`` being sorted, value[i] times row at[i] of ``rows``."""
     for i in range(0, len(to), CELLS):
-        part = np.take(rows, at[i : i + CELLS], axis=0)
-        part *= value[i : i + CELLS, None]
-        first = _begins(to[i : i + CELLS])
-        out[to[i : i + CELLS][first]] += np.add.reduceat(part, first, axis=0)
+        part = to[i : i + CELLS]
+        first = _begins(part)
+        pick = np.zeros((len(first), len(part)), np.float32)
+        pick[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part)))), np.arange(len(part))] = value[i : i + CELLS]
+        out[part[first]] += pick @ np.take(rows, at[i : i + CELLS], axis=0)
 
 
 class _Product:
@@ -188,23 +203,27 @@ def _summed(passages: DataFrame, parts, size: int) -> np.ndarray:
 
 
 def _frequencies(seen: DataFrame) -> np.ndarray:
-    """Of how many texts each bucket has a word; and last how many texts there are."""
-    df = np.zeros(DIM + 1)
-    for r in seen.filter("words IS NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
-        df[r["bucket"]] = r["df"]
-    return df
+    """What ``_scan`` counted, of all tasks."""
+    out = np.zeros(DIM + 1 + (1 << COUNT_BITS))
+    sums = seen.filter("words IS NULL").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    out[sums["bucket"].to_numpy()] = sums["df"].to_numpy()
+    return out
 
 
 def latent_map(documents: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(DIM x rank) map from word buckets to whitened latent space, idf included; and the buckets' document frequencies.
+    """(DIM x rank) map from word buckets to whitened latent space, idf included; and how often the documents
+    have a word of each finer bucket that the items' words fall in.
 
     Both are of all documents: the SVD is fitted on every passage of PASSAGE words of every document and
     item. Products of passages are of single precision, their sums of double.
     """
     kind = "bucket long, df long, words binary"
-    texts = [x.select(F.lower("text").alias("_lower")).filter("_lower IS NOT NULL") for x in (documents, items)]
-    seen, own = (common.stored(x.mapInArrow(_scan, kind), tag) for x, tag in zip(texts, ("dc-scan", "dc-items"), strict=True))
-    df, in_items = _frequencies(seen), _frequencies(own)
+    texts, own = (x.select(F.lower("text").alias("_lower")).filter("_lower IS NOT NULL") for x in (documents, items))
+    own = common.stored(own.mapInArrow(_scan(), kind), "dc-items")
+    in_items = _frequencies(own)
+    seen = common.stored(texts.mapInArrow(_scan(in_items[DIM + 1 :] > 0), kind), "dc-scan")
+    df = _frequencies(seen)
+    counts = df[DIM + 1 :]
     # what every fifth document and every fifth of at least five items has says nothing; an item that many
     # documents copied keeps its words
     empty = (df[:DIM] > 0.2 * df[DIM]) & (in_items[:DIM] > max(0.2 * in_items[DIM], 4))
@@ -219,9 +238,9 @@ def latent_map(documents: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.n
     order = np.argsort(values)[::-1][:RANK]
     order = order[values[order] > 1e-9 * max(values.max(), 1e-300)]
     if not len(order):
-        return np.zeros((DIM, 0), np.float32), df[:DIM]
+        return np.zeros((DIM, 0), np.float32), counts
     scale = np.sqrt(values[order] + np.median(values[order]))  # damped, so that rare directions don't drown the others
-    return (idf[:, None] * (basis @ vectors[:, order]) / scale).astype(np.float32), df[:DIM]
+    return (idf[:, None] * (basis @ vectors[:, order]) / scale).astype(np.float32), counts
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -273,6 +292,12 @@ class _Item:
         self.masks, self.rare, self.answer = _masks(words), _masks(telling), _masks(answer)
         self.sorted, self.times = np.unique(words, return_counts=True)
 
+    def most(self, words: np.ndarray) -> int:
+        """How many of the item's words, each as often as the item has it at most, some words hold together."""
+        place = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        own = place[self.sorted[place] == words]
+        return int(np.minimum(np.bincount(own, minlength=len(self.sorted)), self.times).sum())
+
     def held(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """How many of the item's words, each as often as the item has it at most, the stretches hold."""
         place = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
@@ -370,6 +395,8 @@ def _candidates(item: _Item, part: np.ndarray, size: int, latent: np.ndarray, ve
     Windows are looked at CHUNK at a time, with the words around them, so memory goes by the item's length
     however long the stretch is.
     """
+    if item.most(part) < MIN_COMMON * item.length:  # then no window of the stretch has enough
+        return
     step = size // 4
     starts = np.arange(0, len(part), step)
     for k in range(0, len(starts), CHUNK):
@@ -428,7 +455,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float =
     answer = F.lower("answer") if "answer" in benchmark.columns else F.lit("")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"), F.coalesce(answer, F.lit("")).alias("answer"))
     blocks = -(-max(items.count(), 1) // ITEM_BLOCK)
-    latent, df = latent_map(docs.select(F.col("_lower").alias("text")), items)
+    latent, counts = latent_map(docs.select(F.col("_lower").alias("text")), items)
     numbered = items.select("*", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
     out = None
     for block in range(blocks):
@@ -439,7 +466,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_cosine: float =
         known = [i for i in range(len(rows)) if at[i + 1] > at[i]]
         own = [words[at[i] : at[i + 1]] for i in known]
         vectors = _unit(np.array([latent[_bucket(w)].sum(axis=0) for w in own], np.float32).reshape(len(own), latent.shape[1]))
-        index = _Index([rows[i]["item_id"] for i in known], own, [answers[answer_at[i] : answer_at[i + 1]] for i in known], vectors, vocabulary, df[_bucket(vocabulary)])
+        index = _Index([rows[i]["item_id"] for i in known], own, [answers[answer_at[i] : answer_at[i + 1]] for i in known], vectors, vocabulary, counts[_counted(vocabulary)])
         found = docs.mapInArrow(
             _search(latent, index, min_cosine),
             "doc_id long, item_id long, n_common int, item_words int, answered boolean, first_word int, last_word int",

@@ -124,7 +124,8 @@ def _plain_map(texts, items):
     """The latent map by dense products over every passage of all texts and items."""
     from collections import Counter
 
-    hashed = [D._bucket(common.word_hashes(pa.array([t.lower()]), D._TABLE)[0]).tolist() for t in texts + items]
+    words = [common.word_hashes(pa.array([t.lower()]), D._TABLE)[0] for t in texts + items]
+    hashed = [D._bucket(w).tolist() for w in words]
     df = Counter(b for h in hashed[: len(texts)] for b in set(h))
     in_items = Counter(b for h in hashed[len(texts) :] for b in set(h))
     idf = np.zeros(D.DIM)
@@ -143,7 +144,7 @@ def _plain_map(texts, items):
     keep = values > 1e-9 * values[0]
     out = np.zeros((D.DIM, keep.sum()))
     out[some] = idf[some, None] * vectors[:, keep] / np.sqrt(values[keep] + np.median(values[keep]))
-    return out, some, df
+    return out, some, Counter(int(w) for own in words[: len(texts)] for w in own)
 
 
 def _few_words(seed=6, n=130):
@@ -160,10 +161,12 @@ def test_map_and_counts_are_those_of_every_passage(spark, monkeypatch):
     texts, items = _few_words()
     want, some, counts = _plain_map(texts, items)
     d = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
-    latent, df = D.latent_map(d, spark.createDataFrame([(t,) for t in items], "text string"))
+    latent, seen = D.latent_map(d, spark.createDataFrame([(t,) for t in items], "text string"))
     want, got = want[some] @ want[some].T, latent[some] @ latent[some].T
     assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
-    assert [int(n) for n in df] == [counts[b] for b in range(D.DIM)]
+    own = np.unique(common.word_hashes(pa.array(items), D._TABLE)[0])
+    assert [int(n) for n in seen[D._counted(own)]] == [counts[w] for w in own.tolist()]
+    assert 0 < seen.sum() == sum(counts[w] for w in own.tolist()) < sum(counts.values())
 
 
 def test_products_are_the_dense_ones_however_passages_are_grouped(monkeypatch):
@@ -181,3 +184,12 @@ def test_products_are_the_dense_ones_however_passages_are_grouped(monkeypatch):
             (out,) = step(product)(iter([batch]))
             got = np.concatenate([np.frombuffer(x).reshape(-1, 7) for x in out["part"].to_pylist()])
             assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+
+
+def test_most_is_what_a_whole_stretch_holds():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 90, 300).astype(np.uint64)
+    item = D._Item(1, rng.integers(0, 60, 50).astype(np.uint64), words[:0])
+    start = np.arange(0, 250, 7)
+    assert [item.most(words[a : a + 50]) for a in start] == item.held(words, start, start + 50).tolist()
+    assert item.most(words[:0]) == 0
