@@ -1,9 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from tallyroom.llm import neardup
+from tallyroom.llm import decontaminate, neardup
 
 LANGS = {"en": ["the", "ing", "wh", "ou", "er"], "de": ["sch", "ung", "ß", "ein", "ver"]}
 
@@ -68,3 +69,20 @@ def test_each_stage_against_its_own_input(spark, folder):
         docs = spark.read.parquet(f"{folder}/{name}.out")
     run = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert run <= kept["benchmark_decontamination"] and len(run ^ kept["mixing"]) <= 2
+
+
+def test_decontamination_stage_learns_from_every_passage_of_its_input(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    maps, fit = [], decontaminate.latent_map
+
+    def kept(*tables):
+        maps.append(fit(*tables))
+        return maps[-1]
+
+    monkeypatch.setattr(decontaminate, "latent_map", kept)
+    gone = set()
+    for size in (20_000, 10):  # a bound on passages that must not be heeded
+        monkeypatch.setattr(decontaminate, "SAMPLE_PASSAGES", size, raising=False)
+        gone.add(frozenset(r["doc_id"] for r in docs.join(corpus_pipeline.drop_contaminated(spark, docs, folder), "doc_id", "left_anti").collect()))
+    (a, _), (b, _) = maps
+    assert len(gone) == 1 and a.shape == b.shape and np.abs(a @ a[:50].T - b @ b[:50].T).max() < 1e-3 * np.abs(a @ a[:50].T).max()
