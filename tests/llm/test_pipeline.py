@@ -86,3 +86,19 @@ def test_decontamination_stage_learns_from_every_passage_of_its_input(spark, fol
         gone.add(frozenset(r["doc_id"] for r in docs.join(corpus_pipeline.drop_contaminated(spark, docs, folder), "doc_id", "left_anti").collect()))
     (a, _), (b, _) = maps
     assert len(gone) == 1 and a.shape == b.shape and np.abs(a @ a[:50].T - b @ b[:50].T).max() < 1e-3 * np.abs(a @ a[:50].T).max()
+
+
+def test_map_of_the_decontamination_stage_is_that_of_dense_products_over_all_its_input(spark, tmp_path, monkeypatch):
+    from test_decontaminate import _few_words, _plain_map
+
+    monkeypatch.setattr(decontaminate, "SAMPLE_PASSAGES", 50, raising=False)  # a bound that must not be heeded
+    texts, items = _few_words(11)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    maps, fit = [], decontaminate.latent_map
+    monkeypatch.setattr(decontaminate, "latent_map", lambda *tables: maps.append(fit(*tables)) or maps[-1])
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string").repartition(3)
+    corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).count()
+    want, some, _ = _plain_map(texts, items)
+    ((latent, _),) = maps
+    want, got = want[some] @ want[some].T, latent[some] @ latent[some].T
+    assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
