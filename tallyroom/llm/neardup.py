@@ -119,8 +119,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     orders = _orders()
     bands = BINS // ROWS
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for part in common.pieces(batch, 1000):
             sets = shingle_sets(part.column("text"))
             keys = band_keys(sets, orders)
             n = np.array([len(s) for s in sets], np.int64)
@@ -138,8 +137,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, parity sketch with the band keys behind it, and sorted hashes of each document's set."""
     orders = _orders()
     for batch in batches:
-        for at in range(0, batch.num_rows, 250):
-            part = batch.slice(at, 250)
+        for part in common.pieces(batch, 250):
             sets = shingle_sets(part.column("text"))
             sketch = [x.tobytes() for x in np.concatenate([parity_sketches(sets), band_keys(sets, orders)], axis=1)]
             yield pa.RecordBatch.from_arrays(

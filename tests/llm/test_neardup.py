@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyroom.llm import neardup
+from tallyroom.llm import common, neardup
 
 
 def _brute(rows):
@@ -146,3 +146,29 @@ def test_the_row_of_the_least_text_stays_of_a_repeated_id(spark):
     rows = [(1, "b b b", "x"), (1, "a a a", "y"), (1, None, "z"), (2, "c c c", "x")]
     out = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
     assert {(r["doc_id"], r["row"]) for r in out} == {(1, "y"), (2, "x")} and len(out) == 2
+
+
+def test_memory_of_a_worker_does_not_go_by_the_rows_of_long_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = np.array([f"word{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 6000)]) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for made in (neardup._signatures, neardup._sets):
+        tracemalloc.start()
+        rows = [r.num_rows for r in made([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(rows) == 1000 and peak < 150e6, (made.__name__, peak)
+
+
+def test_slices_of_texts_have_the_rows_of_the_batch_in_order():
+    texts = ["a" * 3, None, "", "é" * 5, "b" * 30, "c", "d" * 4, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(["z" * 99, *texts])], ["doc_id", "text"]).slice(1)
+    for rows in (1, 3, 100):
+        for size in (1, 10, 1000):
+            got = list(common.pieces(batch, rows, size))
+            assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+            assert all(0 < x.num_rows <= rows and (x.num_rows == 1 or sum(len((t or "").encode()) for t in x.column("text").to_pylist()) <= size) for x in got)
+    assert not list(common.pieces(batch.slice(0, 0), 3))
