@@ -68,3 +68,22 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = quality.judged(docs, docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("bits", [quality.WINDOW, 62])
+def test_repeated_words_where_places_leave_few_bits_of_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    cased = "Aa b c d e f g h aA b c d e f g h i j k"  # pairs repeat in lower case, the first window does not
+    texts = [*TEXTS, cased, "p q r x y p q s x y p q t x y p q u x y", " ".join(f"n{i % 97}" for i in range(500)) + " tail " + " ".join(f"m{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.judged(docs, docs.select("doc_id").limit(0)).collect()}
+    assert got == {i: _base(t)[4] for i, t in enumerate(texts)}
+
+
+def test_only_texts_with_repeated_pairs_get_windows_and_counting_compiles(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f A B C D E f")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text", quality.words_of(quality.F.lower("text")).alias("lowered"))
+    rows = rows.select("*", quality._pairs().alias("pairs")).select("doc_id", quality.F.size(quality._window_keys()).alias("n"))
+    assert {r["doc_id"]: r["n"] for r in rows.collect()} == {1: 0, 2: 8}
+    plan = quality.gram_counts(docs, docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "lambda" not in plan
