@@ -113,13 +113,24 @@ def _cells(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[int, np.nda
 
 
 def _sum_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
-    """Add to row to[i] of ``out``, ``to`` being sorted, value[i] times row at[i] of ``rows``."""
-    for i in range(0, len(to), CELLS):
-        part = to[i : i + CELLS]
-        first = _begins(part)
-        pick = np.zeros((len(first), len(part)), np.float32)
-        pick[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part)))), np.arange(len(part))] = value[i : i + CELLS]
-        out[part[first]] += pick @ np.take(rows, at[i : i + CELLS], axis=0)
+    """Add to row to[i] of ``out``, ``to`` being sorted, value[i] times row at[i] of ``rows``.
+
+    CELLS of them are one product; their runs of one row are found for all of them together.
+    """
+    begins = np.zeros(len(to), bool)
+    begins[_begins(to)] = True
+    begins[::CELLS] = True
+    target = to[begins]
+    run = np.cumsum(begins) - 1
+    cuts = np.append(run[::CELLS], len(target)).tolist()
+    cell = np.arange(len(to))
+    flat = (run - run[cell // CELLS * CELLS]) * CELLS + cell % CELLS
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = slice(k * CELLS, (k + 1) * CELLS)
+        pick = np.zeros((b - a) * CELLS, np.float32)
+        pick[flat[part]] = value[part]
+        own = rows.take(at[part], axis=0)
+        out[target[a:b]] += pick.reshape(b - a, CELLS)[:, : len(own)] @ own
 
 
 class _Product:
@@ -136,20 +147,23 @@ class _Product:
         top = self.basis[self.head]
         for n, row, column, value in _cells(batch, self.idf):
             out = np.zeros((n, self.basis.shape[1]), np.float32)
-            place = self.place[column]
-            rest = place < 0
-            cuts = np.searchsorted(row, np.arange(0, n + BLOCK, BLOCK))
+            place, blocks = self.place[column], np.arange(0, n + BLOCK, BLOCK)
+            head, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            flat, top_value, top_cuts = row[head] * len(top) + place[head], value[head], np.searchsorted(row[head], blocks)
+            row, column, value = row[rest], column[rest], value[rest]
+            cuts = np.searchsorted(row, blocks)
             for k in range(len(cuts) - 1):
-                part = slice(int(cuts[k]), int(cuts[k + 1]))
-                some, own = rest[part], out[k * BLOCK : (k + 1) * BLOCK]
+                own = out[k * BLOCK : (k + 1) * BLOCK]
                 dense = np.zeros((len(own), len(top)), np.float32)
-                dense[row[part][~some] - k * BLOCK, place[part][~some]] = value[part][~some]
+                part = slice(int(top_cuts[k]), int(top_cuts[k + 1]))
+                dense.reshape(-1)[flat[part] - k * BLOCK * len(top)] = top_value[part]
                 np.matmul(dense, top, out=own)
-                _sum_rows(own, row[part][some] - k * BLOCK, self.basis, column[part][some], value[part][some])
+                part = slice(int(cuts[k]), int(cuts[k + 1]))
+                _sum_rows(own, row[part] - k * BLOCK, self.basis, column[part], value[part])
                 if back is not None:
                     back[self.head] += dense.T @ own
             if back is not None:
-                row, column, value = row[rest], column[rest].astype(np.uint16), value[rest]
+                column = column.astype(np.uint16)
                 order = np.argsort(column, kind="stable")
                 _sum_rows(back, column[order], out, row[order], value[order])
             yield out

@@ -193,3 +193,18 @@ def test_most_is_what_a_whole_stretch_holds():
     start = np.arange(0, 250, 7)
     assert [item.most(words[a : a + 50]) for a in start] == item.held(words, start, start + 50).tolist()
     assert item.most(words[:0]) == 0
+
+
+def test_runs_of_cells_are_found_once_for_all_products(monkeypatch):
+    rng = np.random.default_rng(3)
+    seen, begins = [], D._begins
+    monkeypatch.setattr(D, "_begins", lambda x: seen.append(len(x)) or begins(x))
+    rows = rng.standard_normal((50, 7)).astype(np.float32)
+    for n in (0, 1, D.CELLS, 10 * D.CELLS + 3):
+        to, at, value = np.sort(rng.integers(0, 40, n)), rng.integers(0, 50, n), rng.standard_normal(n).astype(np.float32)
+        out = np.ones((40, 7))
+        D._sum_rows(out, to, rows, at, value)
+        want = np.ones((40, 7))
+        np.add.at(want, to, value[:, None] * rows[at])
+        assert np.allclose(out, want, atol=1e-4)
+    assert len(seen) == 4
